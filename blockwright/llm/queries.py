@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.llm import langid, piece_codec, quality_rules, sharding, toxicity, urlfilter
+from blockwright.llm import langid, piece_codec, quality_rules, sharding, toxicity, urlfilter, warc
 from blockwright.llm._session import table
 
 
@@ -21,6 +21,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_warc": op2_warc,
     "op4_language": op4_language,
     "op5_url_filters": op5_url_filters,
     "op6_sentencepiece": op6_sentencepiece,
