@@ -222,23 +222,28 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """Number and digest of the ids and digest of the decoded text, per document."""
+def encode_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """Number and digest of the ids and digest of the decoded text, per document;
+    on request the packed ids too."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    schema = schema.append(pa.field("ids", pa.binary())) if with_ids else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         for batch in batches:
-            counts, ids, decoded = [], [], []
+            counts, ids, decoded, all_packed = [], [], [], []
             for text in batch.column("text"):
                 packed = codec.encode(text.as_py() or "")
                 counts.append(len(packed) // 4)
+                if with_ids:
+                    all_packed.append(packed)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(packed).encode()).hexdigest())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], schema=schema)
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.record_batch(columns + [pa.array(all_packed, pa.binary())] * with_ids, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def encode_documents(docs: DataFrame, model_path: str, keep: list[str], spans: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.llm import jaccard_join, langid, piece_codec, quality_rules, sharding, suffix_dedup, toxicity, urlfilter, warc
+from blockwright.llm import decontam, jaccard_join, langid, piece_codec, quality_rules, sharding, suffix_dedup, toxicity, urlfilter, warc
 from blockwright.llm._session import table
 
 
@@ -42,6 +42,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_url_filters": op5_url_filters,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_decontamination": op7_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,

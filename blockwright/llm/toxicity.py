@@ -163,6 +163,14 @@ def score_documents(docs: DataFrame, machine: Machine, keep: list[str]) -> DataF
     return docs.select(carried).mapInArrow(run, f"{fields}, score double")
 
 
+def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score below the threshold, all columns kept.  The
+    input's columns wait inside a struct, so none clashes with the score."""
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    scored = score_documents(held, train(docs, labels), ["row"])
+    return scored.where(F.col("score") < THRESHOLD).select("row.*")
+
+
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score and verdict of each document."""
     scored = score_documents(docs.select("doc_id", "text"), train(docs, labels), ["doc_id"])
