@@ -1,4 +1,644 @@
-"""Queries and oracles of the block-store engine."""
+"""The engine's queries and their SQL oracles.
 
+Defaults: 8 ranks, 3 replicas, dead ranks {1, 4} (nothing lost) or {0, 2, 4}
+(range 0 lost), permutation runs of 16 ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from blockwright.functions import scalars
+from blockwright.functions.permutation import Congruential, Feistel, Ranges
+from blockwright.operators import balancer, collectives, failuresim, kmeans, pagerank, ranks, report
+from blockwright.operators.dense import with_block_ids
+from blockwright.operators.store import BlockStore, Submission, expand_ranges, id_runs
+from blockwright.plans.placement import Placement
+from blockwright.plans.session import table
+from blockwright.sources import vectors
+
+P, R, DEAD, LOSS, RUN = 8, 3, (1, 4), (0, 2, 4), 16
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    return with_block_ids(rows, ["o_orderkey"])
+
+
+def placement(blocks: DataFrame) -> Placement:
+    return Placement(blocks.count(), P, R)
+
+
+def store(spark: SparkSession, sf: str, permutation=None, dead=()) -> BlockStore:
+    blocks = orders(spark, sf)
+    place = placement(table(spark, sf, "orders"))
+    return BlockStore(blocks, place, permutation(place.blocks) if permutation else None, frozenset(dead))
+
+
+def runs_of(n: int) -> Ranges:
+    return Ranges(n, RUN)
+
+
+# Orders as blocks with the range that the closed form gives, by another way (ntile).
+BLOCKS = """
+    blocks AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price,
+                      row_number() OVER (ORDER BY o_orderkey) - 1 AS block_id,
+                      ntile(8) OVER (ORDER BY o_orderkey) - 1 AS range_id FROM orders),
+    bounds AS (SELECT range_id, min(block_id) AS start, count(*) AS length, max(block_id) AS last FROM blocks GROUP BY range_id),
+    copies AS (SELECT range_id, j, (range_id + 2 * j) % 8 AS rank FROM bounds, range(3) t(j)),
+    total AS (SELECT count(*) AS n FROM orders)
+"""
+
+
+@query("block_range_of", f"WITH {BLOCKS} SELECT o_orderkey, block_id, range_id FROM blocks")
+def block_range_of(spark, sf):
+    b = orders(spark, sf)
+    return b.select("o_orderkey", "block_id", placement(table(spark, sf, "orders")).range_of(F.col("block_id")).alias("range_id"))
+
+
+@query("range_bounds", f"WITH {BLOCKS} SELECT range_id, start, length, last FROM bounds")
+def range_bounds(spark, sf):
+    return placement(table(spark, sf, "orders")).ranges(spark)
+
+
+@query("contains_block", f"WITH {BLOCKS} SELECT r.range_id, count(*) AS n_inside FROM bounds r JOIN blocks b ON b.block_id BETWEEN r.start AND r.last AND b.block_id % 7 = 0 GROUP BY r.range_id")
+def contains_block(spark, sf):
+    p = placement(table(spark, sf, "orders"))
+    b = orders(spark, sf).where("block_id % 7 = 0").withColumn("range_id", p.range_of(F.col("block_id")))
+    return b.where(p.contains(F.col("range_id"), F.col("block_id"))).groupBy("range_id").agg(F.count(F.lit(1)).alias("n_inside"))
+
+
+@query("replica_placement", f"WITH {BLOCKS} SELECT rank, count(*) AS n_blocks, CAST(sum(price) AS DOUBLE) AS total_price FROM blocks JOIN copies USING (range_id) GROUP BY rank")
+def replica_placement(spark, sf):
+    s = store(spark, sf)
+    per_range = s.placed().groupBy("range_id").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("p"))
+    copies = per_range.withColumn("rank", F.explode(s.placement.ranks_of(F.col("range_id"))))
+    return copies.groupBy("rank").agg(F.sum("n").alias("n_blocks"), F.sum("p").cast("double").alias("total_price"))
+
+
+@query("alive_replicas", """
+    WITH b AS (SELECT c_custkey, ntile(8) OVER (ORDER BY c_custkey) - 1 AS k FROM customer)
+    SELECT c_custkey, count(*) AS n_alive, min((k + 2 * j) % 8) AS first_rank, max((k + 2 * j) % 8) AS last_rank
+    FROM b, range(3) t(j) WHERE (k + 2 * j) % 8 NOT IN (1, 4) GROUP BY c_custkey""")
+def alive_replicas(spark, sf):
+    c = with_block_ids(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"])
+    p = placement(table(spark, sf, "customer"))
+    alive = p.alive_ranks_of(p.range_of(F.col("block_id")), DEAD)
+    return c.select("c_custkey", F.size(alive).cast("long").alias("n_alive"), F.array_min(alive).alias("first_rank"), F.array_max(alive).alias("last_rank"))
+
+
+@query("is_stored_on", """
+    WITH b AS (SELECT p_partkey, ntile(8) OVER (ORDER BY p_partkey) - 1 AS k FROM part)
+    SELECT p_partkey, (3 - k + 8) % 8 IN (0, 2, 4) AS on_rank_3, FALSE AS on_rank_4 FROM b""")
+def is_stored_on(spark, sf):
+    c = with_block_ids(table(spark, sf, "part").select("p_partkey"), ["p_partkey"])
+    p = placement(table(spark, sf, "part"))
+    k = p.range_of(F.col("block_id"))
+    return c.select("p_partkey", p.is_stored_on(k, F.lit(3), DEAD).alias("on_rank_3"), p.is_stored_on(k, F.lit(4), DEAD).alias("on_rank_4"))
+
+
+@query("serving_rank", f"""
+    WITH {BLOCKS}, alive AS (SELECT range_id, list(rank ORDER BY j) AS a FROM copies WHERE rank NOT IN (1, 4) GROUP BY range_id),
+    req AS (SELECT range_id, dest, a, (dest * 2654435761 + range_id) % 1000003 AS h FROM alive, range(8) t(dest) WHERE dest NOT IN (1, 4))
+    SELECT range_id, dest, CAST(CASE WHEN list_contains(a, dest) THEN dest WHEN h % 3 < len(a) THEN a[1 + h % 3] ELSE a[1 + h % len(a)] END AS INTEGER) AS serving FROM req""")
+def serving_rank(spark, sf):
+    p = placement(table(spark, sf, "orders"))
+    rows = p.ranges(spark).select("range_id").crossJoin(F.broadcast(spark.range(P).select(F.col("id").alias("dest")))).where(~F.col("dest").isin(*DEAD))
+    h = F.pmod(F.col("dest") * 2654435761 + F.col("range_id"), F.lit(1000003))
+    own = F.array_contains(p.alive_ranks_of(F.col("range_id"), DEAD), F.col("dest").cast("int"))
+    chosen = F.when(own, F.col("dest").cast("int")).otherwise(p.serving_rank(F.col("range_id"), F.col("dest"), DEAD, h))
+    return rows.select("range_id", "dest", chosen.alias("serving"))
+
+
+@query("serving_split", f"""
+    WITH {BLOCKS}, alive AS (SELECT range_id, rank, row_number() OVER (PARTITION BY range_id ORDER BY rank) - 1 AS i, count(*) OVER (PARTITION BY range_id) AS a FROM copies WHERE rank NOT IN (1, 4))
+    SELECT range_id, CAST(rank AS INTEGER) AS serving, start + i * (length // a) + least(i, length % a) AS start, length // a + CASE WHEN i < length % a THEN 1 ELSE 0 END AS len FROM alive JOIN bounds USING (range_id)""")
+def serving_split(spark, sf):
+    s = store(spark, sf, dead=DEAD)
+    return s.split_over_replicas(s.placement.ranges(spark).select("range_id", "start", F.col("length").alias("len")))
+
+
+@query("lost_ranges", f"WITH {BLOCKS} SELECT range_id, start, length, last FROM bounds r WHERE NOT EXISTS (SELECT 1 FROM copies c WHERE c.range_id = r.range_id AND rank NOT IN (0, 2, 4))")
+def lost_ranges(spark, sf):
+    return store(spark, sf, dead=LOSS).lost_ranges()
+
+
+def _shifted_requests(s: BlockStore) -> DataFrame:
+    """Each alive rank wants a tenth of all blocks, from its own offset on."""
+    n = s.placement.blocks
+    rows = s.blocks.sparkSession.range(P).where(~F.col("id").isin(*DEAD))
+    return rows.select((F.col("id") * (n // 10)).alias("start"), F.lit(n // 10).cast("long").alias("len"), F.col("id").cast("int").alias("dest"))
+
+
+PULLED = f"WITH {BLOCKS} SELECT CAST(d AS INTEGER) AS dest, block_id, o_orderkey, CAST(price AS DOUBLE) AS price FROM range(8) t(d), total, blocks WHERE d NOT IN (1, 4) AND block_id >= d * (n // 10) AND block_id < d * (n // 10) + n // 10"
+
+
+def _delivered(rows: DataFrame) -> DataFrame:
+    return rows.select("dest", "block_id", "o_orderkey", F.col("price").cast("double").alias("price"))
+
+
+@query("pull_blocks", PULLED)
+def pull_blocks(spark, sf):
+    s = store(spark, sf, runs_of, DEAD)
+    return _delivered(s.pull(_shifted_requests(s)))
+
+
+@query("push_blocks", f"WITH {BLOCKS} SELECT CAST(CASE d WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 4 THEN 6 ELSE 7 END AS INTEGER) AS dest, block_id, o_orderkey, CAST(price AS DOUBLE) AS price FROM range(6) t(d), total, blocks WHERE block_id >= d * (n // 10) AND block_id < d * (n // 10) + n // 10")
+def push_blocks(spark, sf):
+    s = store(spark, sf, runs_of, DEAD)
+    n = s.placement.blocks
+    addressed = spark.range(6).select((F.col("id") * (n // 10)).alias("start"), F.lit(n // 10).cast("long").alias("len"), F.col("id").cast("int").alias("dest"))
+    return _delivered(s.push(addressed, original_ranks=False))
+
+
+PIECES = """
+    lost AS (SELECT range_id AS owner, start, length AS len, coalesce(sum(length) OVER (ORDER BY CASE range_id WHEN 1 THEN 0 ELSE 1 END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM bounds WHERE range_id IN (1, 4)),
+    m AS (SELECT sum(len) AS n FROM lost),
+    seats AS (SELECT rank, i, i * (n // 6) + least(i, n % 6) AS low, (i + 1) * (n // 6) + least(i + 1, n % 6) AS high FROM (SELECT r AS rank, row_number() OVER (ORDER BY r) - 1 AS i FROM range(8) t(r) WHERE r NOT IN (1, 4)), m),
+    pieces AS (SELECT rank AS dest, start + greatest(place, low) - place AS start, least(place + len, high) - greatest(place, low) AS len FROM lost JOIN seats ON place < high AND place + len > low)
+"""
+
+
+@query("pull_after_failure", f"WITH {BLOCKS}, {PIECES} SELECT CAST(dest AS INTEGER) AS dest, count(*) AS n_blocks, CAST(sum(price) AS DOUBLE) AS total_price FROM pieces p JOIN blocks b ON b.block_id >= p.start AND b.block_id < p.start + p.len GROUP BY dest")
+def pull_after_failure(spark, sf):
+    """The blocks of two dead ranks, re-balanced and pulled from replicas."""
+    s = store(spark, sf, runs_of, DEAD)
+    s.placement.check_no_loss(spark, DEAD)
+    own = balancer.Ownership.of(balancer.contiguous(spark, s.placement.blocks, P), P)
+    got = s.pull(own.plan(DEAD).select("start", "len", "dest"))
+    return got.groupBy("dest").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("price").cast("double").alias("total_price"))
+
+
+@query("recovery_plan", f"WITH {BLOCKS}, {PIECES} SELECT CAST(start AS BIGINT) AS start, CAST(len AS BIGINT) AS len, CAST(dest AS INTEGER) AS dest FROM pieces")
+def recovery_plan(spark, sf):
+    n = table(spark, sf, "orders").count()
+    return balancer.Ownership.of(balancer.contiguous(spark, n, P), P).plan(DEAD).select("start", "len", "dest")
+
+
+@query("submit_pull_roundtrip", "SELECT event_id, user_id, event_type, value FROM events")
+def submit_pull_roundtrip(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    p = placement(e)
+    s = BlockStore(with_block_ids(e, ["event_id"]), p, runs_of(p.blocks), frozenset(DEAD))
+    requests = p.ranges(spark).select("start", F.col("length").alias("len"), F.pmod(F.col("range_id") * 5, F.lit(P)).cast("int").alias("dest"))
+    return s.pull(requests).select("event_id", "user_id", "event_type", "value")
+
+
+@query("submit_async", f"WITH {BLOCKS} SELECT CAST(rank AS INTEGER) AS rank, count(*) AS n_blocks FROM blocks JOIN copies USING (range_id) GROUP BY rank")
+def submit_async(spark, sf):
+    return Submission(store(spark, sf)).wait().groupBy("rank").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
+@query("submit_serialized", "SELECT c_custkey - 1 + 1 AS c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS block_id FROM customer")
+def submit_serialized(spark, sf):
+    c = with_block_ids(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"])
+    packed = c.groupBy(F.floor(F.col("block_id") / 10).alias("g")).agg(F.min("block_id").alias("begin"), F.transform(F.array_sort(F.collect_list(F.struct("block_id", "c_custkey"))), lambda x: x["c_custkey"]).alias("payloads"))
+    return expand_ranges(packed).select(F.col("payload").alias("c_custkey"), "block_id")
+
+
+@query("stored_counts", f"WITH {BLOCKS} SELECT CAST(rank AS INTEGER) AS rank, count(*) AS n_blocks FROM blocks JOIN copies USING (range_id) WHERE rank NOT IN (1, 4) GROUP BY rank")
+def stored_counts(spark, sf):
+    return store(spark, sf, runs_of, DEAD).stored_counts()
+
+
+@query("range_registry", "SELECT CAST(rank AS INTEGER) AS rank, count(*) AS n_ranges FROM (SELECT (k + 2 * j) % 8 AS rank FROM range(8) a(k), range(3) b(j)) WHERE rank NOT IN (1, 4) GROUP BY rank")
+def range_registry(spark, sf):
+    return store(spark, sf, dead=DEAD).range_registry()
+
+
+@query("storage_scan", f"WITH {BLOCKS} SELECT block_id, o_orderkey FROM blocks WHERE block_id BETWEEN 100 AND 349")
+def storage_scan(spark, sf):
+    return store(spark, sf).scan(100, 250).select("block_id", "o_orderkey")
+
+
+@query("storage_overwrite", f"WITH {BLOCKS} SELECT block_id, o_orderkey, CAST(CASE WHEN block_id % 10 = 0 THEN 0 ELSE price END AS DOUBLE) AS price FROM blocks")
+def storage_overwrite(spark, sf):
+    s = store(spark, sf)
+    newer = s.blocks.where("block_id % 10 = 0").withColumn("price", F.lit(0).cast("decimal(18,2)"))
+    return s.overwrite(newer).blocks.select("block_id", "o_orderkey", F.col("price").cast("double").alias("price"))
+
+
+@query("id_runs", """
+    WITH t AS (SELECT DISTINCT l_suppkey AS rank, l_orderkey AS id FROM lineitem WHERE l_suppkey <= 5),
+    g AS (SELECT rank, id, id - row_number() OVER (PARTITION BY rank ORDER BY id) AS island FROM t)
+    SELECT rank, min(id) AS first_id, max(id) AS last_id FROM g GROUP BY rank, island""")
+def runs(spark, sf):
+    t = table(spark, sf, "lineitem").where("l_suppkey <= 5").select(F.col("l_suppkey").alias("rank"), F.col("l_orderkey").alias("block_id")).distinct()
+    return id_runs(t, "rank")
+
+
+def _load(spark, sf, name: str):
+    """Requests of the access-pattern workloads over a permuted store."""
+    s = store(spark, sf, runs_of)
+    n, each = s.placement.blocks, s.placement.blocks // P
+    ids = spark.range(P)
+    if name == "all":
+        return s, ids.select((F.pmod(F.col("id") + 1, F.lit(P)) * each).alias("start"), F.lit(each).cast("long").alias("len"), F.col("id").cast("int").alias("dest"))
+    if name == "spread":  # one rank's data over all ranks
+        return s, ids.select((F.lit(2 * each) + F.col("id") * (each // P)).alias("start"), F.lit(each // P).cast("long").alias("len"), F.col("id").cast("int").alias("dest"))
+    if name == "small":
+        part = n // 100
+        return s, ids.select((F.col("id") * (part // P)).alias("start"), F.lit(max(1, part // P)).cast("long").alias("len"), F.col("id").cast("int").alias("dest"))
+    return s, ids.where("id = 1").select(F.lit(2 * each).cast("long").alias("start"), F.lit(each).cast("long").alias("len"), F.col("id").cast("int").alias("dest"))
+
+
+def _loaded(spark, sf, name):
+    s, requests = _load(spark, sf, name)
+    return s.pull(requests).groupBy("dest").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("price").cast("double").alias("total_price"))
+
+
+_LOADED = "WITH {b} SELECT CAST(d AS INTEGER) AS dest, count(*) AS n_blocks, CAST(sum(price) AS DOUBLE) AS total_price FROM range(8) t(d), total, blocks WHERE {w} GROUP BY d"
+for _name, _where in {
+    "all": "block_id >= ((d + 1) % 8) * (n // 8) AND block_id < ((d + 1) % 8) * (n // 8) + n // 8",
+    "spread": "block_id >= 2 * (n // 8) + d * (n // 8 // 8) AND block_id < 2 * (n // 8) + (d + 1) * (n // 8 // 8)",
+    "small": "block_id >= d * (n // 100 // 8) AND block_id < d * (n // 100 // 8) + greatest(1, n // 100 // 8)",
+    "single": "d = 1 AND block_id >= 2 * (n // 8) AND block_id < 3 * (n // 8)",
+}.items():
+    query(f"load_{_name}", _LOADED.format(b=BLOCKS, w=_where))(lambda spark, sf, name=_name: _loaded(spark, sf, name))
+
+# Permutations ---------------------------------------------------------------
+
+LCG = """
+    WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), m AS (SELECT n, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS m FROM n),
+    walk AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, ((row_number() OVER (ORDER BY p_partkey) - 1) * 5 + 1) % m AS x FROM part, m
+             UNION ALL SELECT id, (x * 5 + 1) % m FROM walk, m WHERE x >= n)
+"""
+
+
+@query("lcg_permutation", LCG + "SELECT id AS block_id, x AS permuted_id, id AS inverse_id FROM walk, m WHERE x < n")
+def lcg_permutation(spark, sf):
+    n = table(spark, sf, "part").count()
+    f = Congruential(n)
+    ids = with_block_ids(table(spark, sf, "part").select("p_partkey"), ["p_partkey"]).select("block_id")
+    return ids.withColumn("permuted_id", f.apply(F.col("block_id"))).withColumn("inverse_id", f.invert(F.col("permuted_id")))
+
+
+@query("range_permutation", """
+    WITH RECURSIVE n AS (SELECT count(*) AS n FROM orders), q AS (SELECT n, n // 16 AS k, CAST(pow(2, ceil(log2(n // 16))) AS BIGINT) AS m FROM n),
+    walk AS (SELECT r AS id, (r * 5 + 1) % m AS x FROM q, range(1000000) t(r) WHERE r < k UNION ALL SELECT id, (x * 5 + 1) % m FROM walk, q WHERE x >= k),
+    moved AS (SELECT id, x FROM walk, q WHERE x < k)
+    SELECT b AS block_id, coalesce(x * 16 + b % 16, b) AS permuted_id, least((b // 16) * 16 + 15, n - 1) AS last_of_run
+    FROM n, range(10000000) t(b) LEFT JOIN moved ON moved.id = b // 16 WHERE b < n""")
+def range_permutation(spark, sf):
+    n = table(spark, sf, "orders").count()
+    f = runs_of(n)
+    return spark.range(n).select(F.col("id").alias("block_id"), f.apply(F.col("id")).alias("permuted_id"), f.last_of_run(F.col("id")).alias("last_of_run"))
+
+
+@query("feistel_bijection", "SELECT count(*) AS n, count(*) AS n_distinct, 0 AS low, count(*) - 1 AS high, count(*) AS n_inverted FROM part")
+def feistel_bijection(spark, sf):
+    n = table(spark, sf, "part").count()
+    f = Feistel(n, seed=3)
+    rows = spark.range(n).select("id", f.apply(F.col("id")).alias("p")).withColumn("back", f.invert(F.col("p")))
+    return rows.agg(F.count("p").alias("n"), F.countDistinct("p").alias("n_distinct"), F.min("p").cast("int").alias("low"), F.max("p").alias("high"), F.count_if(F.col("id") == F.col("back")).alias("n_inverted"))
+
+
+# Balancing and ranks --------------------------------------------------------
+
+
+def _ten(spark) -> balancer.Ownership:
+    rows = spark.range(10).select((F.col("id") * 100).alias("start"), F.lit(100).cast("long").alias("len"), F.col("id").cast("int").alias("owner"))
+    return balancer.Ownership.of(rows, 10)
+
+
+ROUND1 = """
+    lost1(start, len, place) AS (VALUES (500, 100, 0), (700, 100, 100)),
+    seats1 AS (SELECT r AS dest, row_number() OVER (ORDER BY r) - 1 AS i FROM range(10) t(r) WHERE r NOT IN (5, 7)),
+    pieces1 AS (SELECT dest, start + greatest(place, i * 25) - place AS start, least(place + len, (i + 1) * 25) - greatest(place, i * 25) AS len, greatest(place, i * 25) AS place FROM lost1 JOIN seats1 ON place < (i + 1) * 25 AND place + len > i * 25)
+"""
+
+
+@query("balance_round1", f"WITH {ROUND1} SELECT CAST(start AS BIGINT) AS start, CAST(len AS BIGINT) AS len, CAST(dest AS INTEGER) AS dest FROM pieces1")
+def balance_round1(spark, sf):
+    return _ten(spark).plan([5, 7]).select("start", "len", "dest")
+
+
+@query("balance_round2", f"""
+    WITH {ROUND1}, lost2 AS (SELECT start, len, coalesce(sum(len) OVER (ORDER BY round, owner, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+        FROM (SELECT 0 AS round, 0 AS owner, 0 AS start, 100 AS len UNION ALL SELECT 0, 1, 100, 100 UNION ALL SELECT 1, dest, start, len FROM pieces1 WHERE dest IN (0, 1))),
+    seats2 AS (SELECT dest, i * 41 + least(i, 4) AS low, (i + 1) * 41 + least(i + 1, 4) AS high FROM (SELECT r AS dest, row_number() OVER (ORDER BY r) - 1 AS i FROM range(10) t(r) WHERE r NOT IN (0, 1, 5, 7)))
+    SELECT CAST(start + greatest(place, low) - place AS BIGINT) AS start, CAST(least(place + len, high) - greatest(place, low) AS BIGINT) AS len, CAST(dest AS INTEGER) AS dest FROM lost2 JOIN seats2 ON place < high AND place + len > low""")
+def balance_round2(spark, sf):
+    return _ten(spark).commit([5, 7]).plan([0, 1]).select("start", "len", "dest")
+
+
+@query("current_rank_map", "SELECT CAST(r AS INTEGER) AS original_rank, CAST(CASE WHEN r IN (1, 4) THEN -1 ELSE r - (r > 1)::INT - (r > 4)::INT END AS INTEGER) AS current_rank FROM range(8) t(r)")
+def current_rank_map(spark, sf):
+    return ranks.current_ranks(spark, P, DEAD).fillna({"current_rank": -1})
+
+
+@query("ranks_died", "SELECT n_nationkey AS rank FROM nation WHERE n_regionkey <= 2 EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey <= 2 AND n_nationkey % 3 <> 0")
+def ranks_died(spark, sf):
+    n = table(spark, sf, "nation").where("n_regionkey <= 2").select(F.col("n_nationkey").alias("rank"))
+    return ranks.died_between(n, n.where("rank % 3 <> 0"))
+
+
+@query("only_alive", "SELECT n_nationkey AS rank, n_name FROM nation WHERE n_nationkey NOT IN (1, 4)")
+def only_alive(spark, sf):
+    return ranks.only_alive(table(spark, sf, "nation").select(F.col("n_nationkey").alias("rank"), "n_name"), "rank", DEAD)
+
+
+@query("exclusive_scan", "WITH t AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, n, CAST(coalesce(sum(n) OVER (ORDER BY l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan FROM t")
+def exclusive_scan(spark, sf):
+    return collectives.exclusive_scan(table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), "l_suppkey", "n")
+
+
+@query("allreduce_ops", """SELECT max(l_linenumber) AS o_max, min(l_linenumber) AS o_min, CAST(sum(l_partkey) AS BIGINT) AS o_sum, bool_and(l_linenumber <> 0) AS o_land, bool_or(l_linenumber = 3) AS o_lor,
+    bit_and(l_suppkey) AS o_band, bit_or(l_suppkey) AS o_bor, 1.0::DOUBLE AS o_prod FROM lineitem""")
+def allreduce_ops(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumns({"one": F.lit(1.0), "yes": F.col("l_linenumber") != 0, "three": F.col("l_linenumber") == 3})
+    return collectives.allreduce(rows, o_max=("max", "l_linenumber"), o_min=("min", "l_linenumber"), o_sum=("sum", "l_partkey"), o_land=("land", "yes"), o_lor=("lor", "three"), o_band=("band", "l_suppkey"), o_bor=("bor", "l_suppkey"), o_prod=("prod", "one"))
+
+
+@query("allreduce_empty", "SELECT 0::BIGINT AS o_sum, true AS o_land, false AS o_lor")
+def allreduce_empty(spark, sf):
+    rows = table(spark, sf, "nation").where("n_nationkey < 0").withColumn("yes", F.lit(True))
+    return collectives.allreduce(rows, o_sum=("sum", "n_nationkey"), o_land=("land", "yes"), o_lor=("lor", "yes"))
+
+
+@query("allreduce_vector", "SELECT CAST(i - 1 AS INTEGER) AS position, round(sum(embedding[i]::DOUBLE), 4) AS value FROM embeddings, range(1, 65) t(i) GROUP BY i")
+def allreduce_vector(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("embedding"))
+    return collectives.allreduce_vector(rows, "embedding").select("position", F.round("value", 4).alias("value"))
+
+
+@query("allgather", "SELECT string_agg(n_name, ',' ORDER BY n_nationkey) AS gathered FROM nation")
+def allgather(spark, sf):
+    return collectives.allgather(table(spark, sf, "nation"), "n_nationkey", "n_name").select(F.array_join("gathered", ",").alias("gathered"))
+
+
+@query("gatherv", "SELECT n_regionkey, n_nationkey, n_name FROM nation ORDER BY n_regionkey, n_nationkey")
+def gatherv(spark, sf):
+    return collectives.gatherv(table(spark, sf, "nation").select("n_regionkey", "n_nationkey", "n_name"), "n_regionkey", "n_nationkey")
+
+
+# Vectors, versions ------------------------------------------------------------
+
+
+@query("vector_blocks", """WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, value FROM events)
+    SELECT id // 7 AS block_id, count(*) AS length, round(min_by(value, id), 4) AS first_value, round(max_by(value, id), 4) AS last_value, CAST(7 AS INTEGER) AS n_elems FROM e GROUP BY id // 7""")
+def vector_blocks(spark, sf):
+    e = with_block_ids(table(spark, sf, "events").select("event_id", "value"), ["event_id"], "id")
+    b = vectors.to_blocks(e.select("id", "value"), 7, -1.0)
+    last = F.element_at("elems", F.col("length").cast("int"))
+    return b.select("block_id", "length", F.round(F.col("elems")[0], 4).alias("first_value"), F.round(last, 4).alias("last_value"), F.size("elems").alias("n_elems"))
+
+
+@query("vector_roundtrip", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, value FROM events")
+def vector_roundtrip(spark, sf):
+    e = with_block_ids(table(spark, sf, "events").select("event_id", "value"), ["event_id"], "id")
+    return vectors.from_blocks(vectors.to_blocks(e.select("id", "value"), 7, 0.0), 7)
+
+
+# k-means ----------------------------------------------------------------------
+
+CENTERS = 10
+
+
+def _points(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _first(spark, sf):
+    return [list(r[0]) for r in _points(spark, sf).orderBy("point_id").limit(CENTERS).select("v").collect()]
+
+
+_P0 = """points AS MATERIALIZED (SELECT vec_id AS point_id, embedding::DOUBLE[] AS v FROM embeddings), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY point_id) - 1 AS cid, v FROM points ORDER BY point_id LIMIT 10)"""
+
+
+def _assign_sql(i: int) -> str:
+    return f"""a{i} AS MATERIALIZED (SELECT point_id, v, cid FROM (SELECT p.point_id, p.v, c.cid, row_number() OVER (PARTITION BY p.point_id ORDER BY list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.cid) AS place FROM points p, c{i} c) WHERE place = 1)"""
+
+
+def _update_sql(i: int) -> str:
+    return f"""c{i + 1} AS MATERIALIZED (SELECT c.cid, CASE WHEN n.v IS NULL THEN c.v ELSE n.v END AS v FROM c{i} c LEFT JOIN (SELECT cid, list(m ORDER BY d) AS v FROM (SELECT cid, d, avg(v[d]) AS m FROM a{i}, range(1, 65) t(d) GROUP BY cid, d) GROUP BY cid) n USING (cid))"""
+
+
+@query("kmeans_assign", f"WITH {_P0}, {_assign_sql(0)} SELECT point_id, CAST(cid AS INTEGER) AS cid FROM a0")
+def kmeans_assign(spark, sf):
+    return kmeans.assign(_points(spark, sf), _first(spark, sf))
+
+
+def _center_rows(spark, centers):
+    return kmeans.as_frame(spark, centers).select("cid", "dim", F.round("value", 5).alias("value"))
+
+
+def _center_sql(n: int) -> str:
+    steps = ", ".join(f"{_assign_sql(i)}, {_update_sql(i)}" for i in range(n))
+    return f"WITH {_P0}, {steps} SELECT CAST(cid AS INTEGER) AS cid, CAST(d - 1 AS INTEGER) AS dim, round(v[d], 5) AS value FROM c{n}, range(1, 65) t(d)"
+
+
+@query("kmeans_update", _center_sql(1))
+def kmeans_update(spark, sf):
+    return _center_rows(spark, kmeans.iterate(_points(spark, sf), _first(spark, sf), 1))
+
+
+@query("kmeans_3_iter", _center_sql(3))
+def kmeans_3_iter(spark, sf):
+    return _center_rows(spark, kmeans.iterate(_points(spark, sf), _first(spark, sf), 3))
+
+
+@query("kmeans_with_failures", _center_sql(3))
+def kmeans_with_failures(spark, sf):
+    blocks = with_block_ids(_points(spark, sf), ["point_id"]).select("block_id", "v")
+    p = placement(table(spark, sf, "embeddings"))
+    own = balancer.Ownership.of(balancer.contiguous(spark, p.blocks, P), P)
+    centers, _, _ = kmeans.iterate_with_failures(BlockStore(blocks, p, runs_of(p.blocks)), own, _first(spark, sf), 3, {1: [1], 2: [4]})
+    return _center_rows(spark, centers)
+
+
+# PageRank ----------------------------------------------------------------------
+
+EDGES = """edges AS MATERIALIZED (SELECT CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey ELSE 1000000 + l_partkey END AS src, CASE WHEN l_linenumber % 2 = 1 THEN 1000000 + l_partkey ELSE l_suppkey END AS dst FROM lineitem),
+    vertices AS MATERIALIZED (SELECT s_suppkey AS v FROM supplier UNION ALL SELECT 1000000 + p_partkey FROM part), n AS (SELECT count(*) AS n FROM vertices), deg AS MATERIALIZED (SELECT src, count(*) AS degree FROM edges GROUP BY src)"""
+
+
+def _graph(spark, sf):
+    odd = F.col("l_linenumber") % 2 == 1
+    s, p = F.col("l_suppkey"), F.col("l_partkey") + 1000000
+    edges = table(spark, sf, "lineitem").select(F.when(odd, s).otherwise(p).alias("src"), F.when(odd, p).otherwise(s).alias("dst"))
+    vertices = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("v")).union(table(spark, sf, "part").select(F.col("p_partkey") + 1000000))
+    return edges, vertices
+
+
+def _pagerank_sql(k: int) -> str:
+    steps = "".join(f", r{i} AS MATERIALIZED (SELECT v, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(t, 0) AS pr FROM n, vertices LEFT JOIN (SELECT dst, sum(pr / degree) AS t FROM edges JOIN r{i - 1} ON src = v JOIN deg USING (src) GROUP BY dst) ON dst = v)" for i in range(1, k + 1))
+    return f"WITH {EDGES}, r0 AS (SELECT v, 1.0::DOUBLE / n AS pr FROM vertices, n){steps}, s AS (SELECT sum(pr) AS s FROM r{k})"
+
+
+@query("out_degree", f"WITH {EDGES} SELECT src, degree FROM deg")
+def out_degree(spark, sf):
+    return pagerank.out_degree(_graph(spark, sf)[0])
+
+
+@query("pagerank_10", _pagerank_sql(10) + " SELECT v, round(pr / s, 9) AS pr FROM r10, s")
+def pagerank_10(spark, sf):
+    return pagerank.pagerank(*_graph(spark, sf), iterations=10).select("v", F.round("pr", 9).alias("pr"))
+
+
+@query("pagerank_top20", _pagerank_sql(10) + " SELECT v, round(pr / s, 9) AS pr FROM r10, s ORDER BY pr DESC, v LIMIT 20")
+def pagerank_top20(spark, sf):
+    rounded = pagerank.pagerank(*_graph(spark, sf), iterations=10).select("v", F.round("pr", 9).alias("pr"))
+    return pagerank.top(rounded)
+
+
+@query("pagerank_difference", _pagerank_sql(3) + ", s2 AS (SELECT sum(pr) AS z FROM r2) SELECT round(sqrt(sum(pow(a.pr / s - b.pr / z, 2))), 9) AS l2 FROM r3 a JOIN r2 b USING (v), s, s2")
+def pagerank_difference(spark, sf):
+    g = _graph(spark, sf)
+    return pagerank.l2_difference(pagerank.pagerank(*g, iterations=3), pagerank.pagerank(*g, iterations=2)).select(F.round("l2", 9).alias("l2"))
+
+
+# Failure simulation -------------------------------------------------------------
+
+
+def _draw_sql(*parts: str) -> str:
+    h = "12345"
+    for p in parts:
+        h = f"((({h}) + ({p}) + 1) * 48271) % 1000003"
+        h = f"(({h}) * ({h}) + ({h}) * 7 + 11) % 1000003"
+    return h
+
+
+@query("rank_failures", f"SELECT r AS rank, min(i) AS iteration FROM range(200) a(r), range(50) b(i) WHERE {_draw_sql('i', 'r')} < 10000 GROUP BY r")
+def rank_failures(spark, sf):
+    return failuresim.bernoulli_failures(spark, 200, 50, 10000.5 / failuresim.PRIME)
+
+
+@query("fail_exactly", f"SELECT r AS rank FROM range(200) t(r) ORDER BY {_draw_sql('7::BIGINT', 'r')}, r LIMIT 5")
+def fail_exactly(spark, sf):
+    return failuresim.fail_exactly(spark, 200, 5, 7)
+
+
+def _loss_sql(p: int, r: int, reps: int, group: int) -> str:
+    return f"""WITH dead AS (SELECT rep, g, row_number() OVER (PARTITION BY rep ORDER BY {_draw_sql('rep', 'g')}, g) AS time FROM range({reps}) a(rep), range({-(-p // group)}) b(g)),
+        lost AS (SELECT rep, k, max(time) AS time FROM dead JOIN (SELECT k, ((k + j * {p // r}) % {p}) // {group} AS g FROM range({p}) a(k), range({r}) b(j)) USING (g) GROUP BY rep, k)
+        SELECT rep AS repetition, CAST(least(min(time) * {group}, {p}) AS INTEGER) AS failures FROM lost GROUP BY rep"""
+
+
+@query("failures_until_loss", _loss_sql(64, 4, 20, 1))
+def failures_until_loss(spark, sf):
+    return failuresim.failures_until_loss(spark, 64, 4, 20)
+
+
+@query("node_failures_until_loss", _loss_sql(96, 3, 20, 4))
+def node_failures_until_loss(spark, sf):
+    return failuresim.failures_until_loss(spark, 96, 3, 20, 4)
+
+
+@query("expected_failures", "SELECT * FROM (VALUES (4, 4.0::DOUBLE), (8, 6.4), (16, 10.502564)) t(ranks, expected)")
+def expected_failures(spark, sf):
+    return spark.createDataFrame([(p, round(failuresim.expected_failures(p, 4), 6)) for p in (4, 8, 16)], "ranks int, expected double")
+
+
+@query("loss_probability_approx", "SELECT p, r, round(pow(r, 1.0 / r) / pow(p, 1.0 / r) * p, 6) AS approx FROM (SELECT CAST(pow(2, i) AS BIGINT) AS p FROM range(3, 15) t(i)), range(2, 7) u(r)")
+def loss_probability_approx(spark, sf):
+    rows = spark.range(3, 15).select(F.pow(F.lit(2), "id").cast("long").alias("p")).crossJoin(spark.range(2, 7).select(F.col("id").alias("r")))
+    return rows.select("p", "r", F.round(failuresim.approximate_failures(F.col("p"), F.col("r")), 6).alias("approx"))
+
+
+@query("failure_rate", "SELECT i AS iterations, round(1 - pow(1 - 0.01, 1.0 / i), 12) AS q FROM (VALUES (1), (10), (500)) t(i)")
+def failure_rate(spark, sf):
+    return spark.createDataFrame([(i, round(failuresim.per_iteration(0.01, i), 12)) for i in (1, 10, 500)], "iterations int, q double")
+
+
+# Reporting ------------------------------------------------------------------------
+
+
+@query("report_summary", """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS low, max(value) AS high,
+    round(median(value), 6) AS median, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY event_type""")
+def report_summary(spark, sf):
+    s = report.summary(table(spark, sf, "events"), ["event_type"], "value")
+    return s.select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd")), "low", "high", *(F.round(c, 6).alias(c) for c in ("median", "q10", "q90")))
+
+
+@query("report_unpivot", """
+    SELECT l_orderkey, l_linenumber, 'quantity' AS name, l_quantity AS value FROM lineitem WHERE l_orderkey <= 2000 UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem WHERE l_orderkey <= 2000""")
+def report_unpivot(spark, sf):
+    return report.longer(table(spark, sf, "lineitem").where("l_orderkey <= 2000"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"], prefix="l_")
+
+
+@query("report_pivot", "SELECT l_returnflag, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 END) AS BIGINT) AS F, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 END) AS BIGINT) AS O FROM lineitem GROUP BY l_returnflag")
+def report_pivot(spark, sf):
+    counted = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    return report.wider(counted, ["l_returnflag"], "l_linestatus", "n", ["F", "O"])
+
+
+@query("report_union_fill", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS parent FROM nation UNION ALL SELECT r_regionkey, r_name, -1 FROM region")
+def report_union_fill(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))
+    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return report.union_fill(n, r, fill={"parent": -1})
+
+
+@query("report_slowdown_join", """WITH t AS (SELECT l_suppkey, l_linestatus = 'O' AS sw, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL)
+    SELECT a.l_suppkey, round(a.v / b.v, 6) AS ratio FROM t a JOIN t b USING (l_suppkey) WHERE a.sw AND NOT b.sw""")
+def report_slowdown_join(spark, sf):
+    t = table(spark, sf, "lineitem").groupBy("l_suppkey", (F.col("l_linestatus") == "O").alias("sw")).agg(F.avg("l_extendedprice").alias("v"))
+    return report.slowdown(t, ["l_suppkey"], "sw", "v").select("l_suppkey", F.round("ratio", 6).alias("ratio"))
+
+
+@query("report_two_stage", "WITH t AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY ALL) SELECT event_type, round(avg(m), 6) AS mean, round(max(m), 6) AS high FROM t GROUP BY event_type")
+def report_two_stage(spark, sf):
+    return report.two_stage(table(spark, sf, "events"), ["event_type", "user_id"], ["event_type"], "value").select("event_type", F.round("mean", 6).alias("mean"), F.round("high", 6).alias("high"))
+
+
+@query("report_recode", "SELECT p_brand, CASE p_brand WHEN 'Brand#11' THEN 'first' WHEN 'Brand#12' THEN 'second' ELSE p_brand END AS label, count(*) AS n FROM part GROUP BY ALL")
+def report_recode(spark, sf):
+    return table(spark, sf, "part").groupBy("p_brand", report.recode("p_brand", {"Brand#11": "first", "Brand#12": "second"}).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("report_regex", r"SELECT doc_id, regexp_extract(source, '^([a-z]+)([0-9]+)$', 2) AS number, upper(lang) || '-' || trim(source) AS label, replace(source, 'src', 's') AS short FROM documents")
+def report_regex(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.regexp_extract("source", r"(?<=[a-z])([0-9]+)$", 1).alias("number"), F.concat_ws("-", F.upper("lang"), F.trim("source")).alias("label"), F.regexp_replace("source", "^src", "s").alias("short"))
+
+
+@query("report_math", "SELECT p_partkey, CAST(ceil(p_retailprice) AS BIGINT) AS up, round(log2(p_retailprice), 6) AS lg, round(pow(p_size, 2), 6) AS sq, p_retailprice / 1e6 AS ms FROM part")
+def report_math(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.ceil("p_retailprice").alias("up"), F.round(F.log2("p_retailprice"), 6).alias("lg"), F.round(F.pow("p_size", F.lit(2)), 6).alias("sq"), (F.col("p_retailprice") / 1e6).alias("ms"))
+
+
+@query("report_distinct", "SELECT DISTINCT event_type FROM events WHERE event_type IN ('click', 'purchase') OR value > 0")
+def report_distinct(spark, sf):
+    return table(spark, sf, "events").where(F.col("event_type").isin("click", "purchase") | (F.col("value") > 0)).select("event_type").distinct()
+
+
+@query("djb2_hash", "SELECT doc_id, list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(source, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296) AS h FROM documents")
+def djb2_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", scalars.djb2(F.col("source")).alias("h"))
+
+
+@query("bit_helpers", """SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 0 ELSE length(bin(o_orderkey)) END AS n_bits, length(bin(o_orderkey)) - 1 AS msb, o_orderkey >> 8 AS high_half, o_orderkey & 255 AS low_half, o_orderkey AS combined, o_orderkey BETWEEN -128 AND 127 AS tiny FROM orders""")
+def bit_helpers(spark, sf):
+    k = F.col("o_orderkey")
+    high, low = scalars.left_half(k, 16), scalars.right_half(k, 16)
+    return table(spark, sf, "orders").select("o_orderkey", scalars.num_bits(k).cast("long").alias("n_bits"), scalars.most_significant_bit(k).cast("long").alias("msb"), high.alias("high_half"), low.alias("low_half"), scalars.combine_halves(high, low, 16).alias("combined"), scalars.in_range(k, "tinyint").alias("tiny"))
+
+
+# Numbers of rows that each rank would serve: balances of a routed pull.
+
+
+@query("request_routing", f"""WITH {BLOCKS} SELECT CAST(range_id AS BIGINT) AS range_id, CAST(d AS INTEGER) AS dest, CAST(greatest(d * (n // 10), start) AS BIGINT) AS start, CAST(least(d * (n // 10) + n // 10, last + 1) - greatest(d * (n // 10), start) AS BIGINT) AS len
+    FROM range(8) t(d), total, bounds WHERE d NOT IN (1, 4) AND d * (n // 10) <= last AND d * (n // 10) + n // 10 > start""")
+def request_routing(spark, sf):
+    s = store(spark, sf, dead=DEAD)
+    return s.route(_shifted_requests(s)).select("range_id", "dest", "start", "len")
+
+
+@query("initial_ownership", f"WITH {BLOCKS} SELECT start, length AS len, CAST(range_id AS INTEGER) AS owner FROM bounds")
+def initial_ownership(spark, sf):
+    counts = orders(spark, sf).withColumn("owner", placement(table(spark, sf, "orders")).range_of(F.col("block_id")).cast("int")).groupBy("owner").agg(F.count(F.lit(1)).alias("len"))
+    return collectives.exclusive_scan(counts, "owner", "len", "start").select("start", "len", "owner")
+
