@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,19 +32,24 @@ def write_graph(edges: DataFrame, n: int, path: str, files: int = 4) -> None:
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """point_id, v from a file with header ``n d`` and one point per line."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("c"), F.monotonically_increasing_id().alias("at"))
-    head = lines.orderBy("at").head()
+    """point_id, v from text with header ``n d`` and one point per line; the
+    files of a folder follow each other in name order."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = lines.select(F.split(F.trim("value"), r"\s+").alias("c"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    head = lines.orderBy("file", "at").head()
     if head is None or len(head["c"]) != 2:
         raise ValueError("no header")
     n, d = map(int, head["c"])
-    rows = lines.where(F.col("at") != head["at"]).where((F.size("c") == d))
-    if rows.count() != n:
-        raise ValueError("number of points differs from the header")
-    from blockwright.operators.dense import with_block_ids
-
-    values = rows.select("at", F.transform("c", lambda x: x.cast("double")).alias("v"))
-    return with_block_ids(values, ["at"], "point_id").select("point_id", "v")
+    counts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))  # a row per file
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    numbered = lines.withColumn("inside", inside).join(offsets, "file")
+    rows = numbered.select((F.col("offset") + F.col("inside") - 2).alias("point_id"), F.transform("c", lambda x: x.cast("double")).alias("v")).where("point_id >= 0")
+    bad = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("v") != d).alias("odd")).head()
+    if bad["n"] != n or bad["odd"]:
+        raise ValueError("points differ from the header")
+    return rows
 
 
 def write_points(points: DataFrame, path: str) -> None:
