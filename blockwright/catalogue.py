@@ -13,10 +13,11 @@ from blockwright.functions import scalars
 from blockwright.functions.permutation import Congruential, Feistel, Ranges
 from blockwright.operators import balancer, collectives, failuresim, kmeans, pagerank, ranks, report
 from blockwright.operators.dense import with_block_ids
-from blockwright.operators.store import BlockStore, Submission, expand_ranges, id_runs
+from blockwright.operators.store import BlockStore, expand_ranges, id_runs
 from blockwright.plans.placement import Placement
 from blockwright.plans.session import table
 from blockwright.sources import vectors
+from blockwright.streaming.submission import Submission
 
 P, R, DEAD, LOSS, RUN = 8, 3, (1, 4), (0, 2, 4), 16
 QUERIES: dict = {}

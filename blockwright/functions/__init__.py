@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: permutations and scalar helpers."""

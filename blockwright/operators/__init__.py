@@ -1 +1 @@
-"""See the package README."""
+"""Operators over blocks, ranks and measurements."""

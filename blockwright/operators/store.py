@@ -11,7 +11,6 @@ on the range number, never by an interval comparison of blocks.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,20 +126,3 @@ def id_runs(rows: DataFrame, group: str, id_: str = "block_id") -> DataFrame:
     w = Window.partitionBy(group).orderBy(id_)
     island = rows.withColumn("_island", F.col(id_) - F.row_number().over(w))
     return island.groupBy(group, "_island").agg(F.min(id_).alias("first_id"), F.max(id_).alias("last_id")).drop("_island")
-
-
-class Submission:
-    """A submit that runs in the background: poll, then wait; errors surface."""
-
-    _pool = ThreadPoolExecutor(max_workers=4)
-
-    def __init__(self, store: BlockStore):
-        self.frame = store.replicas().persist()
-        self._done: Future = self._pool.submit(self.frame.count)
-
-    def poll(self) -> bool:
-        return self._done.done()
-
-    def wait(self) -> DataFrame:
-        self._done.result()
-        return self.frame

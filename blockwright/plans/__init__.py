@@ -1 +1 @@
-"""See the package README."""
+"""Placement of blocks and session helpers."""

@@ -1 +1 @@
-"""See the package README."""
+"""Sources and sinks: vectors, text and CSV files."""

@@ -1 +1 @@
-"""See the package README."""
+"""Work that goes on in the background."""
