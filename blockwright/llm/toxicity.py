@@ -129,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives:
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("toxicity")), 11) / F.lit(float(2**53))
     share = F.when(F.col("toxic") == 1, F.lit(positives / max(n1, 1))).otherwise(F.lit(negatives / max(n0, 1)))
-    chosen = docs.select("doc_id", "text").join(known.where(draw < share), "doc_id")
+    # the sample's ids are bounded by its two parameters, whatever the corpus
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known.where(draw < share)), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
