@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from blockwright.functions.scalars import div
+
 WALK = 256
 
 
@@ -58,9 +60,9 @@ class Congruential:
             # the multiple of five among x-1, x-1+m, ... x-1+4m, divided
             y = F.pmod(x - 1, F.lit(m))
             j = F.pmod(-y * pow(m, -1, 5), F.lit(5))
-            return F.expr("0L") + F.floor((y + j * m) / 5) if m < 1 << 50 else ((y + j * m) - F.pmod(y + j * m, F.lit(5))) / 5
+            return div(y + j * m, 5)
 
-        return _walk(lambda x: back(x).cast("long"), self.n, value.cast("long"))
+        return _walk(back, self.n, value.cast("long"))
 
 
 @dataclass(frozen=True)
@@ -107,7 +109,7 @@ class Ranges:
 
     def _moved(self, value: Column, move) -> Column:
         size = self.effective
-        number = F.floor(value / size).cast("long")
+        number = div(value, size)
         return F.when(number < self.n // size, move(number) * size + F.pmod(value, F.lit(size))).otherwise(value).cast("long")
 
     def apply(self, value: Column) -> Column:
@@ -119,4 +121,4 @@ class Ranges:
 
     def last_of_run(self, value: Column) -> Column:
         size = self.effective
-        return F.least(F.floor(value / size) * size + (size - 1), F.lit(self.n - 1)).cast("long")
+        return F.least(div(value, size) * size + (size - 1), F.lit(self.n - 1)).cast("long")

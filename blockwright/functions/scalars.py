@@ -8,6 +8,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def div(a: Column, b: Column | int) -> Column:
+    """Whole-number division, exact for all 64 bits."""
+    return F.call_function("div", a, F.lit(b).cast("long") if isinstance(b, int) else b)
+
+
 LIMITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 
 

@@ -113,9 +113,9 @@ def iterate_with_failures(store, ownership, centers: Centers, iterations: int, f
             store = store.fail(dead)
             store.placement.check_no_loss(points.sparkSession, store.dead)
             plan = ownership.plan(dead)
-            restored = store.pull(plan.select("start", "len", "dest"))
-            kept = store.blocks.join(restored.select("block_id"), "block_id", "left_anti")
-            points = kept.unionByName(restored.select(*store.blocks.columns)).withColumnRenamed("block_id", "point_id")
+            pulled = store.pull(plan.select("start", "len", "dest"))
+            kept = store.blocks.join(pulled.select("block_id"), "block_id", "left_anti")
+            points = kept.unionByName(pulled.select(*store.blocks.columns)).withColumnRenamed("block_id", "point_id")
             ownership = ownership.commit(dead)
         state.active = update(partial_sums(points, state.active), state.active)[0]
         state.commit()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwright.functions.permutation import Identity
+from blockwright.functions.scalars import div
 from blockwright.plans.placement import Placement
 
 
@@ -66,7 +67,7 @@ class BlockStore:
         run = getattr(order, "effective", None)
         pieces = requests.where("len > 0")
         if run:  # consecutive ids stay consecutive inside a run only
-            cut = F.sequence(F.floor(F.col("start") / run), F.floor((F.col("start") + F.col("len") - 1) / run))
+            cut = F.sequence(div(F.col("start"), run), div(F.col("start") + F.col("len") - 1, run))
             pieces = pieces.select("dest", F.explode(cut).alias("run"), "start", F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e"))
             pieces = pieces.select("dest", F.greatest(F.col("s"), F.col("run") * run).alias("start"), F.least(F.col("e"), (F.col("run") + 1) * run).alias("end"))
             pieces = pieces.select("dest", "start", (F.col("end") - F.col("start")).alias("len"))
@@ -111,7 +112,7 @@ class BlockStore:
         alive = F.array_sort(self.placement.alive_ranks_of(F.col("range_id"), self.dead))
         n = F.size("alive")
         rows = requests.withColumn("alive", alive).select("*", n.alias("a"), F.posexplode("alive").alias("i", "serving"))
-        base, extra = F.floor(F.col("len") / F.col("a")), F.pmod("len", F.col("a"))
+        base, extra = div(F.col("len"), F.col("a")), F.pmod("len", F.col("a"))
         start = F.col("start") + F.col("i") * base + F.least(F.col("i"), extra)
         return rows.select("range_id", "serving", start.alias("start"), (base + (F.col("i") < extra).cast("int")).alias("len")).where("len > 0")
 

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockwright.functions.scalars import div
+
 
 class DataLossError(RuntimeError):
     """Some block range has no alive replica left."""
@@ -50,7 +52,7 @@ class Placement:
         b, x = self.per_range, self.larger_ranges
         head = (b + 1) * x
         ok = (block >= 0) & (block < self.blocks)
-        inside = F.when(block < head, F.floor(block / (b + 1))).otherwise(x + F.floor((block - head) / b)).cast("long")
+        inside = F.when(block < head, div(block, b + 1)).otherwise(x + div(block - head, b)).cast("long")
         return F.when(ok, inside).when(block.isNotNull(), F.raise_error(F.lit("block id outside the store")).cast("long"))
 
     def start(self, k: Column) -> Column:
