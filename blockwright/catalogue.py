@@ -611,6 +611,29 @@ def report_math(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.ceil("p_retailprice").alias("up"), F.round(F.log2("p_retailprice"), 6).alias("lg"), F.round(F.pow("p_size", F.lit(2)), 6).alias("sq"), (F.col("p_retailprice") / 1e6).alias("ms"))
 
 
+@query("report_human_bytes", """SELECT o_orderkey, CASE WHEN b >= 1048576 THEN printf('%.1f MiB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.1f KiB', b / 1024.0) ELSE printf('%.0f B', b::DOUBLE) END AS size
+    FROM (SELECT o_orderkey, o_orderkey * 300 AS b FROM orders WHERE o_orderkey % 2 = 1)""")  # odd: no ties in rounding
+def report_human_bytes(spark, sf):
+    return table(spark, sf, "orders").where("o_orderkey % 2 = 1").select("o_orderkey", scalars.human_bytes(F.col("o_orderkey") * 300).alias("size"))
+
+
+@query("report_ordered_levels", "SELECT o_orderpriority AS level, CAST(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 ELSE 2 END AS INTEGER) AS place, count(*) AS n FROM orders GROUP BY ALL")
+def report_ordered_levels(spark, sf):
+    place = F.coalesce(F.array_position(F.array(F.lit("1"), F.lit("2")), F.substring("o_orderpriority", 1, 1)), F.lit(0))
+    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("level"), F.when(place > 0, place - 1).otherwise(2).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("report_whole_table", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS low, max(value) AS high FROM events")
+def report_whole_table(spark, sf):
+    v = F.col("value")
+    return table(spark, sf, "events").agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+@query("balance_for_rank", f"WITH {ROUND1} SELECT CAST(start AS BIGINT) AS start, CAST(len AS BIGINT) AS len FROM pieces1 WHERE dest = 4")
+def balance_for_rank(spark, sf):
+    return _ten(spark).plan_for([5, 7], 4)
+
+
 @query("report_distinct", "SELECT DISTINCT event_type FROM events WHERE event_type IN ('click', 'purchase') OR value > 0")
 def report_distinct(spark, sf):
     return table(spark, sf, "events").where(F.col("event_type").isin("click", "purchase") | (F.col("value") > 0)).select("event_type").distinct()
