@@ -80,7 +80,7 @@ class Machine:
         return out
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, max_terms: int = 2048, steps: int = 250) -> Machine:
+def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, max_terms: int = 512, steps: int = 400) -> Machine:
     """Fit on term arrays and 0/1 labels; ``prior``: the share of ones to expect."""
     none = Machine(np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, FACTORS)), 0.0)
     n1 = int(toxic.sum())
@@ -117,7 +117,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, max_terms: int
         for i, g in enumerate(gradient):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
-            params[i] = params[i] - 0.05 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
+            params[i] = params[i] - 0.15 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
     shift = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))  # the fit has weighed both classes alike
     return Machine(found[usable], params[1].astype(np.float64), params[2].astype(np.float64), float(params[0][0]) + shift)
 
