@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -53,3 +54,10 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame.sparkSession)}/blockwright-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nobody holds any more;
+    it does so when the driver's heap is collected, which may take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -37,11 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm import _graph, _text
-from blockwright.llm._session import checkpoint
+from blockwright.llm._session import checkpoint, release
 
 WIDTH = 5
 PERCENT = 75
@@ -68,9 +69,9 @@ def needed(size: np.ndarray | int):
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles in each of 4n or more cells (a power of two)."""
+    """Parity of the shingles in each of 2n or more cells (a power of two)."""
     cells = 64
-    while cells < 4 * shingles.size and cells < 1 << 20:
+    while cells < 2 * shingles.size and cells < 1 << 20:
         cells *= 2
     odd = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -174,9 +175,9 @@ def _pack(frequency, buckets: int):
                     if not own.size or (key := class_key(own)) in seen:
                         continue
                     seen.add(key)
-                    s, f, level = prefix(_text.shingles(own, WIDTH), frequency.value)
-                    size = _text.shingles(own, WIDTH).size
-                    trait = size * 8 + level
+                    whole = _text.shingles(own, WIDTH)
+                    s, f, level = prefix(whole, frequency.value)
+                    trait = whole.size * 8 + level
                     if (f > HOT).any():
                         hot += [(t, key, trait) for t in s[f > HOT].view(np.int64).tolist()]
                         s = s[f <= HOT]
@@ -250,7 +251,13 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Candidate pairs of the packed rows of each bucket; large groups as rows."""
     held: dict[int, list] = {}
     for batch in batches:
+        hot = batch.filter(pa.compute.is_valid(batch.column("token")))
+        if hot.num_rows:
+            columns = [*(pa.nulls(hot.num_rows).cast(pa.int64()) for _ in range(4)), *(hot.column(c) for c in ("token", "key", "trait"))]
+            yield pa.record_batch(columns, names=["a", "b", "shared", "need", "token", "key", "trait"])
         for b, keys, traits, counts, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if keys is None:
+                continue
             count = np.frombuffer(counts, dtype=np.uint32)
             key = np.repeat(np.frombuffer(keys, dtype=np.int64), count)
             trait = np.repeat(np.frombuffer(traits, dtype=np.uint32), count)
@@ -305,28 +312,29 @@ class Join:
         described = checkpoint(self.docs.mapInArrow(_describe, "doc_id long, key long, n long, bits binary, slice int, cells binary"))
         self.frequency = frequencies(described)
         self.rows = described.where("slice IS NULL").select("doc_id", "key", "n")
-        self.classes = described.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+        self.classes = checkpoint(described.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bits").alias("bits")))
 
     def candidates(self) -> DataFrame:
         """Pair rows (a, b, shared, need) and rows of large groups (token, key, trait)."""
         frequency = self.spark.sparkContext.broadcast(self.frequency)
-        packed = checkpoint(self.docs.mapInArrow(_pack(frequency, self.buckets), _PACKED))
-        small = packed.where("token IS NULL").select("bucket", "keys", "traits", "counts", "tokens").repartition(self.buckets, "bucket")
-        hot = packed.where("token IS NOT NULL")
-        none = [F.lit(None).cast("long").alias(c) for c in ("a", "b", "shared", "need")]
-        return checkpoint(small.mapInArrow(_join_buckets, _PAIRS).union(hot.select(*none, "token", "key", "trait")))
+        packed = self.docs.mapInArrow(_pack(frequency, self.buckets), _PACKED)
+        return checkpoint(packed.repartition(self.buckets, "bucket").mapInArrow(_join_buckets, _PAIRS))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def screened(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the bitmaps permit to link."""
+        side = lambda c: self.classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
+        return checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen, "a long, b long"))
+
+    def texts_of(self, keys: DataFrame) -> DataFrame:
+        """Packed texts of classes, one each: the only time that texts move."""
+        reps = self.classes.select("key", F.col("rep").alias("doc_id")).join(keys.distinct(), "key", "left_semi")
+        return checkpoint(self.docs.join(reps, "doc_id").mapInArrow(_squeeze, "key long, packed binary").dropDuplicates(["key"]))
+
+    @staticmethod
+    def verified(screened: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
-        info = self.classes.select("key", "n", "bits")
-        side = lambda c: info.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
-        screened = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen, "a long, b long"))
-        wanted = screened.select(F.col("a").alias("key")).union(screened.select("b")).distinct()
-        reps = self.classes.select("key", F.col("rep").alias("doc_id")).join(wanted, "key", "left_semi")
-        first = self.docs.join(reps, "doc_id")
-        texts = first.mapInArrow(_squeeze, "key long, packed binary")
-        joined = screened.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("packed_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("packed").alias("packed_b")), "b")
-        return checkpoint(joined.mapInArrow(_verify, "a long, b long").distinct())
+        side = lambda c: texts.select(F.col("key").alias(c), F.col("packed").alias(f"packed_{c}"))
+        return checkpoint(screened.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long"))
 
     def links(self) -> DataFrame:
         """Links (a, b) between classes that give the true components: every
@@ -334,13 +342,19 @@ class Join:
         found = self.candidates()
         pairs = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
         pairs = checkpoint(pairs)
-        edges = self.verified(pairs.where("shared >= need").select("a", "b"))
+        release(self.spark)
+        first = self.screened(pairs.where("shared >= need").select("a", "b"))
         hot = found.where("token IS NOT NULL").select("token", "key", "trait").distinct()
+        texts = self.texts_of(first.select(F.col("a").alias("key")).union(first.select("b")).union(hot.select("key")))
+        release(self.spark)
+        edges = self.verified(first, texts)
+        release(self.spark)
         if hot.isEmpty():
             return edges
+        hot = checkpoint(hot)
         for round_ in range(3):
             label = _graph.components(edges)
-            at = checkpoint(hot.join(label.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "trait", F.coalesce("label", "key").alias("label")))
+            at = hot.join(label.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "trait", F.coalesce("label", "key").alias("label"))
             open_ = at.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
             at = checkpoint(at.join(open_, "token", "left_semi"))
             if at.isEmpty():
@@ -349,7 +363,7 @@ class Join:
                 new = self._against_pivots(at, 4 + 12 * round_, round_)
             else:
                 new = self._all_across(at, pairs)
-            edges = checkpoint(edges.union(self.verified(new)).distinct())
+            edges = checkpoint(edges.union(self.verified(self.screened(new), texts)).distinct())
         return edges
 
     @staticmethod
@@ -394,5 +408,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but the smallest id of each component.
 
     Of rows that repeat the id, all stay or all go."""
-    kept = components(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
+    kept = checkpoint(components(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct())
+    release(docs.sparkSession)
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
