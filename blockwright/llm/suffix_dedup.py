@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +139,46 @@ def runs(places: np.ndarray) -> np.ndarray:
     return np.stack([places[edge[:-1]], places[edge[1:] - 1]], axis=1)
 
 
-_IDS = "d long, h long"
+_PARCELS = "part int, ds binary, hs binary, sizes binary, data binary"
+
+
+def parcels(d: np.ndarray, h: np.ndarray, payload: list[bytes], parts: int) -> pa.RecordBatch:
+    """Payloads of many texts, packed into a row per part of the texts."""
+    part = (_text.mix(d.view(np.uint64) ^ _text.mix(h.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    columns: list[list] = [[], [], [], [], []]
+    for k in np.flatnonzero(np.diff(edges)):
+        at = order[edges[k] : edges[k + 1]]
+        own = [payload[i] for i in at]
+        values = (k, d[at].tobytes(), h[at].tobytes(), np.fromiter(map(len, own), dtype=np.uint32, count=len(own)).tobytes(), b"".join(own))
+        for column, value in zip(columns, values, strict=True):
+            column.append(value)
+    return pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "ds", "hs", "sizes", "data"])
+
+
+def _unpack(name: str):
+    """One row per text from the parcels of a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[bytes]] = {}
+        for batch in batches:
+            for ds, hs, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("ds", "hs", "sizes", "data")), strict=True):
+                end = np.cumsum(np.frombuffer(sizes, dtype=np.uint32)).tolist()
+                start = 0
+                for d, h, stop in zip(np.frombuffer(ds, dtype=np.int64).tolist(), np.frombuffer(hs, dtype=np.int64).tolist(), end, strict=True):
+                    held.setdefault((d, h), []).append(data[start:stop])
+                    start = stop
+        keys = list(held)
+        for at in range(0, len(keys), 2000):
+            some = keys[at : at + 2000]
+            yield pa.record_batch([pa.array([k[0] for k in some], pa.int64()), pa.array([k[1] for k in some], pa.int64()), pa.array([b"".join(held.pop(k)) for k in some], pa.binary())], names=["d", "h", name])
+
+    return run
+
+
+def _by_text(packed: DataFrame, name: str, parts: int) -> DataFrame:
+    return packed.repartition(parts, "part").mapInArrow(_unpack(name), f"d long, h long, {name} binary")
 
 
 def _hash_anchors(length: int, buckets: int):
@@ -171,31 +211,40 @@ def _hash_anchors(length: int, buckets: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(parts: int):
     """Per text, the ordinals of its anchors whose hash occurs twice or more."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            held.setdefault(b, []).append(blobs)
-    for b in list(held):
-        blobs = held.pop(b)
-        d, h = (np.concatenate([np.frombuffer(x[i], dtype=np.int64) for x in blobs]) for i in (0, 1))
-        count, hashes, ordinal = (np.concatenate([np.frombuffer(x[i], dtype=np.uint32) for x in blobs]) for i in (2, 3, 4))
-        order = np.argsort(hashes, kind="stable")
-        s = hashes[order]
-        twin = np.zeros(s.size, dtype=bool)
-        twin[1:] = s[1:] == s[:-1]
-        twin[:-1] |= twin[1:]
-        keep = np.zeros(s.size, dtype=bool)
-        keep[order] = twin
-        owner = np.repeat(np.arange(d.size), count)[keep]
-        ordinal = ordinal[keep]
-        if not owner.size:
-            continue
-        edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
-        who = owner[edge[:-1]]
-        packed = [ordinal[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
-        yield pa.record_batch([pa.array(d[who], pa.int64()), pa.array(h[who], pa.int64()), pa.array(packed, pa.binary())], names=["d", "h", "ordinals"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                held.setdefault(b, []).append(blobs)
+        for b in list(held):
+            found = _repeated_in(held.pop(b))
+            if found[2]:
+                yield parcels(*found, parts)
+
+    return run
+
+
+def _repeated_in(blobs: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    d, h = (np.concatenate([np.frombuffer(x[i], dtype=np.int64) for x in blobs]) for i in (0, 1))
+    count, hashes, ordinal = (np.concatenate([np.frombuffer(x[i], dtype=np.uint32) for x in blobs]) for i in (2, 3, 4))
+    order = np.argsort(hashes, kind="stable")
+    s = hashes[order]
+    twin = np.zeros(s.size, dtype=bool)
+    twin[1:] = s[1:] == s[:-1]
+    twin[:-1] |= twin[1:]
+    keep = np.zeros(s.size, dtype=bool)
+    keep[order] = twin
+    owner = np.repeat(np.arange(d.size), count)[keep]
+    ordinal = ordinal[keep]
+    if not owner.size:
+        return d[:0], h[:0], []
+    edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
+    who = owner[edge[:-1]]
+    packed = [ordinal[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+    return d[who], h[who], packed
 
 
 _SUFFIXES = "bucket int, d long, h long, spans binary, packed binary"
@@ -214,7 +263,7 @@ def _send_suffixes(length: int, splitters: list[bytes]):
             best: dict[bytes, tuple[int, int, int, int]] = {}
             known: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for i, place, low, high, _ in anchors(texts, length):
-                mine = np.unique(np.frombuffer(b"".join(wanted[i]), dtype=np.uint32))
+                mine = np.unique(np.frombuffer(wanted[i], dtype=np.uint32))
                 text = texts[i]
                 for p, s, e in zip(place[mine].tolist(), low[mine].tolist(), high[mine].tolist(), strict=True):
                     context = text[s : e + length]
@@ -310,13 +359,13 @@ def _equal_contexts(buffer: np.ndarray, base: np.ndarray, size: np.ndarray) -> t
     return np.concatenate(orders), np.concatenate(labels)
 
 
-def _sort_buckets(length: int):
+def _sort_buckets(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             spans = batch.filter(pa.compute.is_valid(batch.column("spans")))
             if spans.num_rows:
-                yield pa.record_batch([spans.column("d"), spans.column("h"), spans.column("spans")], names=["d", "h", "spans"])
+                yield parcels(spans.column("d").to_numpy(), spans.column("h").to_numpy(), spans.column("spans").to_pylist(), parts)
             for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 if packed is not None:
                     held.setdefault(b, []).append(packed)
@@ -336,16 +385,16 @@ def _sort_buckets(length: int):
             d, h, place = d[order], h[order], place[order]
             edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]), [True])))
             packed = [runs(place[x:y]).tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.record_batch([pa.array(d[edge[:-1]], pa.int64()), pa.array(h[edge[:-1]], pa.int64()), pa.array(packed, pa.binary())], names=["d", "h", "spans"])
+            yield parcels(d[edge[:-1]], h[edge[:-1]], packed, parts)
 
     return run
 
 
-def covered(spans: list[bytes] | None, length: int) -> list[tuple[int, int]]:
+def covered(spans: bytes | None, length: int) -> list[tuple[int, int]]:
     """Maximal byte ranges [first, end) that the windows of all spans cover."""
     if not spans:
         return []
-    found = np.concatenate([np.frombuffer(s, dtype=np.int64).reshape(-1, 2) for s in spans])
+    found = np.frombuffer(spans, dtype=np.int64).reshape(-1, 2)
     found = found[np.argsort(found[:, 0], kind="stable")]
     out: list[tuple[int, int]] = []
     for first, last in found.tolist():
@@ -395,13 +444,11 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     narrow = marked.select("d", "h", "text")
     buckets = max(8, parts // 4)
     hashed = narrow.mapInArrow(_hash_anchors(length, buckets), "bucket int, ds binary, hs binary, counts binary, hashes binary, ordinals binary")
-    repeated = hashed.repartition(buckets, "bucket").mapInArrow(_repeated, f"{_IDS}, ordinals binary")
-    wanted = repeated.groupBy("d", "h").agg(F.collect_list("ordinals").alias("ordinals"))
+    wanted = _by_text(hashed.repartition(buckets, "bucket").mapInArrow(_repeated(parts), _PARCELS), "ordinals", parts)
     splitters = _splitters(narrow, length, parts)
     suffixes = narrow.join(wanted, ["d", "h"]).mapInArrow(_send_suffixes(length, splitters), _SUFFIXES)
-    spans = suffixes.repartition(parts, "bucket").mapInArrow(_sort_buckets(length), f"{_IDS}, spans binary")
-    by_text = spans.groupBy("d", "h").agg(F.collect_list("spans").alias("spans"))
-    return marked.join(by_text, ["d", "h"], "left")
+    sorted_ = suffixes.repartition(parts, "bucket").mapInArrow(_sort_buckets(length, parts), _PARCELS)
+    return marked.join(_by_text(sorted_, "spans", parts), ["d", "h"], "left")
 
 
 def digests(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -423,17 +470,16 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with the repeated bytes gone from ``text``.  A character of which
     only part was repeated goes as a whole; a null text stays null."""
-    columns = docs.columns
-    schema = docs.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    # other columns wait inside a struct, so that none clashes with those used here
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in other)).alias("_other"))
+    kind = held.schema["_other"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else cut(t, covered(s, length)).decode("utf-8", "ignore") for t, s in zip(_text.utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("_other")], names=["doc_id", "text", "_other"])
 
-    # other columns wait under one name, so that none clashes with those used here
-    other = [c for c in columns if c not in ("doc_id", "text")]
-    held = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in other)).alias("_other")) if other else docs.select("doc_id", "text")
-    found = repeated_spans(held, length)
-    return found.select(*("doc_id" if c == "doc_id" else "text" if c == "text" else F.col(f"_other.`{c}`").alias(c) for c in columns), "spans").mapInArrow(run, fields)
+    found = repeated_spans(held, length).select("doc_id", "text", "_other", "spans")
+    out = found.mapInArrow(run, f"doc_id long, text string, _other {kind}")
+    return out.select(*(c if c in ("doc_id", "text") else F.col(f"_other.`{c}`").alias(c) for c in docs.columns))
