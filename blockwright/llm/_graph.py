@@ -7,34 +7,36 @@ from pyspark.sql import functions as F
 
 from blockwright.llm._session import checkpoint
 
-JUMPS = 3
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label`` (the smallest node id of its component) for every node
     that has an edge ``a``-``b``.
 
-    In a round each node points to its smallest neighbour if that is smaller,
-    pointers are doubled, and edges are renamed to the nodes pointed at; edges
-    inside one node vanish.  Rounds go on until no edge is left."""
-    ends = edges.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    left = checkpoint(ends.distinct())
+    In a round each node points to itself or a neighbour, whichever comes first
+    in an order drawn anew by hash, pointers are doubled once, and edges are
+    renamed to the nodes pointed at; edges inside one node vanish.  The drawn
+    order keeps pointer chains short, so rounds grow with the logarithm of the
+    size, whatever the shape.  No node's neighbours are ever gathered."""
+    left = edges.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"))
     levels: list[DataFrame] = []
-    while not left.isEmpty():
-        both = left.select(F.col("x").alias("node"), F.col("y").alias("other")).union(left.select("y", "x"))
-        parent = both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label"))
-        for _ in range(JUMPS):
-            above = parent.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            parent = parent.join(above, "label").select("node", F.col("up").alias("label"))
-        parent = checkpoint(parent)
+    while True:
+        left = checkpoint(left)
+        if left.isEmpty():
+            break
+        drawn = lambda c, seed=len(levels): F.struct(F.xxhash64(c, F.lit(seed)).alias("rank"), F.col(c).alias("id"))
+        both = left.select(F.col("x").alias("node"), drawn("y").alias("other")).union(left.select(F.col("y").alias("node"), drawn("x").alias("other")))
+        parent = both.groupBy("node").agg(F.min("other").alias("first")).select("node", F.least("first", drawn("node"))["id"].alias("label"))
+        above = parent.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        parent = checkpoint(parent.join(above, "label").select("node", F.col("up").alias("label")))
         levels.append(parent)
         xs = left.join(parent.withColumnRenamed("node", "x"), "x").select(F.col("label").alias("x"), "y")
         ys = xs.join(parent.withColumnRenamed("node", "y"), "y").select("x", F.col("label").alias("y"))
-        left = checkpoint(ys.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        left = ys.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     if not levels:
         return left.select(F.col("x").alias("node"), F.col("y").alias("label"))
     out = levels[0]
     for level in levels[1:]:
         above = level.select(F.col("node").alias("label"), F.col("label").alias("up"))
         out = out.join(above, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-    return checkpoint(out)
+    lowest = out.groupBy("label").agg(F.min("node").alias("low"))
+    return checkpoint(out.join(lowest, "label").select("node", F.col("low").alias("label")))

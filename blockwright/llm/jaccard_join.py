@@ -49,7 +49,10 @@ PERCENT = 75
 LEVELS = 4
 SMALL = 64
 HOT = 2000
-CELL_BITS = 18
+PIVOTS = 12
+PIVOT_TOKENS = 4
+#: The sketch has 2^CELL_BITS cells, whatever the corpus.
+CELL_BITS = 21
 SLICES = 64
 #: Cost of a candidate, in prefix shingles shipped.
 CANDIDATE_COST = 8.0
@@ -144,7 +147,7 @@ def frequencies(described: DataFrame) -> np.ndarray:
     total = np.zeros(1 << CELL_BITS)
     for i, cells in parts.collect():  # SLICES rows of fixed size
         total[i * width : (i + 1) * width] = np.frombuffer(bytes(cells), dtype=np.uint64)
-    return np.maximum(1.0, total - 1.5 * np.median(total))
+    return np.maximum(1.0, total - 1.5 * np.median(total)).astype(np.float32)
 
 
 def prefix(s: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -352,15 +355,15 @@ class Join:
         if hot.isEmpty():
             return edges
         hot = checkpoint(hot)
-        for round_ in range(3):
+        for round_ in range(2):
             label = _graph.components(edges)
             at = hot.join(label.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "trait", F.coalesce("label", "key").alias("label"))
             open_ = at.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
             at = checkpoint(at.join(open_, "token", "left_semi"))
             if at.isEmpty():
                 return edges
-            if round_ < 2:
-                new = self._against_pivots(at, 4 + 12 * round_, round_)
+            if not round_:
+                new = self._against_pivots(at, PIVOTS)
             else:
                 new = self._all_across(at, pairs)
             edges = checkpoint(edges.union(self.verified(self.screened(new), texts)).distinct())
@@ -371,9 +374,12 @@ class Join:
         p, q = F.shiftright(x, 3), F.shiftright(y, 3)
         return (100 * F.least(p, q)) >= PERCENT * F.greatest(p, q)
 
-    def _against_pivots(self, at: DataFrame, count: int, seed: int) -> DataFrame:
+    def _against_pivots(self, at: DataFrame, count: int) -> DataFrame:
         """Members of each large group against a few of its members."""
-        member = lambda i: F.min(F.struct(F.xxhash64("key", F.lit(seed * 100 + i)), "key", "trait", "label"))
+        # a few shingles of each class will do here: the last round covers the rest
+        few = at.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("token")), 1, PIVOT_TOKENS).alias("t")).select("key", F.explode("t").alias("token"))
+        at = at.join(few, ["key", "token"], "left_semi")
+        member = lambda i: F.min(F.struct(F.xxhash64("key", F.lit(i)), "key", "trait", "label"))
         pivots = at.groupBy("token").agg(F.array(*(member(i) for i in range(count))).alias("p")).select("token", F.explode(F.array_distinct("p")).alias("p"))
         pivots = pivots.select("token", F.col("p.key").alias("other"), F.col("p.trait").alias("other_trait"), F.col("p.label").alias("other_label"))
         met = at.join(pivots, "token").where((F.col("label") != F.col("other_label")) & self._compatible("trait", "other_trait"))
