@@ -280,7 +280,7 @@ def _send_suffixes(length: int, splitters: list[bytes]):
                 contexts = list(best)
                 lead = np.array([c[best[c][3] : best[c][3] + LEAD] for c in contexts], dtype=f"S{LEAD}")
                 bucket = np.searchsorted(cuts, lead, side="right")
-                order = np.argsort(bucket, kind="stable")
+                order = np.argsort(lead, kind="stable")  # neighbours in a parcel are alike, which packs well
                 edges = np.searchsorted(bucket[order], np.arange(cuts.size + 2))
                 for b in np.flatnonzero(np.diff(edges)):
                     own = [contexts[j] for j in order[edges[b] : edges[b + 1]]]
@@ -446,7 +446,8 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     hashed = narrow.mapInArrow(_hash_anchors(length, buckets), "bucket int, ds binary, hs binary, counts binary, hashes binary, ordinals binary")
     wanted = _by_text(hashed.repartition(buckets, "bucket").mapInArrow(_repeated(parts), _PARCELS), "ordinals", parts)
     splitters = _splitters(narrow, length, parts)
-    suffixes = narrow.join(wanted, ["d", "h"]).mapInArrow(_send_suffixes(length, splitters), _SUFFIXES)
+    # both joins take the same columns, so that Spark shuffles the texts once
+    suffixes = marked.join(wanted, ["d", "h"]).mapInArrow(_send_suffixes(length, splitters), _SUFFIXES)
     sorted_ = suffixes.repartition(parts, "bucket").mapInArrow(_sort_buckets(length, parts), _PARCELS)
     return marked.join(_by_text(sorted_, "spans", parts), ["d", "h"], "left")
 
