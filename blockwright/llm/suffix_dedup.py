@@ -300,7 +300,12 @@ def repeats_of(traits: np.ndarray, data: bytes, length: int) -> tuple[np.ndarray
     buffer = np.frombuffer(data + bytes(16), dtype=np.uint8)
     size = traits[:, 4]
     base = np.concatenate(([0], np.cumsum(size)))[:-1]
-    m = size.size
+    # a repeated row sends the same contexts from each of its batches: one occurrence
+    by = np.lexsort((traits[:, 2], traits[:, 1], traits[:, 0]))
+    who = traits[by, :3]
+    only = np.sort(by[np.concatenate(([True], (who[1:] != who[:-1]).any(axis=1)))])
+    traits, size, base = traits[only], size[only], base[only]
+    m = only.size
     # texts in their order: the occurrence of lesser rank is the first
     rank = np.empty(m, dtype=np.int64)
     rank[np.lexsort((traits[:, 2], traits[:, 1], traits[:, 0]))] = np.arange(m)
@@ -337,7 +342,7 @@ def repeats_of(traits: np.ndarray, data: bytes, length: int) -> tuple[np.ndarray
             same = (place == place[of]) & (t[:, 0] == t[of, 0]) & (t[:, 1] == t[of, 1])
         out_context.append(where[~same])
         out_start.append(offset[order][~same])
-    return np.concatenate(out_context), np.concatenate(out_start)
+    return only[np.concatenate(out_context)], np.concatenate(out_start)
 
 
 def _ranges(counts: np.ndarray) -> np.ndarray:

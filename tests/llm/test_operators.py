@@ -150,6 +150,23 @@ def test_suffix_dedup_edges(edge, none):
     assert kept.dtypes == edge.dtypes and {r["doc_id"]: r["text"] for r in kept.collect()}[7] == "word "
 
 
+def test_suffix_dedup_repeated_rows_in_different_batches(spark):
+    r = random.Random(2)
+    x, y, z = ("".join(r.choice("abcdefgh") for _ in range(n)) for n in (400, 300, 250))
+    rows = [(1, x), (2, y + z), (3, z + x[:150]), (4, "short")]
+    want = brute_repeats(rows)
+    docs = spark.createDataFrame([*rows, (1, x), (2, y + z), (2, y + z), (3, z + x[:150])], "doc_id long, text string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("1", size):  # every row a batch of its own; all together
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = suffix_dedup.digests(docs.repartition(5)).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert len(got) == 8 and all(tuple(g) == want[g["doc_id"]] for g in got)
+    assert want[1][2] == want[2][2] == 0 and want[3][2] == 400
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 400).astype(np.uint8)
