@@ -7,15 +7,20 @@ among the windows of the benchmark items; an item of fewer tokens is one window
 as a whole.  A hit is then aligned: the words behind the placeholders must
 agree one to one (equal slots of the item are equal in the document, different
 ones differ), so a question with new numbers or names is caught, while a chance
-meeting of placeholders is not.  Windows with fewer than ``least_words`` words
-that are no placeholders are not used.
+meeting of placeholders is not.  Template windows with fewer than
+``least_words`` words that are no placeholders are not used.  Beside the
+templates all windows of all items are looked up by their bare words, which
+must agree one by one; so a copy is found however many numbers and names it
+holds, and whatever stands before it.  A pair of windows that meets both ways
+counts once.
 
 The benchmark's windows are sent to the tasks in blocks of at most ``BLOCK``
 windows, each block against all documents, so a task's memory is bounded
 whatever the size of the benchmark; the usual benchmark is one block.
 
-Edge cases: a null or empty text has no windows; items with fewer than
-``least_words`` words match nothing; repeated documents give their rows each,
+Edge cases: a null or empty text, or one of punctuation alone, has no windows;
+an item with fewer than ``least_words`` words is found by its bare words only,
+if short wherever they stand in a row; repeated documents give their rows each,
 repeated items count once per id; empty tables give no rows; extra columns
 are ignored.
 """
@@ -62,13 +67,13 @@ _UNIT_HASHES = np.unique(_word_hashes(" ".join(UNITS).encode()))
 
 class Templates:
     """The templates of a block of texts: ``token`` (hash or placeholder),
-    ``word`` (index of its word) and ``first`` per text."""
+    ``plain`` (hash of the bare word), ``word`` (its index) and ``first`` per text."""
 
     def __init__(self, texts: list[bytes | None]):
         self.words = w = _text.Words(texts, lower=True)
         n = w.starts.size
         if not n:
-            self.token, self.word = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.token, self.plain, self.word = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
             self.first = np.zeros(len(texts) + 1, dtype=np.int64)
             return
         data = w.data
@@ -92,7 +97,7 @@ class Templates:
         token = np.where((digits > 0) & (digits == sizes), NUMBER, token)
         token = np.where((digits > 0) & (digits < sizes) & np.isin(letters, _UNIT_HASHES), QUANTITY, token)
         keep = np.flatnonzero(sizes > 0)
-        self.token, self.word = token[keep], keep
+        self.token, self.plain, self.word = token[keep], plain[keep], keep
         self.first = np.searchsorted(keep, w.first)
 
     @staticmethod
@@ -121,16 +126,19 @@ class Templates:
     def text(self, i: int) -> np.ndarray:
         return self.token[self.first[i] : self.first[i + 1]]
 
+    def bare(self, j: int) -> bytes:
+        k = self.word[j]
+        word = self.words.data[self.words.starts[k] : self.words.ends[k]]
+        return _text.LOWER[word[~_PUNCTUATION[word]]].tobytes()
+
     def slots(self, start: int, width: int) -> list[tuple[int, bytes]]:
         """Placeholder type and bare word of each slot of a window."""
-        out = []
-        for j in range(start, start + width):
-            kind = int(self.token[j])
-            if kind in (11, 22, 33, 44):
-                k = self.word[j]
-                word = self.words.data[self.words.starts[k] : self.words.ends[k]]
-                out.append((kind, _text.LOWER[word[~_PUNCTUATION[word]]].tobytes()))
-        return out
+        kinds = enumerate(self.token[start : start + width].tolist(), start)
+        return [(kind, self.bare(j)) for j, kind in kinds if kind in (11, 22, 33, 44)]
+
+    def bare_words(self, start: int, width: int) -> bytes:
+        """The bare words of a window, parted by spaces."""
+        return b" ".join(self.bare(j) for j in range(start, start + width))
 
 
 def consistent(item: list[tuple[int, bytes]], doc: list[tuple[int, bytes]]) -> bool:
@@ -148,41 +156,68 @@ def _windows(token: np.ndarray, width: int, least_words: int) -> tuple[np.ndarra
 
 
 class Index:
-    """Windows of benchmark items, by width."""
+    """Windows of benchmark items, by width: ``found`` by template, ``exact`` by bare words."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int, least_words: int):
         self.least_words = least_words
         self.found: dict[int, dict[int, list]] = {}
+        self.exact: dict[int, dict[int, list]] = {}
         for item, text in items:
             template = Templates([text])
             n = min(width, template.token.size)
-            if n < max(1, least_words):
+            if not n:
                 continue
             hashes, enough = _windows(template.token, n, least_words)
-            for at in np.flatnonzero(enough):
-                self.found.setdefault(n, {}).setdefault(int(hashes[at]), []).append((item, template.slots(at, n)))
-        self.keys = {n: np.sort(np.fromiter(found, dtype=np.uint64, count=len(found))) for n, found in self.found.items()}
+            for at in np.flatnonzero(enough).tolist():
+                self.found.setdefault(n, {}).setdefault(int(hashes[at]), []).append((item, at, template.slots(at, n)))
+            for at, key in enumerate(_text.rolled(template.plain, n).tolist()):
+                self.exact.setdefault(n, {}).setdefault(key, []).append((item, at, template.bare_words(at, n)))
+        self.keys = {n: self._sorted(found) for n, found in self.found.items()}
+        self.exact_keys = {n: self._sorted(found) for n, found in self.exact.items()}
+
+    @staticmethod
+    def _sorted(found: dict[int, list]) -> np.ndarray:
+        return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+
+    @staticmethod
+    def _hits(t: Templates, n: int, keys: np.ndarray, hashes: np.ndarray, usable: np.ndarray | bool) -> Iterator[tuple[int, int]]:
+        """(text, start) of the windows whose hash is a key."""
+        if not hashes.size:
+            return
+        at = np.minimum(np.searchsorted(keys, hashes), keys.size - 1)
+        for start in np.flatnonzero((keys[at] == hashes) & usable).tolist():
+            text = int(np.searchsorted(t.first, start, side="right")) - 1
+            if start + n <= t.first[text + 1]:  # else it reaches into the next text
+                yield text, start
 
     def matches(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, windows, windows that are equal word by word)."""
         for first, last in _text.blocks(texts):
             t = Templates(texts[first:last])
             counts: dict[tuple[int, int], list[int]] = {}
-            for n, keys in self.keys.items():
-                hashes, enough = _windows(t.token, n, self.least_words)
-                if not hashes.size:
+
+            def add(text: int, item: int, equal: bool, counts=counts) -> None:
+                count = counts.setdefault((text, item), [0, 0])
+                count[0] += 1
+                count[1] += equal
+
+            for n, exact in self.exact.items():
+                met: set[tuple[int, int, int]] = set()
+                hashes = _text.rolled(t.plain, n)
+                for text, start in self._hits(t, n, self.exact_keys[n], hashes, True):
+                    words = t.bare_words(start, n)
+                    for item, at, own in exact[int(hashes[start])]:
+                        if own == words:
+                            met.add((start, item, at))
+                            add(text, item, True)
+                if n not in self.found:
                     continue
-                at = np.minimum(np.searchsorted(keys, hashes), keys.size - 1)
-                for start in np.flatnonzero((keys[at] == hashes) & enough).tolist():
-                    text = int(np.searchsorted(t.first, start, side="right")) - 1
-                    if start + n > t.first[text + 1]:
-                        continue  # reaches into the next text
+                hashes, enough = _windows(t.token, n, self.least_words)
+                for text, start in self._hits(t, n, self.keys[n], hashes, enough):
                     slots = t.slots(start, n)
-                    for item, own in self.found[n][int(hashes[start])]:
-                        if consistent(own, slots):
-                            count = counts.setdefault((text, item), [0, 0])
-                            count[0] += 1
-                            count[1] += own == slots
+                    for item, at, own in self.found[n][int(hashes[start])]:
+                        if (start, item, at) not in met and consistent(own, slots):
+                            add(text, item, own == slots)
             for (text, item), (n, equal) in sorted(counts.items()):
                 yield first + text, item, n, equal
 

@@ -362,6 +362,28 @@ def test_slots_must_agree():
     assert not list(index.matches([b"if Ann and Bob meet then both are glad"]))
 
 
+SUM = "What is 345 + 872?"
+HEAVY = "In 1990 Anna Berg sold 12 345 67 89 km to Ole Lund for 5 6 7 8 9"
+
+
+@pytest.mark.parametrize("item,text,found", [
+    (SUM, f"He asked: {SUM} Nobody knew.", True), (SUM, "He asked: what is 345 + 873? Nobody knew.", False),
+    (HEAVY, f"Well then, {HEAVY} and more.", True), (HEAVY, HEAVY.replace("Anna", "Eva").replace("12", "13").replace("345", "346").replace("Ole", "Per"), False),
+    ("Which of these rivers flows north today?", "as in (a), Which of these rivers flows north today?", True),
+    ("Which of these rivers flows north today?", "as in (a) Which of these rivers flows south today?", False),
+    ("Yes, 7.", "so yes 7 it is", True), ("Yes, 7.", "so yes it is 7", False), ("!!! ???", "!!! ???", False),
+])
+def test_copies_with_few_words(item, text, found):
+    index = decontam.Index([(1, item.encode())], 8, 4)
+    assert bool(list(index.matches([b"7.", text.encode(), b"yes"]))) == found
+
+
+def test_windows_count_once():
+    index = decontam.Index([(1, QUESTION.encode())], 8, 4)
+    n = len(QUESTION.split()) - 7
+    assert list(index.matches([QUESTION.encode(), b"see (1), " + QUESTION.encode()])) == [(0, 1, n, n), (1, 1, n, n)]
+
+
 def test_decontamination_edges(spark, edge, none, monkeypatch):
     items = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five"), (2, None), (3, ""), (4, "a null id has this text")], "item_id long, text string")
     assert [tuple(r) for r in decontam.matches(edge, items).collect()] == [(None, 4, 1, 1)]
