@@ -5,11 +5,13 @@ compiled character map (a double-array trie over UTF-8 followed by its
 replacement strings): at each place the longest key is replaced, else one
 character is kept; white space is trimmed or escaped and the leading mark is
 added as the model asks.  Every output byte records the source byte that it
-came from.  *Segmentation* cuts the normalised text before each run of space
+came from.  Where the map is empty and nothing is trimmed, the same result and
+alignment are computed for all bytes at once.  *Segmentation* cuts the normalised text before each run of space
 marks and around line feeds, where no piece of the vocabulary can reach across
 (checked when the model is loaded; a model that fails the check gets whole
 texts), and encodes each different segment once with the library.  Pieces are
-projected through the alignment to spans of source bytes.
+projected through the alignment to spans of source bytes: a begin and an end
+for each piece, without the begin and end ids.
 
 Only a cache of segments is held between texts, at most ``CACHE`` entries.
 
@@ -26,6 +28,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -92,9 +95,22 @@ class Codec:
         proto.normalizer_spec.remove_extra_whitespaces = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.cache: dict[str, bytes] = {}
+        #: Normalised bytes of each piece; 0: one character, whichever it is.
+        self.sizes = np.array([1 if self.library.is_byte(i) else 0 if self.library.is_unknown(i) else len(self.library.id_to_piece(i).encode()) for i in range(self.library.get_piece_size())], dtype=np.int64)
 
-    def normalise(self, text: bytes) -> tuple[bytes, list[int]]:
+    def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised UTF-8 and, for each of its bytes and its end, the source byte."""
+        if self.map.units or self.trim or self.suffix:
+            normal, source = self._walk(text)
+            return normal, np.array(source, dtype=np.int64)
+        space = MARK.encode() if self.escape else b" "
+        data = np.frombuffer(text, dtype=np.uint8)
+        lead = space if self.prefix and text else b""
+        source = np.repeat(np.arange(data.size), np.where(data == 32, len(space), 1))
+        return lead + text.replace(b" ", space), np.concatenate((np.zeros(len(lead), dtype=np.int64), source, [data.size]))
+
+    def _walk(self, text: bytes) -> tuple[bytes, list[int]]:
+        """The same for any model, place by place."""
         space = MARK.encode() if self.escape else b" "
         out, source, at = bytearray(), [], 0
 
@@ -174,32 +190,31 @@ class Codec:
             self.cache[s] = ids[start:end].tobytes()
             start = end + 1
 
+    def aligned(self, text: str) -> tuple[bytes, np.ndarray]:
+        """All ids, with begin and end, packed; and for each piece between
+        those the first and the end byte in the source text."""
+        normal, source = self.normalise(text.encode())
+        inner = self.ids_of(normal.decode())
+        size = self.sizes[np.frombuffer(inner, dtype=np.uint32)]
+        end = np.cumsum(size)
+        if not size.all():  # unknown pieces: as long as the character that stands there
+            at = 0
+            for k, n in enumerate(size.tolist()):
+                at += n or chunks_length(normal, at)
+                end[k] = at
+        edge = source[np.concatenate(([0], end))]
+        packed = struct.pack("<I", self.library.bos_id()) + inner + struct.pack("<I", self.library.eos_id())
+        return packed, np.stack((edge[:-1], edge[1:]), axis=1)
+
     def encode(self, text: str) -> bytes:
         """All ids, with begin and end, packed."""
-        if self.cuts:  # bytes are kept: only the leading mark and the escapes are new
-            normal = ((MARK if self.prefix and text else "") + text.replace(" ", MARK))
-            inner = self.ids_of(normal)
-        else:
-            inner = self.ids_of(self.normalise(text.encode())[0].decode())
-        return struct.pack("<I", self.library.bos_id()) + inner + struct.pack("<I", self.library.eos_id())
+        return self.aligned(text)[0]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, first byte, end byte) of each piece in the source text."""
-        normal, source = self.normalise(text.encode())
-        out, at = [], 0
-        for segment in self.segments(normal.decode()):
-            for piece_id in array("I", self.ids_of(segment)):
-                piece = self.library.id_to_piece(piece_id)
-                if self.library.is_byte(piece_id):
-                    size = 1
-                elif self.library.is_unknown(piece_id):
-                    lead = normal[at]
-                    size = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                else:
-                    size = len(piece.encode())
-                out.append((piece_id, source[at], source[at + size]))
-                at += size
-        return out
+        packed, spans = self.aligned(text)
+        ids = np.frombuffer(packed, dtype=np.uint32)[1:-1].tolist()
+        return [(i, first, end) for i, (first, end) in zip(ids, spans.tolist(), strict=True)]
 
     def decode(self, packed: bytes) -> str:
         ids = array("I")
@@ -223,27 +238,32 @@ def read_model(path: str) -> bytes:
 
 
 def encode_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
-    """Number and digest of the ids and digest of the decoded text, per document;
-    on request the packed ids too."""
+    """Number and digest of the ids, digest of the decoded text and digest of the
+    source spans, per document; on request the packed ids and spans too.  Spans
+    are packed as little-endian signed 32-bit begin and end of each piece."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    schema = schema.append(pa.field("ids", pa.binary())) if with_ids else schema
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string())])
+    if with_ids:
+        schema = schema.append(pa.field("ids", pa.binary())).append(pa.field("spans", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         for batch in batches:
-            counts, ids, decoded, all_packed = [], [], [], []
+            counts, ids, decoded, aligned, all_packed, all_spans = [], [], [], [], [], []
             for text in batch.column("text"):
-                packed = codec.encode(text.as_py() or "")
+                packed, spans = codec.aligned(text.as_py() or "")
+                spans = spans.astype("<i4").tobytes()
                 counts.append(len(packed) // 4)
                 if with_ids:
                     all_packed.append(packed)
+                    all_spans.append(spans)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(packed).encode()).hexdigest())
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.record_batch(columns + [pa.array(all_packed, pa.binary())] * with_ids, schema=schema)
+                aligned.append(hashlib.sha256(spans).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(c, pa.string()) for c in (ids, decoded, aligned))]
+            yield pa.record_batch(columns + [pa.array(all_packed, pa.binary()), pa.array(all_spans, pa.binary())] * with_ids, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids binary, spans binary" * with_ids)
 
 
 def encode_documents(docs: DataFrame, model_path: str, keep: list[str], spans: bool = False) -> DataFrame:

@@ -40,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, with digests of ids and decoded text."""
+    """Piece ids of each document and the bytes of its text that each piece covers, with digests."""
     return piece_codec.encode_digests(docs, tokenizer_path(), with_ids=True)
 
 

@@ -13,6 +13,7 @@ import pytest
 from helpers import normal, oracle
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from blockwright.llm import _graph, _text, decontam, jaccard_join, langid, piece_codec, quality_rules, queries, sharding, suffix_dedup, toxicity, urlfilter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -296,6 +297,29 @@ def test_piece_spans(library, text):
     assert at == len(data)
 
 
+@pytest.mark.parametrize("text", TEXTS)
+def test_normalising_all_bytes_at_once_is_the_walk(library, text):
+    codec = piece_codec.Codec(piece_codec.read_model(queries.tokenizer_path()))
+    for codec.prefix in (True, False):
+        for codec.escape in (True, False):
+            normal, source = codec.normalise(text.encode())
+            assert (normal, source.tolist()) == codec._walk(text.encode())
+
+
+def test_query_and_stage_carry_spans(spark, library):
+    rows = list(enumerate([*TEXTS, "a b " * 300, None]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    digests = {r["doc_id"]: r["spans_sha256"] for r in piece_codec.encode_digests(docs, queries.tokenizer_path()).collect()}
+    for i, text in rows:
+        found = library.encode(text or "", return_type="proto").pieces  # with the library's own offsets
+        spans = np.frombuffer(got[i]["spans"], dtype="<i4").reshape(-1, 2)
+        assert spans.shape[0] == got[i]["n_tokens"] - 2 == len(found)
+        # the library gives a character's bytes to the last of its byte pieces
+        assert all(library.is_byte(p.id) or s == [p.begin, p.end] for s, p in zip(spans.tolist(), found, strict=True))
+        assert got[i]["spans_sha256"] == digests[i] == hashlib.sha256(got[i]["spans"]).hexdigest()
+
+
 def test_character_map():
     """Longest keys win, and every output byte knows its source."""
     # a double array for the keys "a" -> "X" and "ab" -> "YZ"
