@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching.
 
-For each language a context tree over bytes (ASCII letters lower-cased) holds
-the counts of every byte after every context of up to three bytes.  A byte that
+For each language a context tree over all bytes (ASCII letters lower-cased)
+holds the counts of every byte after every context of up to three bytes.  A byte that
 a context has seen costs its share; else the escape (method C: as many escapes
 as different bytes seen) is paid and the next shorter context is asked, with
 the bytes seen before excluded.  Statistics are frozen after training, so the
@@ -12,7 +12,9 @@ name order; the score is its share under equal priors.
 
 The trees are fitted on a bounded sample: ``texts_per_language`` whole texts
 of each language, taken by a hash of the id from the training rows.  Scoring
-covers whole texts.  The tables are bounded by the sample and the alphabet.
+covers whole texts.  The tables are sparse: an entry for each string of three
+or four bytes seen in any language, and the escape of each context; only single
+bytes of context have a full table.  So they are bounded by the sample.
 
 Edge cases: ``und`` with score 0 for null or letterless texts, and for all
 texts when nothing can be learned; a null language is never learned; repeated
@@ -35,8 +37,6 @@ from pyspark.sql import functions as F
 from blockwright.llm import _text
 
 ORDER = 3
-#: Different bytes that the trees tell apart; rarer ones share the last symbol.
-ALPHABET = 80
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -72,61 +72,105 @@ def _distribution(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(total == 0, lower, own + escape * rest / np.where(full, 1, left))
 
 
+def _find(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places of codes in a sorted table, its size where they are absent."""
+    if not table.size:
+        return np.zeros(codes.size, dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, codes), table.size - 1)
+    return np.where(table[at] == codes, at, table.size)
+
+
+def _merged(gram: np.ndarray, count: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of a shorter context and their counts."""
+    short, at = np.unique(gram & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+    return short, np.bincount(at, weights=count, minlength=short.size)
+
+
+class Level:
+    """Probabilities after contexts of one length in one language, given those of
+    the next shorter context: the share of each gram that was seen, and for
+    each context the factor on the lower probability of all other bytes."""
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray, lower):
+        self.gram, self.lower = gram, lower
+        self.context, at = np.unique(gram >> np.uint32(8), return_inverse=True)
+        total, kinds = np.bincount(at, weights=count), np.bincount(at)
+        kinds_left = np.where(kinds == 256, 0, kinds)  # no escape where all bytes were seen
+        rest = np.maximum(1 - np.bincount(at, weights=lower(gram)), 1e-300)
+        self.factor = np.where(kinds == 256, 1.0, kinds / (total + kinds) / rest) if gram.size else np.zeros(0)
+        self.share = count / (total + kinds_left)[at]
+
+    def escape(self, context: np.ndarray) -> np.ndarray:
+        return np.append(self.factor, 1.0)[_find(self.context, context)]
+
+    def __call__(self, gram: np.ndarray) -> np.ndarray:
+        at = _find(self.gram, gram)
+        return np.where(at < self.gram.size, np.append(self.share, 0)[at], self.escape(gram >> np.uint32(8)) * self.lower(gram))
+
+
 class Trees:
-    """Compiled context trees: bits of each symbol in each context, per language."""
+    """Compiled context trees: bits of each byte in each context, per language."""
 
-    def __init__(self, texts: dict[str, list[bytes]], alphabet: int = ALPHABET):
+    def __init__(self, texts: dict[str, list[bytes]]):
         self.languages = sorted(texts)
-        used = np.bincount(_text.LOWER[np.frombuffer(b"".join(t for own in texts.values() for t in own), dtype=np.uint8)], minlength=256)
-        common = [b for b in np.argsort(-used, kind="stable")[: alphabet - 1] if used[b]]
-        self.symbol = np.full(256, len(common), dtype=np.int64)
-        self.symbol[common] = np.arange(len(common))
-        self.symbol = self.symbol[_text.LOWER]
-        self.size = a = len(common) + 1
+        self.symbol = _text.LOWER.astype(np.int64)
+        self.size = a = 256
         self.pad = b" " * ORDER
-        grams = {}
-        for lang in self.languages:
-            codes, x = self._codes(texts[lang])
-            grams[lang] = np.unique(codes * a + x, return_counts=True)
-        contexts = np.unique(np.concatenate([g // a for g, _ in grams.values()])) if grams else np.zeros(0, dtype=np.int64)
-        self.row = np.zeros(a**3, dtype=np.int32)
-        self.row[contexts] = np.arange(1, contexts.size + 1)
-        n = len(self.languages)
-        self.deep = np.zeros(((contexts.size + 1) * a, n), dtype=np.float32)
-        self.short = np.zeros((a**3, n), dtype=np.float32)
+        self.short = np.zeros((a * a, len(self.languages)), dtype=np.float32)
+        levels: dict[int, list[Level]] = {2: [], 3: []}
         for k, lang in enumerate(self.languages):
-            gram, count = grams[lang]
+            gram, count = np.unique(np.concatenate([self._codes(self.pad + t) for t in texts[lang]] or [np.zeros(0, np.uint32)]), return_counts=True)
             p = np.full((1, a), 1 / a)
-            for order in range(ORDER):
-                tall = np.bincount(gram % a ** (order + 1), weights=count, minlength=a ** (order + 1)).reshape(-1, a)
+            for order in range(2):
+                tall = np.bincount(gram & np.uint32(a ** (order + 1) - 1), weights=count, minlength=a ** (order + 1)).reshape(-1, a)
                 p = _distribution(tall, np.tile(p, (tall.shape[0] // p.shape[0], 1)))
             self.short[:, k] = -np.log2(p).reshape(-1)
-            tall = np.zeros((contexts.size, a))
-            tall[self.row[gram // a] - 1, gram % a] = count
-            self.deep[a:, k] = -np.log2(_distribution(tall, p[contexts % a**2])).reshape(-1)
-
-    def _codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Context code and symbol of every byte, over all texts in turn."""
-        codes, symbols = [], []
-        for text in texts:
-            s = self.symbol[np.frombuffer(self.pad + text, dtype=np.uint8)]
-            codes.append((s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1])
-            symbols.append(s[3:])
-        return (np.concatenate(codes), np.concatenate(symbols)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            lower = functools.partial(lambda p, g: p[g & np.uint32(0xFFFF)], p.reshape(-1))
+            for order in (2, 3):
+                own = Level(*_merged(gram, count, order), lower)
+                levels[order].append(own)
+                lower = functools.partial(lambda level, mask, g: level(g & mask), own, np.uint32((1 << 8 * (order + 1)) - 1))
+        #: By order: grams seen in any language and their bits, contexts and the
+        #: bits of their escapes (a last row for unknown contexts).
+        self.tables = {}
+        for order, own in levels.items():
+            gram = np.unique(np.concatenate([x.gram for x in own])) if own else np.zeros(0, np.uint32)
+            context = np.unique(gram >> np.uint32(8))
+            bits = np.zeros((gram.size, len(own)), dtype=np.float32)
+            escape = np.zeros((context.size + 1, len(own)), dtype=np.float32)
+            for k, level in enumerate(own):
+                bits[:, k] = -np.log2(level(gram))
+                escape[:-1, k] = -np.log2(level.escape(context))
+            self.tables[order] = gram, bits, context, escape
+
+    @staticmethod
+    def _codes(padded: bytes) -> np.ndarray:
+        """Each byte with the three before it, in one number."""
+        s = _text.LOWER[np.frombuffer(padded, dtype=np.uint8)].astype(np.uint32)
+        return (s[:-3] << np.uint32(24)) | (s[1:-2] << np.uint32(16)) | (s[2:-1] << np.uint32(8)) | s[3:]
+
+    def _cost(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits of each code's last byte after the bytes before it."""
+        if order == 1:
+            return self.short[codes]
+        gram, bits, context, escape = self.tables[order]
+        at = _find(gram, codes)
+        new = np.flatnonzero(at == gram.size)
+        if new.size == codes.size:
+            out = np.zeros((codes.size, len(self.languages)), dtype=np.float32)
+        else:
+            out = bits[np.minimum(at, gram.size - 1)]
+        if new.size:
+            rare = codes[new]
+            out[new] = escape[_find(context, rare >> np.uint32(8))] + self._cost(rare & np.uint32((1 << 8 * order) - 1), order - 1)
+        return out
 
     def bits(self, texts: list[bytes | None]) -> np.ndarray:
         """Code length of each text in each language."""
         out = np.zeros((len(texts), len(self.languages)))
         for first, last in _text.blocks(texts):
             some = [t or b"" for t in texts[first:last]]
-            joined = self.pad + self.pad.join(some)
-            s = self.symbol[np.frombuffer(joined, dtype=np.uint8)].astype(np.int32)
-            codes = (s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]
-            row, x = self.row[codes], s[3:]
-            cost = self.deep[row * self.size + x]
-            if (new := np.flatnonzero(row == 0)).size:
-                tail = codes[new] % self.size**2
-                cost[new] = self.short[tail * self.size + x[new]]
+            cost = self._cost(self._codes(self.pad + self.pad.join(some)))
             sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
             start = np.concatenate(([0], np.cumsum(sizes + len(self.pad))))[:-1]
             edges = np.stack([start, start + sizes], axis=1).reshape(-1)

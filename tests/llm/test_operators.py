@@ -227,6 +227,14 @@ def test_code_lengths_follow_the_trees():
         assert trees.bits([t])[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_rare_bytes_are_told_apart():
+    """Two scripts whose bytes are rarer than 80 others cost what they should."""
+    common = "".join(map(chr, [*range(32, 65), *range(91, 127), *range(0x3B1, 0x3C0)])).encode() * 20
+    trees = langid.Trees({"x": [common + "\u10d0 \u10d0\u10d0".encode()], "y": [common + "\u13a0 \u13a0\u13a0".encode()]})
+    x, y = trees.bits(["\u10d0\u10d0 \u10d0".encode(), "\u13a0\u13a0 \u13a0".encode()])
+    assert x[0] < x[1] - 5 and y[1] < y[0] - 5
+
+
 def test_language_edges(edge, none):
     by = {r["doc_id"]: r for r in langid.predict(edge).collect()}
     assert by[1]["lang_pred"] == by[2]["lang_pred"] == by[3]["lang_pred"] == by[9]["lang_pred"] == "und"
