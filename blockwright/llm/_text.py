@@ -32,6 +32,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def place_factor(place: np.ndarray) -> np.ndarray:
+    """An odd factor for each place in a word, without a period."""
+    out = _PLACE[np.minimum(place, _PLACE.size - 1)]
+    far = np.flatnonzero(place >= _PLACE.size)
+    if far.size:
+        out[far] = mix(place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return out
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The texts of a column as bytes; a null stays None."""
     return column.cast(pa.binary()).to_pylist()
@@ -72,7 +81,7 @@ class Words:
         lengths = self.ends - self.starts
         at = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         place = np.arange(letters.size, dtype=np.int64) - np.repeat(at, lengths)
-        terms = (_LETTER if lower else _BYTE)[letters] * _PLACE[place & 4095]
+        terms = (_LETTER if lower else _BYTE)[letters] * place_factor(place)
         self.hash = mix(np.add.reduceat(terms, at)) if at.size else np.zeros(0, dtype=np.uint64)
 
     def of(self, text: int) -> slice:

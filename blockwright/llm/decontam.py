@@ -119,7 +119,7 @@ class Templates:
         letters = w.data[inside]
         at = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         place = np.arange(letters.size) - np.repeat(at, sizes)
-        terms = np.concatenate((_text._LETTER[letters] * _text._PLACE[place & 4095], np.zeros(1, np.uint64)))
+        terms = np.concatenate((_text._LETTER[letters] * _text.place_factor(place), np.zeros(1, np.uint64)))
         total = np.add.reduceat(terms, at)
         return np.where(sizes > 0, _text.mix(total), np.uint64(0))
 
