@@ -4,34 +4,44 @@ A text's set are the distinct windows of five words (ASCII lower-cased); two
 texts link when ``100 * intersection >= 75 * union``.
 
 1. *Classes.*  Texts with equal word sequences are one class, so copies are
-   handled once, wherever they are.
-2. *Order.*  A count sketch of fixed size over all sets orders shingles from
-   rare to frequent; it steers cost only, never the result.
+   handled once, wherever they are.  A class is known by 64 of the 128 bits of
+   its key; should two classes agree in these, all keys are drawn anew.
+2. *Order.*  Shingles are ordered from rare to frequent.  Their frequencies are
+   counted over all texts, exactly, in a shuffle of packed shingles; the most
+   frequent ones, at most ``TABLE`` of them, are sent to the tasks, all others
+   count as rare.  The order steers cost only, never the result.
 3. *Prefixes.*  If sets are similar, their prefixes of
    ``n - ceil(0.75 n) + m`` rarest shingles share at least ``m``.  Each class
    takes the level ``m`` (1 to 4) with the least estimated cost: shingles to
    ship plus candidates expected, where candidates are at most the frequencies
    in the prefix divided by ``m``.  A pair needs as many shared prefix shingles
    as the smaller of its two levels.
-4. *Candidates.*  Prefix shingles travel packed, per task and bucket.  A bucket
-   emits the size-compatible pairs of each shingle with at most ``SMALL``
-   classes.  Shingles with more (or that the sketch calls hot) become rows of
-   their own and are joined in rounds: classes are first tried against a few
-   pivots per shingle, what links is merged, and in the last round all pairs
-   that are still in different components are tried.  So a group of
+4. *Candidates.*  Prefix shingles travel packed, per task and bucket, with their
+   places in the order of the set, which bound the intersection from above.  A
+   bucket emits the pairs that sizes and places permit of each shingle with at
+   most ``SMALL`` classes.  Shingles with more (or that are known to be hot)
+   become rows of their own: classes are first tried against a few
+   pivots per shingle and what links is merged; then blocks of ``BLOCK`` classes
+   are compared by bitmaps, first for the closest pair of each two components,
+   which are merged if it links, and last for all pairs
+   that are still in different components.  So a group of
    thousands of near copies costs about its size, and no pair is skipped.
 5. *Verification.*  Parity bitmaps bound the symmetric difference from below
    and so discard pairs exactly; for the rest the sets are rebuilt from the
    texts and intersected.
 6. *Components* by contraction; copies rejoin through their class.
 
+Sets are compared by 64-bit hashes of their shingles.
+
 Edge cases: null, empty and wordless texts have an empty set and link with
-nothing; fewer than five words are one shingle; repeated rows and ties give a
-row each; an empty table gives no rows; extra columns are ignored.
+nothing; fewer than five words are one shingle; repeated rows, rows that repeat
+an id with another text, null ids and ties give a row each; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -42,29 +52,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm import _graph, _text
-from blockwright.llm._session import checkpoint, release
+from blockwright.llm._session import checkpoint, release, ship
 
 WIDTH = 5
 PERCENT = 75
 LEVELS = 4
 SMALL = 64
-HOT = 2000
-PIVOTS = 12
-PIVOT_TOKENS = 4
-#: The sketch has 2^CELL_BITS cells, whatever the corpus.
-CELL_BITS = 21
-SLICES = 64
+#: Shingles of at least 2^HOT texts never meet in a bucket.
+HOT = 11
+BLOCK = 512
+PIVOTS = 6
+PIVOT_TOKENS = 2
+#: Most entries of the table of frequent shingles, and their least frequency.
+TABLE = 1 << 19
+LEAST = 16
+#: Shingles that a task counts together, and pairs that it adds up together.
+TOGETHER = 1 << 22
 #: Cost of a candidate, in prefix shingles shipped.
 CANDIDATE_COST = 8.0
-SHIFT = np.uint64(64 - CELL_BITS)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
 
+@functools.cache
+def _places(size: int) -> np.ndarray:
+    return _text.mix(np.arange(1, size + 1, dtype=np.uint64) * _GOLDEN)
 
-def class_key(words: np.ndarray) -> int:
-    """A 64-bit key of a word sequence."""
-    with np.errstate(over="ignore"):
-        place = np.arange(1, words.size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        total = _text.mix(words ^ _text.mix(place)).sum(dtype=np.uint64) + np.uint64(words.size)
-    return int(_text.mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+
+def class_key(words: np.ndarray, seed: int = 0, bits: int = 64) -> tuple[int, int]:
+    """Two keys of a word sequence, of ``bits`` and 64 bits; the first depends on the seed."""
+    size = 1024
+    while size < words.size:
+        size *= 2
+    terms = _text.mix(words ^ _places(size)[: words.size])
+    other = (terms ^ (terms >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    total, check = (np.array([t.sum(dtype=np.uint64)]) + np.uint64(words.size) for t in (terms, other ^ (other >> np.uint64(32))))
+    total, check = _text.mix(total + np.uint64(seed) * _text.mix(check)), _text.mix(check)
+    return int(total.view(np.int64)[0]) >> (64 - bits), int(check.view(np.int64)[0])
 
 
 def needed(size: np.ndarray | int):
@@ -80,213 +103,391 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def difference_bound(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    if x.size < y.size:
-        x, y = y, x
-    while x.size > y.size:
-        x = x[: x.size // 2] ^ x[x.size // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def may_link(size_a: int, size_b: int, bound: int) -> bool:
+def difference_bounds(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lower bounds of the symmetric differences of the pairs (i, j) of bitmaps;
+    of two sizes the larger is folded."""
+    width = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits)) // 8
+    place, folded = np.zeros(width.size, dtype=np.int64), {}
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        place[own] = np.arange(own.size)
+        rows = np.frombuffer(b"".join(bits[k] for k in own), dtype=np.uint64).reshape(-1, w)
+        folded[w, w] = rows
+        while w > 1:
+            w //= 2
+            rows = rows[:, :w] ^ rows[:, w:]
+            folded[int(width[own[0]]), w] = rows
+    out = np.zeros(i.size, dtype=np.int64)
+    kind = width[i] * (1 << 32) + width[j]
+    for k in np.unique(kind).tolist():
+        x, y = k >> 32, k & 0xFFFFFFFF
+        w = min(x, y)
+        some, step = np.flatnonzero(kind == k), max(1, (1 << 21) // w)
+        for at in range(0, some.size, step):
+            few = some[at : at + step]
+            out[few] = np.bitwise_count(folded[x, w][place[i[few]]] ^ folded[y, w][place[j[few]]]).sum(axis=1)
+    return out
+
+
+def may_link(size_a: np.ndarray, size_b: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Whether a symmetric difference of at least ``bound`` still permits a link:
     100 (s - d) / 2 >= 75 (s + d) / 2, with s the sum of the sizes."""
     return (100 + PERCENT) * bound <= (100 - PERCENT) * (size_a + size_b)
 
 
+def may_meet(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m that share the shingle at places i and j of
+    their orders can link: before it they share at most min(i, j) shingles, and
+    after it at most what the shorter rest holds."""
+    shared = np.minimum(i, j) + 1 + np.minimum(n - 1 - i, m - 1 - j)
+    return (100 + PERCENT) * shared >= PERCENT * (n + m)
+
+
 def links(a: np.ndarray, b: np.ndarray) -> bool:
     both = np.intersect1d(a, b, assume_unique=True).size
     return bool(both) and 100 * both >= PERCENT * (a.size + b.size - both)
 
 
-_INFO = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("cells", pa.binary())])
+def _planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, packed: all low bytes, then all next ones."""
+    data = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text (class, set size, bitmap) and the task's part of the sketch."""
-    sketch = np.zeros(1 << CELL_BITS, dtype=np.uint32)
-    for batch in batches:
-        texts = _text.utf8(batch.column("text"))
-        keys, sizes, bits = [], [], []
-        for first, last in _text.blocks(texts):
-            words = _text.Words(texts[first:last], lower=True)
-            found = []
-            for i in range(last - first):
-                own = words.hash[words.of(i)]
-                s = _text.shingles(own, WIDTH)
-                keys.append(class_key(own) if s.size else None)
-                sizes.append(s.size)
-                bits.append(bitmap(s) if s.size else None)
-                found.append(s)
-            cells = (np.concatenate(found) >> SHIFT).astype(np.int64)
-            sketch += np.bincount(cells, minlength=sketch.size).astype(np.uint32)
-        none = pa.nulls(len(texts))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_INFO)
-    width = sketch.size // SLICES
-    used = [i for i in range(SLICES) if sketch[i * width : (i + 1) * width].any()]
-    packed = [zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in used]
-    none = pa.nulls(len(used))
-    yield pa.record_batch([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], schema=_INFO)
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+def _numbers(packed: bytes, count: int) -> np.ndarray:
+    data = pa.decompress(packed, decompressed_size=4 * count, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+_INFO = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("bucket", pa.int32()), ("size", pa.int32()), ("low", pa.binary()), ("counts", pa.binary())])
+_INFO_DDL = "doc_id long, key long, check long, n long, bits binary, bucket int, size int, low binary, counts binary"
+
+
+def _parcels(tokens: list[np.ndarray], power: int) -> pa.RecordBatch:
+    """Shingles and their counts, packed into a row per bucket; a bucket holds the
+    shingles with the same ``power`` leading bits."""
+    code, count = np.unique(np.concatenate(tokens) >> np.uint64(32 - power), return_counts=True)
+    bucket = (code >> np.uint64(32)).astype(np.int64)
+    edges = np.searchsorted(bucket, np.arange((1 << power) + 1))
+    used = np.flatnonzero(np.diff(edges))
+    low = code & np.uint64(0xFFFFFFFF)
+    parts = [slice(edges[b], edges[b + 1]) for b in used]
+    n, none = len(parts), pa.nulls(len(parts))
+    columns = [*(none.cast(f.type) for f in _INFO), pa.array(used, pa.int32()), pa.array([p.stop - p.start for p in parts], pa.int32())]
+    columns += [pa.array([_planes(np.diff(low[p], prepend=np.uint64(0))) for p in parts], pa.binary()), pa.array([_planes(count[p]) for p in parts], pa.binary())]
+    return pa.record_batch([*columns[:5], *columns[9:]], schema=_INFO) if n else pa.record_batch([pa.array([], f.type) for f in _INFO], schema=_INFO)
+
+
+def _describe(power: int, seed: int, key_bits: int):
+    """A row per text (class, set size, bitmap) and rows of packed shingle counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
+        for batch in batches:
+            texts = _text.utf8(batch.column("text"))
+            keys, checks, sizes, bits = [], [], [], []
+            for first, last in _text.blocks(texts):
+                words = _text.Words(texts[first:last], lower=True)
+                for i in range(last - first):
+                    own = words.hash[words.of(i)]
+                    s = _text.shingles(own, WIDTH)
+                    key, check = class_key(own, seed, key_bits) if s.size else (None, None)
+                    keys.append(key)
+                    checks.append(check)
+                    sizes.append(s.size)
+                    bits.append(bitmap(s) if s.size else None)
+                    if s.size and (key, check) not in seen:
+                        seen.add((key, check))
+                        held.append(s)
+                        size += s.size
+                if size >= TOGETHER:
+                    yield _parcels(held, power)
+                    held, size, seen = [], 0, set()
+            n = pa.nulls(len(texts))
+            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (keys, checks, sizes)), pa.array(bits, pa.binary())]
+            yield pa.record_batch([*columns, *(n.cast(f.type) for f in list(_INFO)[5:])], schema=_INFO)
+        if held:
+            yield _parcels(held, power)
+
+    return run
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact counts of the frequent shingles; buckets arrive one after another."""
+
+    def close(bucket: int, parts: list) -> pa.RecordBatch:
+        low, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(low, kind="stable")
+        low, count = low[order], count[order]
+        edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        total = np.add.reduceat(count, edge)
+        some = total >= LEAST
+        code = (low[edge][some].astype(np.uint64) | np.uint64(bucket << 32)).view(np.int64)
+        return pa.record_batch([pa.array(code, pa.int64()), pa.array(np.log2(total[some]).astype(np.int32), pa.int32())], names=["code", "level"])
+
+    current, parts = None, []
     for batch in batches:
-        for i, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(cells), dtype=np.uint32).astype(np.uint64)
-            total[i] = total[i] + part if i in total else part
-    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["slice", "cells"])
-
-
-def frequencies(described: DataFrame) -> np.ndarray:
-    """Estimated number of texts per sketch cell, the usual noise taken off."""
-    parts = described.where("slice IS NOT NULL").select("slice", "cells").repartition("slice").mapInArrow(_add_up, "slice int, cells binary")
-    width = (1 << CELL_BITS) // SLICES
-    total = np.zeros(1 << CELL_BITS)
-    for i, cells in parts.collect():  # SLICES rows of fixed size
-        total[i * width : (i + 1) * width] = np.frombuffer(bytes(cells), dtype=np.uint64)
-    return np.maximum(1.0, total - 1.5 * np.median(total)).astype(np.float32)
-
-
-def prefix(s: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix of a set, its estimated frequencies, and its level."""
-    f = frequency[(s >> SHIFT).astype(np.int64)]
-    order = np.argsort(np.floor(np.log2(f)), kind="stable")
-    s, f = s[order], f[order]
+        for bucket, size, low, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if parts and bucket != current:
+                yield close(current, parts)
+                parts = []
+            current = bucket
+            parts.append((np.cumsum(_numbers(low, size), dtype=np.uint64).astype(np.uint32), _numbers(counts, size).astype(np.int64)))
+    if parts:
+        yield close(current, parts)
+
+
+class Order:
+    """The logarithms of the frequencies of the most frequent shingles."""
+
+    def __init__(self, code: np.ndarray, level: np.ndarray, power: int):
+        order = np.argsort(code)
+        self.code, self.level, self.power = code[order], level[order].astype(np.int8), power
+
+    def levels(self, shingles: np.ndarray) -> np.ndarray:
+        """0 for the rare; ``shingles`` ascend."""
+        if not self.code.size:
+            return np.zeros(shingles.size, dtype=np.int8)
+        code = shingles >> np.uint64(32 - self.power)
+        at = np.minimum(np.searchsorted(self.code, code), self.code.size - 1)
+        return np.where(self.code[at] == code, self.level[at], 0)
+
+
+def frequent(described: DataFrame, power: int, partitions: int) -> Order:
+    """The table of frequent shingles, of at most ``TABLE`` entries."""
+    parts = described.where("bucket IS NOT NULL").select("bucket", "size", "low", "counts")
+    counted = checkpoint(parts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_tally, "code long, level int"))
+    least, total = 64, 0
+    for level, n in sorted(map(tuple, counted.groupBy("level").count().collect()), reverse=True):  # a row per power of two
+        if (total := total + n) > TABLE:
+            break
+        least = level
+    found = counted.where(F.col("level") >= least).toArrow()
+    return Order(found.column("code").to_numpy().view(np.uint64), found.column("level").to_numpy(), power)
+
+
+def prefix(s: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, int]:
+    """The prefix of a set, the logarithms of its frequencies, and its level."""
+    f = order.levels(s)
+    by = np.argsort(f, kind="stable")
+    s, f = s[by], f[by]
     base = s.size - int(needed(s.size))
     top = min(LEVELS, s.size - base)
-    spent = np.cumsum(f - 1)
+    spent = np.cumsum(np.exp2(f[: base + top].astype(np.float64)) - 1)
     cost = [base + m + CANDIDATE_COST * spent[base + m - 1] / m for m in range(1, top + 1)]
     level = int(np.argmin(cost)) + 1
     return s[: base + level], f[: base + level], level
 
 
-def _pack(frequency, buckets: int):
+_PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("traits", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("places", pa.binary()), ("token", pa.int64()), ("key", pa.int64()), ("trait", pa.int64()), ("place", pa.int64())])
+_PACKED = "bucket int, keys binary, traits binary, counts binary, tokens binary, places binary, token long, key long, trait long, place long"
+_PAIRS_SCHEMA = pa.schema([(n, pa.int64()) for n in ("a", "b", "shared", "need", "token", "key", "trait", "place")])
+_PAIRS = "a long, b long, shared long, need long, token long, key long, trait long, place long"
+
+
+def _pack(order, buckets: int, seed: int, key_bits: int, hottest: int):
     """Prefix shingles of a batch: a packed row per bucket, a row per hot one."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("traits", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("token", pa.int64()), ("key", pa.int64()), ("trait", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _text.utf8(batch.column("text"))
-            keys, traits, parts, hot, seen = [], [], [], [], set()
+            keys, traits, parts, places, seen = [], [], [], [], set()
+            hot: list[list[np.ndarray]] = [[], [], [], []]
             for first, last in _text.blocks(texts):
                 words = _text.Words(texts[first:last], lower=True)
                 for i in range(last - first):
                     own = words.hash[words.of(i)]
-                    if not own.size or (key := class_key(own)) in seen:
+                    if not own.size or (key := class_key(own, seed, key_bits)) in seen:
                         continue
                     seen.add(key)
                     whole = _text.shingles(own, WIDTH)
-                    s, f, level = prefix(whole, frequency.value)
-                    trait = whole.size * 8 + level
-                    if (f > HOT).any():
-                        hot += [(t, key, trait) for t in s[f > HOT].view(np.int64).tolist()]
-                        s = s[f <= HOT]
-                    keys.append(key)
+                    s, f, level = prefix(whole, order.value)
+                    trait, at = whole.size * 8 + level, np.arange(s.size)
+                    if f[-1] >= hottest:  # the most frequent are at the end
+                        known = f >= hottest
+                        for column, value in zip(hot, (s[known].view(np.int64), np.full(known.sum(), key[0]), np.full(known.sum(), trait), at[known]), strict=True):
+                            column.append(value)
+                        s, at = s[~known], at[~known]
+                    keys.append(key[0])
                     traits.append(trait)
                     parts.append(s)
+                    places.append(at)
             if parts:
-                token = np.concatenate(parts)
+                token, place = np.concatenate(parts), np.concatenate(places)
                 owner = np.repeat(np.arange(len(parts)), [p.size for p in parts])
                 bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                by = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
                 key_of, trait_of = np.array(keys, dtype=np.int64), np.array(traits, dtype=np.int64)
-                out: dict[str, list] = {n: [] for n in ("bucket", "keys", "traits", "counts", "tokens")}
+                out: list[list] = [[] for _ in range(6)]
                 for b in np.flatnonzero(np.diff(edges)):
-                    at = order[edges[b] : edges[b + 1]]
+                    at = by[edges[b] : edges[b + 1]]
                     who, count = np.unique(owner[at], return_counts=True)
-                    out["bucket"].append(b)
-                    out["keys"].append(key_of[who].tobytes())
-                    out["traits"].append(trait_of[who].astype(np.uint32).tobytes())
-                    out["counts"].append(count.astype(np.uint32).tobytes())
-                    out["tokens"].append(token[at].astype(np.uint32).tobytes())
-                n = len(out["bucket"])
-                yield pa.record_batch([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "traits", "counts", "tokens")), *(pa.nulls(n).cast(pa.int64()) for _ in range(3))], schema=schema)
-            if hot:
-                n = len(hot)
-                t, k, r = zip(*hot, strict=True)
-                yield pa.record_batch([pa.array(_text.mix(np.array(t, dtype=np.int64).view(np.uint64)).astype(np.int64) % buckets, pa.int32()), *(pa.nulls(n).cast(pa.binary()) for _ in range(4)), pa.array(t, pa.int64()), pa.array(k, pa.int64()), pa.array(r, pa.int64())], schema=schema)
+                    row = (b, key_of[who].tobytes(), trait_of[who].tobytes(), _planes(count), token[at].tobytes(), _planes(place[at]))
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                none = pa.nulls(len(out[0]))
+                yield pa.record_batch([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:]), *(none.cast(pa.int64()) for _ in range(4))], schema=_PACKED_SCHEMA)
+            if hot[0]:
+                token, key, trait, place = map(np.concatenate, hot)
+                none = pa.nulls(token.size)
+                bucket = (_text.mix((token ^ key).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)  # any: these rows only pass
+                yield pa.record_batch([pa.array(bucket), *(none.cast(pa.binary()) for _ in range(5)), *(pa.array(x, pa.int64()) for x in (token, key, trait, place))], schema=_PACKED_SCHEMA)
 
     return run
 
 
-_PACKED = "bucket int, keys binary, traits binary, counts binary, tokens binary, token long, key long, trait long"
-_PAIRS = "a long, b long, shared long, need long, token long, key long, trait long"
+def _summed(low: np.ndarray, high: np.ndarray, shared: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry per pair."""
+    order = np.lexsort((high, low))
+    low, high, shared, need = low[order], high[order], shared[order], need[order]
+    edge = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if low.size else np.zeros(0, np.int64)
+    return low[edge], high[edge], np.add.reduceat(shared, edge) if edge.size else shared, need[edge]
 
 
-def _pairs_of(token: np.ndarray, key: np.ndarray, trait: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Size-compatible pairs of a bucket with shared counts, and its large groups."""
-    _, first = np.unique(np.rec.fromarrays([token, key]), return_index=True)
-    token, key, trait = token[first], key[first], trait[first]
+def _pairs_of(token: np.ndarray, key: np.ndarray, trait: np.ndarray, place: np.ndarray, small: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The pairs of a bucket that can link, with shared counts, and its large groups."""
     order = np.lexsort((key, trait >> 3, token))
-    token, key, trait = token[order], key[order], trait[order]
+    token, key, trait, place = token[order], key[order], trait[order], place[order]
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])))  # a class comes from several tasks
+    token, key, trait, place = token[new], key[new], trait[new], place[new]
     edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
     group = np.repeat(np.diff(edge), np.diff(edge))
-    large = group > SMALL
-    big = token[large], key[large], trait[large]
+    large = group > small
+    big = token[large], key[large], trait[large], place[large]
     some = (group > 1) & ~large
-    token, key, trait = token[some], key[some], trait[some]
+    token, key, trait, place = token[some], key[some], trait[some], place[some]
     size, level = trait >> 3, trait & 7
-    a, b, need = [], [], []
-    for step in range(1, min(SMALL, token.size)):
-        same = np.flatnonzero(token[step:] == token[:-step])
-        if not same.size:
+    found: list[tuple] = []
+    for step in range(1, min(small, token.size)):
+        i = np.flatnonzero(token[step:] == token[:-step])
+        if not i.size:
             break
-        same = same[100 * size[same] >= PERCENT * size[same + step]]
-        a.append(key[same])
-        b.append(key[same + step])
-        need.append(np.minimum(level[same], level[same + step]))
-    if not a:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, *big
-    a, b, need = map(np.concatenate, (a, b, need))
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((high, low))
-    low, high, need = low[order], high[order], need[order]
-    edge = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]))) if low.size else np.zeros(1, dtype=np.int64)
-    return low[edge[:-1]], high[edge[:-1]], np.diff(edge), need[edge[:-1]], *big
+        j = i + step
+        ok = (100 * size[i] >= PERCENT * size[j]) & may_meet(size[i], place[i], size[j], place[j])
+        i, j = i[ok], j[ok]
+        found.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.ones(i.size, np.int64), np.minimum(level[i], level[j])))
+    none = np.zeros(0, dtype=np.int64)
+    return _summed(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else (none,) * 4, big
+
+
+def _rows(pairs: tuple[np.ndarray, ...] | None, groups: tuple | None) -> pa.RecordBatch:
+    n = len((pairs or groups)[0])
+    none = [pa.nulls(n).cast(pa.int64()) for _ in range(4)]
+    own = [pa.array(x, pa.int64()) for x in (pairs or groups)]
+    return pa.record_batch(own + none if pairs else none + own, schema=_PAIRS_SCHEMA)
 
 
-def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the packed rows of each bucket; large groups as rows."""
-    held: dict[int, list] = {}
+def _join_buckets(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of the packed rows of each bucket; large groups as rows.
+    Buckets arrive one after another; one is held at a time."""
+
+    def close(parts: list) -> Iterator[pa.RecordBatch]:
+        token, key, trait, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        pairs, (t, k, r, p) = _pairs_of(token, key, trait, place, small)
+        yield _rows(pairs, None)
+        yield _rows(None, (t.view(np.int64), k, r, p))
+
+    current, parts = None, []
     for batch in batches:
         hot = batch.filter(pa.compute.is_valid(batch.column("token")))
         if hot.num_rows:
-            columns = [*(pa.nulls(hot.num_rows).cast(pa.int64()) for _ in range(4)), *(hot.column(c) for c in ("token", "key", "trait"))]
-            yield pa.record_batch(columns, names=["a", "b", "shared", "need", "token", "key", "trait"])
-        for b, keys, traits, counts, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            yield _rows(None, tuple(hot.column(c) for c in ("token", "key", "trait", "place")))
+        for b, keys, traits, counts, tokens, places in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             if keys is None:
                 continue
-            count = np.frombuffer(counts, dtype=np.uint32)
-            key = np.repeat(np.frombuffer(keys, dtype=np.int64), count)
-            trait = np.repeat(np.frombuffer(traits, dtype=np.uint32), count)
-            held.setdefault(b, []).append((np.frombuffer(tokens, dtype=np.uint32), key, trait))
-    for b in list(held):
-        token, key, trait = (np.concatenate(c) for c in zip(*held.pop(b), strict=True))
-        low, high, shared, need, t, k, r = _pairs_of(token.astype(np.int64), key, trait.astype(np.int64))
-        n, m = low.size, t.size
-        # tokens are cut to 32 bits in a bucket; the bucket makes them whole again
-        columns = [*(pa.array(x, pa.int64()) for x in (low, high, shared, need)), *(pa.nulls(n).cast(pa.int64()) for _ in range(3))]
-        yield pa.record_batch(columns, names=["a", "b", "shared", "need", "token", "key", "trait"])
-        columns = [*(pa.nulls(m).cast(pa.int64()) for _ in range(4)), *(pa.array(x, pa.int64()) for x in (t + (b << 32), k, r))]
-        yield pa.record_batch(columns, names=["a", "b", "shared", "need", "token", "key", "trait"])
+            if parts and b != current:
+                yield from close(parts)
+                parts = []
+            current = b
+            key, token = np.frombuffer(keys, dtype=np.int64), np.frombuffer(tokens, dtype=np.uint64)
+            count = _numbers(counts, key.size)
+            parts.append((token, np.repeat(key, count), np.repeat(np.frombuffer(traits, dtype=np.int64), count), _numbers(places, token.size).astype(np.int64)))
+    if parts:
+        yield from close(parts)
+
+
+def _across(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of each shingle's two blocks that can link and whose labels differ;
+    with ``best`` only the closest pair of each two labels, as far as the bitmaps tell.
+    Rows (token, low, high, own, key, trait, place, label, bits) arrive sorted."""
+    found: list[np.ndarray] = []
+    size = 0
+
+    def close(rows: np.ndarray, bits: list[bytes]) -> np.ndarray:
+        _, low, high = rows[0, :3]
+        first, second = np.flatnonzero(rows[:, 3] == low), np.flatnonzero(rows[:, 3] == high)
+        i, j = np.nonzero(rows[first, 7][:, None] != rows[second, 7][None, :])
+        if low == high:
+            i, j = i[i < j], j[i < j]
+        i, j = first[i], second[j]
+        n, m = rows[i, 5] >> 3, rows[j, 5] >> 3
+        ok = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & may_meet(n, rows[i, 6], m, rows[j, 6])
+        i, j, n, m = i[ok], j[ok], n[ok], m[ok]
+        bound = difference_bounds(bits, i, j)
+        ok = may_link(n, m, bound)
+        i, j, bound = i[ok], j[ok], bound[ok]
+        swap = rows[i, 7] > rows[j, 7]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return np.stack((rows[i, 7], rows[j, 7], bound, rows[i, 4], rows[j, 4]), axis=1)
+
+    def fewest() -> np.ndarray:
+        pairs = np.concatenate(found)
+        if not best:
+            return np.unique(pairs, axis=0)
+        pairs = pairs[np.lexsort(pairs.T[::-1])]
+        return pairs[np.concatenate(([True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)))] if pairs.size else pairs
+
+    def flush(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.ascontiguousarray(c), pa.int64()) for c in pairs.T], names=["x", "y", "bound", "a", "b"])
+
+    rest, rest_bits = np.zeros((0, 8), dtype=np.int64), []
+    for batch in batches:
+        rows = np.concatenate((rest, np.stack([batch.column(i).to_numpy() for i in range(8)], axis=1)))
+        bits = rest_bits + batch.column(8).to_pylist()
+        edge = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))) if len(rows) else np.zeros(0, np.int64)
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            found.append(close(rows[x:y], bits[x:y]))
+            size += len(found[-1])
+            if size >= TOGETHER // 8:
+                found = [fewest()]
+                size = len(found[0])
+                if size >= TOGETHER // 16:
+                    yield flush(found[0])
+                    found, size = [], 0
+        last = int(edge[-1]) if edge.size else 0
+        rest, rest_bits = rows[last:], bits[last:]
+    if len(rest):
+        found.append(close(rest, rest_bits))
+    if found:
+        yield flush(fewest())
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, na, nb, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "bits_a", "bits_b"))
-        ok = [i for i in range(len(a)) if may_link(na[i], nb[i], difference_bound(x[i], y[i]))]
-        yield pa.record_batch([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["a", "b"])
+        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+        bits, at = batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist(), np.arange(na.size)
+        ok = pa.array(may_link(na, nb, difference_bounds(bits, at, at + na.size)), pa.bool_())
+        yield pa.record_batch([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [zlib.compress(t or b"", 1) for t in _text.utf8(batch.column("text"))]
-        yield pa.record_batch([batch.column("key"), pa.array(packed, pa.binary())], names=["key", "packed"])
+def _squeeze(seed: int, key_bits: int):
+    """Packed texts of the rows whose class is ``wanted`` (null: any class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, wanted = _text.utf8(batch.column("text")), batch.column("wanted").to_pylist()
+            keys, packed = [], []
+            for first, last in _text.blocks(texts):
+                words = _text.Words(texts[first:last], lower=True)
+                for i in range(last - first):
+                    own = words.hash[words.of(i)]
+                    if own.size and wanted[first + i] in (None, key := class_key(own, seed, key_bits)[0]):
+                        keys.append(key)
+                        packed.append(zlib.compress(texts[first + i], 1))
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["key", "packed"])
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,22 +507,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Join:
-    """One join over ``docs`` (doc_id, text)."""
+    """One join over ``docs`` (doc_id, text).  Groups of a shingle with more than
+    ``small`` classes and shingles of at least ``2^hottest`` texts go by rows."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, small: int = SMALL, hottest: int = HOT, key_bits: int = 64):
+        self.small, self.hottest, self.key_bits = small, hottest, key_bits
         self.docs = docs.select("doc_id", "text")
-        self.spark = docs.sparkSession
-        self.buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        described = checkpoint(self.docs.mapInArrow(_describe, "doc_id long, key long, n long, bits binary, slice int, cells binary"))
-        self.frequency = frequencies(described)
-        self.rows = described.where("slice IS NULL").select("doc_id", "key", "n")
-        self.classes = checkpoint(described.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bits").alias("bits")))
+        self.spark = ship(docs.sparkSession)
+        self.parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        #: Buckets of shingles: a few per partition, so that one held at a time is small.
+        self.power = min(24, (4 * self.parts - 1).bit_length())
+        self.seed = 0
+        while True:
+            described = checkpoint(self.docs.mapInArrow(_describe(self.power, self.seed, key_bits), _INFO_DDL))
+            grouped = described.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bits").alias("bits"), (F.min("check") != F.max("check")).alias("torn"))
+            self.classes = checkpoint(grouped)
+            if self.classes.where("torn").isEmpty():
+                break
+            self.seed += 1  # two classes agree in 64 bits
+        self.rows = checkpoint(described.where("bucket IS NULL").select("doc_id", "key", "n"))
+        self.order = frequent(described, self.power, self.parts)
 
     def candidates(self) -> DataFrame:
-        """Pair rows (a, b, shared, need) and rows of large groups (token, key, trait)."""
-        frequency = self.spark.sparkContext.broadcast(self.frequency)
-        packed = self.docs.mapInArrow(_pack(frequency, self.buckets), _PACKED)
-        return checkpoint(packed.repartition(self.buckets, "bucket").mapInArrow(_join_buckets, _PAIRS))
+        """Pair rows (a, b, shared, need) and rows of large groups (token, key, trait, place)."""
+        buckets = 1 << self.power
+        order = self.spark.sparkContext.broadcast(self.order)
+        packed = self.docs.mapInArrow(_pack(order, buckets, self.seed, self.key_bits, self.hottest), _PACKED)
+        return checkpoint(packed.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_join_buckets, small=self.small), _PAIRS))
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that the bitmaps permit to link."""
@@ -330,8 +542,12 @@ class Join:
 
     def texts_of(self, keys: DataFrame) -> DataFrame:
         """Packed texts of classes, one each: the only time that texts move."""
-        reps = self.classes.select("key", F.col("rep").alias("doc_id")).join(keys.distinct(), "key", "left_semi")
-        return checkpoint(self.docs.join(reps, "doc_id").mapInArrow(_squeeze, "key long, packed binary").dropDuplicates(["key"]))
+        reps = self.classes.select(F.col("key").alias("wanted"), F.col("rep").alias("doc_id")).join(keys.distinct().withColumnRenamed("key", "wanted"), "wanted", "left_semi")
+        known = self.docs.join(reps, "doc_id").select("text", "wanted").mapInArrow(_squeeze(self.seed, self.key_bits), "key long, packed binary")
+        # classes of which no row has an id are found by their texts
+        nameless = reps.where("doc_id IS NULL").select(F.col("wanted").alias("key"))
+        lost = self.docs.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("wanted")).mapInArrow(_squeeze(self.seed, self.key_bits), "key long, packed binary")
+        return checkpoint(known.union(lost.join(nameless, "key", "left_semi")).dropDuplicates(["key"]))
 
     @staticmethod
     def verified(screened: DataFrame, texts: DataFrame) -> DataFrame:
@@ -345,28 +561,23 @@ class Join:
         found = self.candidates()
         pairs = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
         pairs = checkpoint(pairs)
-        release(self.spark)
         first = self.screened(pairs.where("shared >= need").select("a", "b"))
-        hot = found.where("token IS NOT NULL").select("token", "key", "trait").distinct()
+        hot = checkpoint(found.where("token IS NOT NULL").select("token", "key", "trait", "place").distinct())
         texts = self.texts_of(first.select(F.col("a").alias("key")).union(first.select("b")).union(hot.select("key")))
         release(self.spark)
         edges = self.verified(first, texts)
         release(self.spark)
-        if hot.isEmpty():
-            return edges
-        hot = checkpoint(hot)
-        for round_ in range(2):
+        for tried in (self._against_pivots, functools.partial(self._across, best=True), functools.partial(self._across, best=False)):
             label = _graph.components(edges)
-            at = hot.join(label.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "trait", F.coalesce("label", "key").alias("label"))
-            open_ = at.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-            at = checkpoint(at.join(open_, "token", "left_semi"))
+            at = hot.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+            counted = at.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+            several = counted.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("of_main"), F.sum("c").alias("members"))
+            open_ = several.where("of_main < members").select("token", "main", "of_main", (F.col("members") - F.col("of_main")).alias("others"))
+            at = checkpoint(at.join(open_, "token"))
             if at.isEmpty():
-                return edges
-            if not round_:
-                new = self._against_pivots(at, PIVOTS)
-            else:
-                new = self._all_across(at, pairs)
-            edges = checkpoint(edges.union(self.verified(self.screened(new), texts)).distinct())
+                break
+            edges = checkpoint(edges.union(self.verified(tried(at), texts)).distinct())
+            release(self.spark)
         return edges
 
     @staticmethod
@@ -374,26 +585,37 @@ class Join:
         p, q = F.shiftright(x, 3), F.shiftright(y, 3)
         return (100 * F.least(p, q)) >= PERCENT * F.greatest(p, q)
 
-    def _against_pivots(self, at: DataFrame, count: int) -> DataFrame:
-        """Members of each large group against a few of its members."""
+    def _against_pivots(self, at: DataFrame) -> DataFrame:
+        """Members of each large group against a few of its members: those before
+        whose shingle the fewest rarer ones stand, as they are next to the common
+        text, one of each ``PIVOTS`` parts of the group."""
         # a few shingles of each class will do here: the last round covers the rest
         few = at.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("token")), 1, PIVOT_TOKENS).alias("t")).select("key", F.explode("t").alias("token"))
         at = at.join(few, ["key", "token"], "left_semi")
-        member = lambda i: F.min(F.struct(F.xxhash64("key", F.lit(i)), "key", "trait", "label"))
-        pivots = at.groupBy("token").agg(F.array(*(member(i) for i in range(count))).alias("p")).select("token", F.explode(F.array_distinct("p")).alias("p"))
+        part = F.pmod(F.xxhash64("key"), F.lit(PIVOTS))
+        member = lambda i: F.min(F.when(part == i, F.struct("place", "key", "trait", "label")))
+        pivots = at.groupBy("token").agg(F.array(*(member(i) for i in range(PIVOTS))).alias("p")).select("token", F.explode(F.array_compact("p")).alias("p"))
         pivots = pivots.select("token", F.col("p.key").alias("other"), F.col("p.trait").alias("other_trait"), F.col("p.label").alias("other_label"))
         met = at.join(pivots, "token").where((F.col("label") != F.col("other_label")) & self._compatible("trait", "other_trait"))
-        return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-
-    def _all_across(self, at: DataFrame, pairs: DataFrame) -> DataFrame:
-        """All pairs of large groups that are still apart and share enough."""
-        other = at.select("token", F.col("key").alias("other"), F.col("trait").alias("other_trait"), F.col("label").alias("other_label"))
-        met = at.join(other, "token").where((F.col("key") < F.col("other")) & (F.col("label") != F.col("other_label")) & self._compatible("trait", "other_trait"))
-        need = F.least(F.col("trait").bitwiseAND(7), F.col("other_trait").bitwiseAND(7))
-        hot = met.groupBy(F.col("key").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(need).alias("need"))
-        short = pairs.where("shared < need").select("a", "b", "shared", "need")
-        both = hot.unionByName(short).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
-        return both.where("shared >= need").select("a", "b")
+        return self.screened(met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
+
+    def _across(self, at: DataFrame, best: bool) -> DataFrame:
+        """All pairs of large groups that are still apart and that the bitmaps permit
+        to link; with ``best`` one pair of each two components.  The members of a
+        group's main component and the others are dealt into blocks of about
+        ``BLOCK`` classes.  Each block of others meets each block, in a place of
+        its own, so no task gets a whole group, and what is merged costs a row."""
+        blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+        at = at.join(self.classes.select("key", "bits"), "key").withColumns({"n1": blocks("of_main"), "n2": blocks("others"), "is_main": F.col("label") == F.col("main")})
+        own = F.when(F.col("is_main"), F.pmod(F.xxhash64("key"), "n1")).otherwise(F.col("n1") + F.pmod(F.xxhash64("key"), "n2"))
+        meets = F.sequence(F.when(F.col("is_main"), F.col("n1")).otherwise(0), F.col("n1") + F.col("n2") - 1)
+        dealt = at.withColumn("own", own.cast("long")).select("*", F.explode(meets).alias("with"))
+        columns = ["token", F.least("own", "with").cast("long").alias("low"), F.greatest("own", "with").cast("long").alias("high"), "own", "key", "trait", "place", "label", "bits"]
+        dealt = dealt.select(*columns).repartition(self.parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
+        met = dealt.mapInArrow(functools.partial(_across, best=best), "x long, y long, bound long, a long, b long")
+        if not best:
+            return met.select("a", "b").distinct()
+        return met.groupBy("x", "y").agg(F.min(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b")
 
     def membership(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row of the input."""

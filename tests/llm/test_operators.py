@@ -450,10 +450,8 @@ def brute_components(rows):
     return {i: (i, len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("small,hot", [(64, 2000), (2, 4)])
-def test_jaccard_join(spark, documents, monkeypatch, small, hot):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "HOT", hot)
+@pytest.mark.parametrize("small,hottest,bits", [(64, 11, 64), (2, 3, 64), (5, 4, 24)])
+def test_jaccard_join(spark, documents, small, hottest, bits):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     r = random.Random(3)
     base = [f"w{k}" for k in range(120)]
@@ -463,16 +461,48 @@ def test_jaccard_join(spark, documents, monkeypatch, small, hot):
             w[r.randrange(len(w))] = f"z{r.randrange(1000)}"
         rows.append((i, " ".join(w)))
     want = brute_components(rows)
-    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = jaccard_join.Join(spark.createDataFrame(rows, "doc_id long, text string"), small, hottest, bits).membership().collect()
     assert len(got) == len(rows) and all(tuple(g) == want[g["doc_id"]] for g in got)
 
 
+def test_classes_that_agree_in_their_key_are_told_apart(spark):
+    texts = [f"t{i} some words of text number {i} here" for i in range(40)]
+    words = [_text.Words([t.encode()], lower=True).hash for t in texts]
+    assert len({jaccard_join.class_key(w, 0, 9)[0] for w in words}) < 40  # keys of nine bits collide
+    join = jaccard_join.Join(spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string"), key_bits=9)
+    assert join.seed > 0 and join.classes.count() == 40
+    assert all(r["component_id"] == r["doc_id"] % 40 for r in join.membership().collect())
+
+
+def test_places_bound_the_intersection():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.sort(rng.choice(60, rng.integers(20, 55), replace=False)) for _ in range(2))
+        if 100 * np.intersect1d(a, b).size >= 75 * np.union1d(a, b).size:
+            for x in np.intersect1d(a, b):
+                assert jaccard_join.may_meet(np.array([a.size]), np.searchsorted(a, [x]), np.array([b.size]), np.searchsorted(b, [x]))[0]
+
+
+def test_long_words_are_told_apart():
+    a, b = b"a" * 4096 + b"b" * 4096, b"b" * 4096 + b"a" * 4096
+    x, y = _text.Words([a + b" " + b], lower=True).hash
+    assert x != y
+
+
+def test_jaccard_rows_without_or_with_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base + " end"), (None, "quite another text of some words here"), (3, base), (3, "one text under a repeated id is this"), (4, "one text under a repeated id is this"), (2, base + " stop")]
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 3, -1), (-1, 57, 2), (2, 57, 2), (3, 4, 3), (3, 56, 2), (4, 4, 3)]
+
+
 def test_bitmap_bound_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for n, m in ((10, 10), (300, 200), (40, 4000)):
         a, b = (np.unique(rng.integers(0, 5000, k).astype(np.uint64)) for k in (n, m))
         a, b = _text.mix(a), _text.mix(b)
-        assert jaccard_join.difference_bound(jaccard_join.bitmap(a), jaccard_join.bitmap(b)) <= np.setxor1d(a, b).size
+        zero, one = np.array([0]), np.array([1])
+        assert jaccard_join.difference_bounds([jaccard_join.bitmap(a), jaccard_join.bitmap(b)], zero, one) <= np.setxor1d(a, b).size
 
 
 def test_jaccard_edges(edge, none):
@@ -483,7 +513,9 @@ def test_jaccard_edges(edge, none):
     assert kept.dtypes == edge.dtypes and kept.count() == edge.count() - 2
 
 
-def test_graph_components(spark):
+@pytest.mark.parametrize("most", [5, 1_000_000])
+def test_graph_components(spark, monkeypatch, most):
+    monkeypatch.setattr(_graph, "TASK_EDGES", most)  # few: contraction in rounds
     r = random.Random(0)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
     parent = {x: x for e in edges for x in e}
