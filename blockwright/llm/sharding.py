@@ -7,7 +7,10 @@ depends on the key, the child and the child's weight alone: when a weight
 rises, a row either stays or moves into that child, and no row moves between
 other children.  New capacity that enters as a region of its own therefore
 only takes rows into itself, and a changed weight inside a region moves rows
-inside that region plus those that its new total attracts.
+inside that region plus those that its new total attracts.  A tree with fewer
+shards than its base keeps the base's places and weights: a row that lands on
+an absent shard draws anew, and after ``ATTEMPTS`` draws chooses among the
+present shards by one flat draw.  So a shard that fills a place, too, only takes rows into itself.
 
 Only built-in column functions are used.  The slot numbers need no task that
 sees a whole shard: rows are dealt over ``buckets`` hash buckets per shard,
@@ -35,13 +38,18 @@ class Shard:
     region: str
     rack: str
     weight: float = 1.0
+    present: bool = True
+
+
+ATTEMPTS = 3
 
 
 def topology(shards: int, base: int = 8) -> list[Shard]:
-    """``base`` shards in regions of two racks of two; later ones are regions."""
+    """``base`` places in regions of two racks of two, of which the first
+    ``shards`` are filled; later shards are regions."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    return [Shard(s, f"r{s // 4}", f"r{s // 4}k{s // 2 % 2}") if s < base else Shard(s, f"x{s}", f"x{s}k0") for s in range(shards)]
+    return [Shard(s, f"r{s // 4}", f"r{s // 4}k{s // 2 % 2}", present=s < shards) if s < base else Shard(s, f"x{s}", f"x{s}k0") for s in range(max(shards, base))]
 
 
 def _draw(key: Column, child: str, weight: float) -> Column:
@@ -62,15 +70,19 @@ def shard_of(key: Column, shards: list[Shard]) -> Column:
     if any(not s.weight > 0 for s in shards):
         raise ValueError("weights must be positive")
 
-    def level(leaves: list[Shard], path: tuple[str, ...]) -> list[tuple[str, float, Column]]:
+    def level(leaves: list[Shard], path: tuple[str, ...], attempt: str) -> list[tuple[str, float, Column]]:
         if not path:
-            return [(f"shard:{s.number}", s.weight, F.lit(s.number)) for s in leaves]
+            return [(f"{attempt}shard:{s.number}", s.weight, F.lit(s.number if s.present else None).cast("int")) for s in leaves]
         groups: dict[str, list[Shard]] = {}
         for s in leaves:
             groups.setdefault(getattr(s, path[0]), []).append(s)
-        return [(f"{path[0]}:{name}", sum(s.weight for s in own), _pick(key, level(own, path[1:]))) for name, own in groups.items()]
+        return [(f"{attempt}{path[0]}:{name}", sum(s.weight for s in own), _pick(key, level(own, path[1:], attempt))) for name, own in groups.items()]
 
-    return _pick(key, level(shards, ("region", "rack")))
+    present = [s for s in shards if s.present]
+    if len(present) == len(shards):
+        return _pick(key, level(shards, ("region", "rack"), ""))
+    draws = [_pick(key, level(shards, ("region", "rack"), f"{t}:" if t else "")) for t in range(ATTEMPTS)]
+    return F.coalesce(*draws, _pick(key, level(present, (), "flat:")))
 
 
 def assign(rows: DataFrame, key: str, shards: list[Shard], grown: list[Shard] | None = None) -> DataFrame:
