@@ -24,15 +24,21 @@ contradicting ones ``block`` wins; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockwright.llm._session import ship
+
 TOP = "\U0010ffff"
 #: Sampled rows per range, to place the splitters.
 SAMPLE_PER_RANGE = 40
+#: So the sample has a bound, whatever the cluster.
+MOST_RANGES = 8192
 
 
 def host_of(url: Column) -> Column:
@@ -52,18 +58,25 @@ def reversed_host(host: Column) -> Column:
 
 
 def _splitters(keys: DataFrame, ranges: int) -> list[str]:
-    """At most ``ranges - 1`` keys from a sample of bounded size."""
-    sample = keys.select("_sort").orderBy(F.xxhash64("_sort")).limit(ranges * SAMPLE_PER_RANGE)
-    found = sorted(r[0] for r in sample.collect())
+    """At most ``ranges - 1`` keys from a sample of about ``SAMPLE_PER_RANGE`` for
+    each range; tasks send the sample and no more."""
+    total = keys.count()
+    share = min(1.0, ranges * SAMPLE_PER_RANGE / max(1, total))
+    draw = F.shiftrightunsigned(F.xxhash64("_sort"), 11) / F.lit(float(2**53))
+    found = sorted(r[0] for r in keys.select("_sort").where(draw < share).distinct().collect())
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 
 
-def _sweep(default: str):
-    def over(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["_sort", "_kind"], kind="stable")
-        stack: list[tuple[str, list[tuple[str, str, str]]]] = []
-        rules, verdicts, keep = [], [], []
-        for i, (kind, key, host, path, verdict) in enumerate(zip(rows["_kind"], rows["_key"], rows["host"], rows["path"], rows["verdict"], strict=True)):
+def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
+    """Verdicts of the pages, which arrive with the rules in order of range, key
+    and kind; only the stack of open rules is held."""
+    current = None
+    stack: list[tuple[str, list[tuple[str, str, str]]]] = []
+    for batch in batches:
+        ids, hosts, paths, rules, verdicts = [], [], [], [], []
+        for number, kind, key, page, host, path, verdict in zip(*(batch.column(c).to_pylist() for c in ("_range", "_kind", "_key", "page_id", "host", "path", "verdict")), strict=True):
+            if number != current:
+                current, stack = number, []
             while stack and not key.startswith(stack[-1][0]):
                 stack.pop()
             if kind == 0:
@@ -78,19 +91,18 @@ def _sweep(default: str):
                         rank = (len(rule_host) + len(rule_path), len(rule_host), rule_verdict)
                         if best is None or rank > best[0]:
                             best = rank, rule_host + rule_path
-            keep.append(i)
+            ids.append(page)
+            hosts.append(host)
+            paths.append(path)
             rules.append(best[1] if best else None)
             verdicts.append(best[0][2] if best else default)
-        out = rows.iloc[keep][["page_id", "host", "path"]]
-        return out.assign(rule=pd.Series(rules, index=out.index, dtype=object), verdict=pd.Series(verdicts, index=out.index, dtype=object))
-
-    return over
+        yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(c, pa.string()) for c in (hosts, paths, rules, verdicts))], names=["page_id", "host", "path", "rule", "verdict"])
 
 
 def judge(pages: DataFrame, rules: DataFrame, ranges: int | None = None, default: str = "allow") -> DataFrame:
     """Verdict per page; ``rules`` has host, path and verdict."""
-    spark = pages.sparkSession
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark = ship(pages.sparkSession)
+    ranges = ranges or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
     url = F.col("url")
     keyed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     keyed = keyed.withColumn("_key", reversed_host(F.col("host")))
@@ -109,22 +121,5 @@ def judge(pages: DataFrame, rules: DataFrame, ranges: int | None = None, default
     columns = ["_range", "_kind", "_sort", "_key", "page_id", "host", "path", "verdict"]
     starts = opened.withColumn("_range", met).withColumns({"_kind": F.lit(0), "_sort": F.col("_key"), "page_id": F.lit(None).cast("long")}).select(columns)
     rows = keyed.withColumns({"_range": range_of("_sort"), "_kind": F.lit(1), "verdict": F.lit(None).cast("string")}).select(columns)
-    schema = "page_id long, host string, path string, rule string, verdict string"
-    sweep = _sweep(default)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Ranges arrive whole and sorted; one is held at a time.
-        held: list[pd.DataFrame] = []
-        current = None
-        for batch in batches:
-            for number, part in batch.groupby("_range", sort=True):
-                if held and number != current:
-                    yield sweep(pd.concat(held))
-                    held = []
-                held.append(part)
-                current = number
-        if held:
-            yield sweep(pd.concat(held))
-
-    dealt = starts.unionByName(rows).repartition(size, "_range").sortWithinPartitions("_range")
-    return dealt.mapInPandas(run, schema)
+    dealt = starts.unionByName(rows).repartition(size, "_range").sortWithinPartitions("_range", "_sort", "_kind")
+    return dealt.mapInArrow(functools.partial(_sweep, default=default), "page_id long, host string, path string, rule string, verdict string")
