@@ -11,8 +11,8 @@ same as walking the trees.  The language with the shortest code wins, ties in
 name order; the score is its share under equal priors.
 
 The trees are fitted on a bounded sample: ``texts_per_language`` whole texts
-of each language, taken by a hash of the id from the training rows.  Scoring
-covers whole texts.  The tables are sparse: an entry for each string of three
+of each language, taken by a hash of id and text from the training rows; rows
+that agree in both count once.  Scoring covers whole texts.  The tables are sparse: an entry for each string of three
 or four bytes seen in any language, and the escape of each context; only single
 bytes of context have a full table.  So they are bounded by the sample.
 
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm import _text
+from blockwright.llm._session import ship
 
 ORDER = 3
 _LETTER = regex.compile(r"\p{L}")
@@ -45,15 +46,16 @@ def held_out(column: str = "doc_id"):
 
 
 def sample(docs: DataFrame, texts_per_language: int) -> dict[str, list[bytes]]:
-    """At most so many whole training texts per language, by hash of the id."""
+    """At most so many whole training texts per language, by hash of id and text."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("langid")), 11) / F.lit(float(2**53))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("langid")), 11) / F.lit(float(2**53))
     limit = F.lit(0.0)
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, F.lit(min(1.0, texts_per_language / n))).otherwise(limit)
     out: dict[str, list] = {}
-    for r in rows.where(draw < limit).select("lang", "text", draw.alias("draw")).toLocalIterator():
+    chosen = rows.where(draw < limit).groupBy("lang", draw.alias("draw")).agg(F.first("text").alias("text"))
+    for r in chosen.toLocalIterator():
         out.setdefault(r["lang"], []).append((r["draw"], r["text"].encode()))
     return {lang: [t for _, t in sorted(found)[:texts_per_language]] for lang, found in sorted(out.items())}
 
@@ -198,6 +200,7 @@ def _loaded(packed: bytes) -> Trees:
 
 def predict(docs: DataFrame, texts_per_language: int = 400) -> DataFrame:
     """Predicted language and score of each document."""
+    ship(docs.sparkSession)
     trees = Trees(sample(docs, texts_per_language))
     model = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(trees), 1))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
