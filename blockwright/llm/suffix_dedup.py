@@ -41,7 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm import _text
+from blockwright.llm._session import quoted, ship
 
+#: Bytes of a long text that are looked at together.
+PIECE = 1 << 22
 GRAM = 36
 LEAD = 24
 SAMPLE_TEXTS = 1500
@@ -84,22 +87,39 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text with windows: its index, and for each of its anchors the
-    place, the first and last window start, and the gram hash."""
+    place, the first and last window start, and the gram hash.  Long texts are
+    cut into pieces that overlap so that each window is whole in one."""
     for first, last in _text.blocks(texts):
-        some = texts[first:last]
-        data = np.frombuffer(b"".join(some), dtype=np.uint8)
-        if data.size < length:
+        if last - first > 1 or len(texts[first]) <= PIECE + length:
+            yield from _block_anchors(texts, first, last, length)
             continue
-        sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
-        start = np.concatenate(([0], np.cumsum(sizes)))
-        h = gram_hashes(data, GRAM)
-        packed = (h & ~_POSITION) | np.arange(data.size, dtype=np.uint64)
-        place = (sliding_min(packed, length - GRAM + 1) & _POSITION).astype(np.int64)
-        for i in np.flatnonzero(sizes >= length):
-            at = place[start[i] : start[i + 1] - length + 1]
-            edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            own = at[edge]
-            yield first + i, own - start[i], edge, np.concatenate((edge[1:], [at.size])) - 1, h[own]
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for at in range(0, len(texts[first]) - length + 1, PIECE):
+            for _, place, low, high, gram in _block_anchors([texts[first][at : at + PIECE + length - 1]], 0, 1, length):
+                if found[0] and found[0][-1][-1] == place[0] + at:  # one anchor on both sides of the cut
+                    found[2][-1][-1] = high[0] + at
+                    place, low, high, gram = place[1:], low[1:], high[1:], gram[1:]
+                for column, value in zip(found, (place + at, low + at, high + at, gram), strict=True):
+                    if value.size:
+                        column.append(value)
+        yield first, *map(np.concatenate, found)
+
+
+def _block_anchors(texts: list[bytes], first: int, last: int, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    some = texts[first:last]
+    data = np.frombuffer(b"".join(some), dtype=np.uint8)
+    if data.size < length:
+        return
+    sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+    start = np.concatenate(([0], np.cumsum(sizes)))
+    h = gram_hashes(data, GRAM)
+    packed = (h & ~_POSITION) | np.arange(data.size, dtype=np.uint64)
+    place = (sliding_min(packed, length - GRAM + 1) & _POSITION).astype(np.int64)
+    for i in np.flatnonzero(sizes >= length):
+        at = place[start[i] : start[i + 1] - length + 1]
+        edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        own = at[edge]
+        yield first + i, own - start[i], edge, np.concatenate((edge[1:], [at.size])) - 1, h[own]
 
 
 def multikey_order(data: np.ndarray, starts: np.ndarray, size: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -444,7 +464,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     windows (null: none)."""
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(ship(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     marked = docs.withColumns({"d": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "h": F.xxhash64("text")})
     narrow = marked.select("d", "h", "text")
     buckets = max(8, parts // 4)
@@ -478,8 +498,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     only part was repeated goes as a whole; a null text stays null."""
     # other columns wait inside a struct, so that none clashes with those used here
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
-    held = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in other)).alias("_other"))
-    kind = held.schema["_other"].dataType.simpleString()
+    held = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(quoted(c)) for c in other)).alias("_other"))
+    schema = held.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -487,5 +507,5 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("_other")], names=["doc_id", "text", "_other"])
 
     found = repeated_spans(held, length).select("doc_id", "text", "_other", "spans")
-    out = found.mapInArrow(run, f"doc_id long, text string, _other {kind}")
-    return out.select(*(c if c in ("doc_id", "text") else F.col(f"_other.`{c}`").alias(c) for c in docs.columns))
+    out = found.mapInArrow(run, schema)
+    return out.select(*(c if c in ("doc_id", "text") else F.col("_other")[c].alias(c) for c in docs.columns))
