@@ -13,7 +13,8 @@ texts), and encodes each different segment once with the library.  Pieces are
 projected through the alignment to spans of source bytes: a begin and an end
 for each piece, without the begin and end ids.
 
-Only a cache of segments is held between texts, at most ``CACHE`` entries.
+Only a cache of segments is held between texts, at most ``CACHE`` entries of at
+most ``LONGEST`` characters each; longer segments are encoded where they stand.
 
 Edge cases: a null text encodes like an empty one (begin and end ids only);
 repeated rows give a row each; an empty table gives no rows.
@@ -31,8 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
+
+from blockwright.llm._session import quoted, ship
 
 CACHE = 500_000
+LONGEST = 64
 MARK = "▁"
 _SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
@@ -160,13 +165,14 @@ class Codec:
             return array("I", self.plain.encode(normal)).tobytes() if normal else b""
         parts = _SEGMENT.findall(normal)
         cache = self.cache
-        missing = [s for s in set(parts) if s not in cache]
+        long = {s: array("I", self.plain.encode(s)).tobytes() for s in set(parts) if len(s) > LONGEST}
+        missing = [s for s in set(parts) if s not in cache and s not in long]
         if missing:
             if len(cache) + len(missing) > CACHE:
                 cache.clear()
-                missing = list(set(parts))
+                missing = [s for s in set(parts) if s not in long]
             self._fill(missing)
-        return b"".join(map(cache.__getitem__, parts))
+        return b"".join([long[s] if s in long else cache[s] for s in parts] if long else map(cache.__getitem__, parts))
 
     def _fill(self, missing: list[str]) -> None:
         """Encode segments in one call, parted by line feeds, which stay alone."""
@@ -241,7 +247,7 @@ def encode_digests(docs: DataFrame, model_path: str, with_ids: bool = False) ->
     """Number and digest of the ids, digest of the decoded text and digest of the
     source spans, per document; on request the packed ids and spans too.  Spans
     are packed as little-endian signed 32-bit begin and end of each piece."""
-    model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+    model = ship(docs.sparkSession).sparkContext.broadcast(read_model(model_path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string())])
     if with_ids:
         schema = schema.append(pa.field("ids", pa.binary())).append(pa.field("spans", pa.binary()))
@@ -268,10 +274,11 @@ def encode_digests(docs: DataFrame, model_path: str, with_ids: bool = False) ->
 
 def encode_documents(docs: DataFrame, model_path: str, keep: list[str], spans: bool = False) -> DataFrame:
     """The columns ``keep`` plus ``ids`` (packed) and, on request, source ``spans``."""
-    model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema)
-    schema = f"{fields}, ids binary" + ", spans array<struct<id:int,first:int,end:int>>" * spans
-    carried = list(dict.fromkeys([*keep, "text"]))
+    model = ship(docs.sparkSession).sparkContext.broadcast(read_model(model_path))
+    schema = docs.select([quoted(k) for k in keep]).schema.add("ids", BinaryType())
+    if spans:
+        schema = schema.add("spans", ArrayType(StructType().add("id", IntegerType()).add("first", IntegerType()).add("end", IntegerType())))
+    carried = [quoted(k) for k in dict.fromkeys([*keep, "text"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
@@ -290,8 +297,8 @@ def encode_documents(docs: DataFrame, model_path: str, keep: list[str], spans: b
 
 def decode_documents(encoded: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` plus the decoded ``text`` of packed ``ids``."""
-    model = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(keep).schema)
+    model = ship(encoded.sparkSession).sparkContext.broadcast(read_model(model_path))
+    schema = encoded.select([quoted(k) for k in keep]).schema.add("text", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
@@ -299,4 +306,4 @@ def decode_documents(encoded: DataFrame, model_path: str, keep: list[str]) -> Da
             texts = [codec.decode(i.as_py() or b"") for i in batch.column("ids")]
             yield pa.record_batch([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return encoded.select(*keep, "ids").mapInArrow(run, f"{fields}, text string")
+    return encoded.select(*map(quoted, keep), "ids").mapInArrow(run, schema)
