@@ -27,14 +27,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def quoted(name: str) -> str:
+    """A column's name as part of an expression, whatever its letters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set."""
+    """The folder that the cluster shares; a temporary one where none is set and
+    all executors are on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/blockwright-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -49,9 +57,19 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new place in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where.getParent())
+    system.deleteOnExit(where)
+    return path
+
+
 def written(frame: DataFrame) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it again."""
-    path = f"{shared_folder(frame.sparkSession)}/blockwright-{uuid.uuid4().hex}"
+    path = new_folder(frame.sparkSession, "blockwright")
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm import _text
+from blockwright.llm._session import quoted, ship
 
 WIDTH = 8
 LEAST_WORDS = 4
@@ -238,7 +239,7 @@ def indexes(benchmark: DataFrame, width: int, least_words: int) -> Iterator[byte
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, item_id, n_windows and n_verbatim of each contaminated pair."""
-    context, out = docs.sparkSession.sparkContext, None
+    context, out = ship(docs.sparkSession).sparkContext, None
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_verbatim", pa.int64())])
     for packed in indexes(benchmark, width, least_words):
         index = context.broadcast(packed)
@@ -256,9 +257,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_wor
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents without a matching window, all columns kept."""
-    context, columns, out = docs.sparkSession.sparkContext, docs.columns, docs
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """The documents without a matching window, all columns kept.  The input's
+    columns wait inside a struct, whatever their names."""
+    context = ship(docs.sparkSession).sparkContext
+    out = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), "text")
+    schema = out.schema
     for packed in indexes(benchmark, width, least_words):
         index = context.broadcast(packed)
 
@@ -268,10 +271,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDT
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for i, *_ in lookup.matches(_text.utf8(batch.column("text"))):
                     clean[i] = False
-                yield batch.filter(pa.array(clean)).select(columns)
+                yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, fields)
-    return out
+        out = out.mapInArrow(run, schema)
+    return out.select("row.*")
 
 
 def report(found: DataFrame) -> DataFrame:
