@@ -14,7 +14,7 @@ def edge(spark):
 
     rows = spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string, n_chars long")
     # columns whose names the operators use themselves
-    return rows.withColumns({c: F.lit("mine") for c in ("key", "d", "h", "spans", "score", "row", "bucket", "n", "ids", "shard", "slot", "_other", "a", "b", "label", "token")})
+    return rows.withColumns({c: F.lit("mine") for c in ("key", "d", "h", "spans", "score", "row", "bucket", "n", "ids", "shard", "slot", "_other", "a", "b", "label", "token", "my col", "a-b", "x.y", "t`k")})
 
 
 @pytest.fixture(scope="session")

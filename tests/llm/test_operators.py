@@ -47,7 +47,7 @@ def test_sharding_weights_and_growth(spark):
     # a weight that rises in region r0 moves rows inside r0 or into it, never between others
     moved = sharding.assign(ids, "doc_id", sharding.topology(8), heavy).where("shard <> grown_shard")
     assert moved.count() > 0 and moved.where("grown_shard >= 4").count() == 0
-    for n in (8, 9, 11):
+    for n in range(1, 13):
         odd = sharding.assign(ids, "doc_id", sharding.topology(n), sharding.topology(n + 1)).where(f"shard <> grown_shard AND grown_shard <> {n}")
         assert odd.count() == 0
     with pytest.raises(ValueError):
@@ -168,6 +168,17 @@ def test_suffix_dedup_repeated_rows_in_different_batches(spark):
     assert want[1][2] == want[2][2] == 0 and want[3][2] == 400
 
 
+def test_long_texts_are_cut_into_pieces(monkeypatch):
+    r = random.Random(8)
+    text = "".join(r.choice("abcd") for _ in range(20_000)).encode()
+    text = text + text[3000:9000] + b"z" * 500
+    whole = list(suffix_dedup.anchors([text], 100))
+    for piece in (900, 1000, 4096):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        for a, b in zip(whole, suffix_dedup.anchors([text], 100), strict=True):
+            assert a[0] == b[0] and all((x == y).all() for x, y in zip(a[1:], b[1:], strict=True))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 400).astype(np.uint8)
@@ -235,6 +246,13 @@ def test_rare_bytes_are_told_apart():
     assert x[0] < x[1] - 5 and y[1] < y[0] - 5
 
 
+def test_rows_that_repeat_are_sampled_once(spark):
+    one = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(one, f"some text {i % 3}", "x") for i in range(900)] + [(i, f"another text {i}", "y") for i in range(100, 160)]
+    found = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 900)
+    assert len(found["x"]) == 3 and len(found["y"]) > 30
+
+
 def test_language_edges(edge, none):
     by = {r["doc_id"]: r for r in langid.predict(edge).collect()}
     assert by[1]["lang_pred"] == by[2]["lang_pred"] == by[3]["lang_pred"] == by[9]["lang_pred"] == "und"
@@ -351,6 +369,30 @@ def test_character_map():
     assert m.longest(b"abc", 0) == (2, b"YZ") and m.longest(b"ac", 0) == (1, b"X") and m.longest(b"c", 0) is None
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "nfkc", "identity"])
+@pytest.mark.parametrize("trim", [True, False])
+def test_models_with_a_character_map(rule, trim):
+    """The walk through the compiled map gives what the library's normaliser gives."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto, normaliser = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(piece_codec.read_model(queries.tokenizer_path()))
+    normaliser.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    proto.normalizer_spec.CopyFrom(normaliser.normalizer_spec)
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = True, trim, True
+    model = proto.SerializeToString()
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=model), piece_codec.Codec(model)
+    for text in [*TEXTS, "ﬁne ①② Ａｂｃ  x", "e\u0301 ㍿ ½", "  lead and trail  ", "ÀÉ Straße ǅ", "\u200b\ufeff\x01 z"]:
+        if any(mark in text for mark in ("</s>", "▁")):
+            continue  # symbols of the model itself
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        assert codec.encode(text) == struct.pack(f"<{len(ids)}I", *ids), (rule, text)
+        spans = codec.spans(text)
+        assert all(0 <= first <= end <= len(text.encode()) for _, first, end in spans)
+        assert all(x[1] <= y[1] for x, y in zip(spans, spans[1:], strict=False))
+
+
 def test_piece_edges(spark, edge, none):
     path = queries.tokenizer_path()
     assert {r["doc_id"]: r["n_tokens"] for r in piece_codec.encode_digests(edge, path).collect()}[1] == 2
@@ -600,9 +642,75 @@ def test_pairs_are_learned():
     assert got[2] > 0.7 and max(got[0], got[1], got[3], got[4]) < 0.3 and got[4] == got[5]
 
 
+def test_pairs_without_single_effects_are_learned():
+    """Either of two words is toxic, both or none are not: no word tells alone."""
+    r = random.Random(6)
+    texts, y = [], []
+    for _ in range(1500):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = [f"w{r.randrange(200)}" for _ in range(12)] + ["aaa"] * a + ["bbb"] * b
+        r.shuffle(words)
+        texts.append(" ".join(words).encode())
+        y.append(int(a != b))
+    machine = toxicity.fit(toxicity.terms(texts), np.array(y), 0.5, steps=600)
+    both, one, other, none = machine.score([b"w1 aaa bbb", b"w2 aaa", b"bbb w3", b"w4 w5"])
+    assert min(one, other) > 0.7 and max(both, none) < 0.3
+
+
+def test_score_is_the_sum_over_terms_and_pairs():
+    rng = np.random.default_rng(3)
+    known = np.unique(np.concatenate(toxicity.terms([b"alpha beta gamma delta epsilon"])))
+    machine = toxicity.Machine(known, rng.normal(size=known.size), rng.normal(size=(known.size, 8)) / 4, -0.3)
+    for text in (b"alpha unknown words", b"Beta gamma alphabet", b"", b"alpha beta gamma delta epsilon " * 5):
+        hit = [k for k in range(known.size) if known[k] in toxicity.terms([text])[0]]
+        total = -0.3 + sum(machine.weight[k] for k in hit) + sum(machine.factor[i] @ machine.factor[j] for i in hit for j in hit if i < j)
+        assert machine.score([text])[0] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_labels_of_one_kind_or_repeated_ids(spark, edge):
+    ones = spark.createDataFrame([(i, 1, 1) for i in (3, 4, 6, 7, 8)] + [(5, 1, None)], "doc_id long, quality int, toxic int")
+    assert all(r["score"] > 0.99 for r in toxicity.predict(edge, ones).collect())
+    assert all(r["score"] < 0.01 for r in toxicity.predict(edge, ones.withColumn("toxic", F.lit(0))).collect())
+    many = spark.createDataFrame([(4, f"text {i}") for i in range(500)], "doc_id long, text string")
+    assert toxicity.predict(many, ones).count() == 500
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(4, 1, 1), (6, 1, 0), (9, 0, None), (None, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.predict(edge, labels).count() == edge.count() and toxicity.predict(none, labels).count() == 0
     assert {r["score"] for r in toxicity.predict(edge, labels.where("false")).collect()} == {0.0}
     kept = toxicity.remove_toxic(edge, labels.where("false"))
     assert kept.dtypes == edge.dtypes and kept.count() == edge.count()
+
+
+# all --------------------------------------------------------------------------
+
+ALONE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from blockwright.llm import decontam, jaccard_join, langid, piece_codec, queries, suffix_dedup, toxicity, urlfilter, warc
+def docs(): return spark.createDataFrame([(i, f"some words of a text about {{i}} things " * 9, "en") for i in range(6)], "doc_id long, text string, lang string")
+pages = spark.createDataFrame([(1, "http://a.org/x", "h")], "page_id long, url string, html string")
+found = {{
+    "decontam": lambda: decontam.matches(docs(), docs().withColumnRenamed("doc_id", "item_id")), "jaccard": lambda: jaccard_join.components(docs()),
+    "langid": lambda: langid.predict(docs()), "pieces": lambda: piece_codec.encode_digests(docs(), queries.tokenizer_path()), "suffix": lambda: suffix_dedup.digests(docs()),
+    "toxicity": lambda: toxicity.predict(docs(), docs().selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")), "warc": lambda: warc.round_trip(pages),
+    "url": lambda: urlfilter.judge(pages, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")),
+}}[sys.argv[1]]()
+assert found.collect()
+"""
+
+
+@pytest.mark.parametrize("name", ["decontam", "jaccard", "langid", "pieces", "suffix", "toxicity", "warc", "url"])
+def test_operators_bring_their_code_to_the_workers(name, tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", ALONE.format(repo=repo), name], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert not done.returncode, done.stderr[-2000:]
