@@ -2,90 +2,96 @@
 
 Writing turns each page into a record (header, HTTP head, payload; a revisit has
 no payload) and stores the records with Spark's own text writer, whose line
-separator is the blank line that ends a record; the archives are gzip files in
-a folder that the cluster shares.
+separator is the blank line that ends a record.  The archives are plain files in
+a folder that the cluster shares, so that Spark can split them.  Payloads are
+compressed while they travel.
 
-Reading scans the archives for the magic that starts a record.  Every place
+Reading scans the splits of the archives for the magic that starts a record.  Every place
 with the magic is only a *candidate*: a task emits its offset and, from its
 header, the offset of its successor.  A payload may hold the magic too, so
 starting at offset 0 of the file, pointer jumping over successors keeps the
 candidates that are reachable and drops the others.  A task first follows
 pointers inside its split, which leaves one exit per candidate; jumping then
-doubles over the splits of a file (no round at all for files of one split).
-Digests and lengths are computed from the bytes while they stream by; a task
-holds no archive and no payload.
+doubles over the splits of a file.
+Digests and lengths are computed from the bytes while they stream by.  A
+reachable record that runs past its split (its payload holds the magic, and a
+border lies behind it) is put together from the lines of the splits that it
+covers, in a second pass over these splits, which hashes them in their order.  A task
+holds no archive; the longest it holds at once is the text between two magics.
 
 Edge cases: a null html is an empty payload; repeated pages give a record each,
 and of equal rows with the largest id each is a response; line breaks in a url
 are escaped in its header; an empty table gives no archive and no rows; extra
-columns are ignored.  A reachable record whose bytes run past its split (a
-payload with the magic across a split border, or a truncated file) raises,
-naming the file.
+columns are ignored.  An archive that ends inside a reachable record raises, naming the file.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockwright.llm._session import checkpoint, shared_folder
+from blockwright.llm._session import checkpoint, new_folder, ship
 
 MAGIC = "WARC/1.1\r\n"
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """SHA-1 in upper-case base 32: each five hex digits are four letters."""
-    digest = F.sha1(payload)
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
-    letters = F.transform(groups, lambda g: F.concat(*(F.substring(F.lit(BASE32), F.shiftrightunsigned(g, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0))))
-    return F.concat_ws("", letters)
+def base32_sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
+
+
+def _digests(batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[pa.RecordBatch]:
+    """Size and digest of each payload; on request url and packed payload too."""
+    for batch in batches:
+        bodies = [t or b"" for t in batch.column("html").cast(pa.binary()).to_pylist()]
+        sizes = pa.array(list(map(len, bodies)), pa.int64())
+        columns = [batch.column("page_id"), sizes, pa.array(list(map(base32_sha1, bodies)), pa.string())]
+        if packed:
+            columns += [batch.column("url"), pa.array([zlib.compress(b, 1) for b in bodies], pa.binary())]
+        yield pa.record_batch(columns, names=["page_id", "payload_bytes", "payload_digest", "url", "packed"][: len(columns)])
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Type of each page's record: of equal payloads of at least ``least_bytes``
     the one with the largest id is the response and the others revisit it."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
-    last = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_last"))
-    joined = rows.join(last, ["payload_digest", "payload_bytes"], "left")
+    ship(pages.sparkSession)
+    own = "page_id long, payload_bytes long, payload_digest string"
+    rows = pages.select("page_id", "url", "html").mapInArrow(functools.partial(_digests, packed=True), f"{own}, url string, packed binary")
+    narrow = pages.select("page_id", "html").mapInArrow(functools.partial(_digests, packed=False), own)
+    groups = narrow.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    joined = rows.join(groups.where("_n > 1").drop("_n"), ["payload_digest", "payload_bytes"], "left")
     return joined.withColumn("refers_to", F.when(F.col("_last") != F.col("page_id"), F.col("_last"))).drop("_last")
 
 
-def _record(refers: Column) -> Column:
-    url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
-    revisit = refers.isNotNull()
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    block = F.concat(F.lit(HEAD), F.when(revisit, F.lit("")).otherwise(F.col("html")))
-    size = F.lit(len(HEAD)) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
-    return F.concat(
-        F.lit(MAGIC),
-        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
-        line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", url),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT)), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers.cast("string"), F.lit(">"))))).otherwise(F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        line("Payload-Length", F.col("payload_bytes").cast("string")),
-        line("Content-Type", F.lit("application/http;msgtype=response")),
-        line("Content-Length", size.cast("string")),
-        F.lit("\r\n"),
-        block,
-    )
+def _record(page: int | None, url: str | None, size: int, digest: str, packed: bytes, refers: int | None) -> bytes:
+    url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    block = HEAD.encode() + (b"" if refers is not None else zlib.decompress(packed))
+    lines = [
+        MAGIC, f"WARC-Type: {'response' if refers is None else 'revisit'}\r\n", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>\r\n", f"WARC-Date: {DATE}\r\n", f"WARC-Target-URI: {url}\r\n",
+        "" if refers is None else f"WARC-Profile: {REVISIT}\r\nWARC-Refers-To: <urn:page:{refers}>\r\n", f"WARC-Payload-Digest: sha1:{digest}\r\n", f"Payload-Length: {size}\r\n",
+        "Content-Type: application/http;msgtype=response\r\n", f"Content-Length: {len(block)}\r\n\r\n",
+    ]
+    return "".join(lines).encode() + block
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "payload_bytes", "payload_digest", "packed", "refers_to"))
+        yield pa.record_batch([pa.array([_record(*row) for row in zip(*columns, strict=True)], pa.binary()).cast(pa.string())], names=["value"])
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, compression: str = "gzip") -> None:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, compression: str = "none") -> None:
     """One archive per task that has rows."""
-    records = plan_records(pages, least_bytes).select(_record(F.col("refers_to")).alias("value"))
+    records = plan_records(pages, least_bytes).mapInArrow(_records, "value string")
     records.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(folder)
 
 
@@ -93,7 +99,7 @@ class _Open:
     """A candidate whose block is still streaming by."""
 
     def __init__(self, offset: int, body: bytes):
-        self.offset, self.fields, self.next = offset, {}, None
+        self.offset, self.fields, self.next, self.block, self.size = offset, {}, None, None, 0
         self.head, self.sha, self.payload_bytes, self.in_payload = b"", hashlib.sha1(usedforsecurity=False), 0, False
         end = body.find(b"\r\n\r\n")
         self.left = 0
@@ -106,8 +112,9 @@ class _Open:
         size = self.fields.get(b"content-length", b"")
         if not size.isdigit() or b"warc-type" not in self.fields:
             return
-        self.left = int(size)
-        self.next = offset + len(MAGIC) + end + 4 + self.left + 4
+        self.size = self.left = int(size)
+        self.block = offset + len(MAGIC) + end + 4
+        self.next = self.block + self.left + 4
         self.feed(body[end + 4 :])
 
     def feed(self, data: bytes) -> None:
@@ -125,16 +132,16 @@ class _Open:
     def row(self) -> dict:
         text = lambda name: self.fields.get(name, b"").decode("utf-8", "replace") or None
         return {
-            "off": self.offset, "next": self.next, "complete": not self.left, "type": text(b"warc-type"), "id": text(b"warc-record-id"), "refers": text(b"warc-refers-to"),
+            "off": self.offset, "next": self.next, "block": self.block, "size": self.size, "complete": not self.left, "type": text(b"warc-type"), "id": text(b"warc-record-id"), "refers": text(b"warc-refers-to"),
             "digest": text(b"warc-payload-digest"), "claimed": text(b"payload-length"), "payload_bytes": self.payload_bytes, "sha1": base64.b32encode(self.sha.digest()).decode(),
         }
 
 
 _CANDIDATE = pa.schema([
-    ("file", pa.string()), ("split", pa.int64()), ("covered", pa.int64()), ("off", pa.int64()), ("next", pa.int64()), ("complete", pa.bool_()), ("type", pa.string()), ("id", pa.string()),
+    ("file", pa.string()), ("split", pa.int64()), ("covered", pa.int64()), ("off", pa.int64()), ("next", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("complete", pa.bool_()), ("type", pa.string()), ("id", pa.string()),
     ("refers", pa.string()), ("digest", pa.string()), ("claimed", pa.string()), ("payload_bytes", pa.int64()), ("sha1", pa.string()),
 ])
-_DDL = "file string, split long, covered long, off long, next long, complete boolean, type string, id string, refers string, digest string, claimed string, payload_bytes long, sha1 string"
+_DDL = "file string, split long, covered long, off long, next long, block long, size long, complete boolean, type string, id string, refers string, digest string, claimed string, payload_bytes long, sha1 string"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +190,56 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(flush(True), schema=_CANDIDATE)
 
 
-def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Every place with the magic and a header, with absolute offsets."""
-    lines = spark.read.option("lineSep", MAGIC).text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
-    found = checkpoint(lines.mapInArrow(_scan, _DDL))
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line, with the magic before it, and its offset from the split's first line."""
+    key, at, magic = None, 0, MAGIC.encode()
+    for batch in batches:
+        offsets, values = [], []
+        for file, split, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if (file, split) != key:
+                key, at = (file, split), 0
+            lead = magic if at or split else b""  # none before the first line of a file
+            offsets.append(at - len(lead))
+            values.append(lead + value)
+            at += len(value) + len(magic)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(offsets, pa.int64()), pa.array(values, pa.binary())], names=["file", "split", "at", "value"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and digest of the payloads whose lines arrive in order."""
+    key, open_ = None, None
+
+    def close() -> tuple:
+        if open_.left:
+            raise ValueError(f"{key[0]} ends inside the record at {key[1]}")
+        return *key, open_.payload_bytes, base64.b32encode(open_.sha.digest()).decode()
+
+    for batch in batches:
+        out = []
+        for file, off, block, size, at, value in zip(*(batch.column(c).to_pylist() for c in ("file", "off", "block", "size", "at", "value")), strict=True):
+            if (file, off) != key:
+                if key is not None:
+                    out.append(close())
+                key, open_ = (file, off), _Open(off, b"")
+                open_.left = size
+            open_.feed(value[max(0, block - at) :])
+        yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["file", "off", "payload_bytes", "sha1"])
+    if key is not None:
+        yield pa.record_batch([pa.array([x], t) for x, t in zip(close(), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "off", "payload_bytes", "sha1"])
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("lineSep", MAGIC).text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+
+
+def candidates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Every place with the magic and a header, with absolute offsets; and the
+    offset of the first line of each split."""
+    found = checkpoint(_lines(ship(spark), folder).mapInArrow(_scan, _DDL))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     covered = found.where("covered IS NOT NULL").select("file", "split", "covered", F.coalesce(F.sum("covered").over(before), F.lit(0)).alias("base"))
     rows = found.where("covered IS NULL").drop("covered").join(covered, ["file", "split"])
-    return rows.withColumns({"off": F.col("off") + F.col("base"), "next": F.col("next") + F.col("base"), "split_end": F.col("base") + F.col("covered") - len(MAGIC)})
+    return rows.withColumns({c: F.col(c) + F.col("base") for c in ("off", "next", "block")}).drop("base", "covered"), covered
 
 
 def _exits(key, group):
@@ -231,17 +280,30 @@ def reachable(found: DataFrame) -> DataFrame:
     return found.join(on.select("file", "off"), ["file", "off"], "left_semi")
 
 
+def _over_borders(spark: SparkSession, folder: str, records: DataFrame, splits: DataFrame) -> DataFrame:
+    """Length and digest of the reachable records that run past their split.  They
+    do not overlap, so a split has the lines of a few of them at most."""
+    open_ = records.where(~F.col("complete")).select("file", "off", "block", "size")
+    met = open_.join(splits, "file").where(f"base - {len(MAGIC)} < block + size AND base + covered > block")
+    lines = _lines(spark, folder).mapInArrow(_chunks, "file string, split long, at long, value binary")
+    parts = lines.join(met, ["file", "split"]).withColumn("at", F.col("at") + F.col("base")).where("at < block + size AND at + length(value) > block")
+    ordered = parts.select("file", "off", "block", "size", "at", "value").repartition("file", "off").sortWithinPartitions("file", "off", "at")
+    whole = ordered.mapInArrow(_joined, "file string, off long, payload_bytes long, sha1 string")
+    return records.where(~F.col("complete")).drop("payload_bytes", "sha1").join(whole, ["file", "off"]).select(records.columns)
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The records of a folder of archives: id, type, reference and digest."""
-    found = candidates(spark, folder)
-    records = reachable(found)
+    found, splits = candidates(spark, folder)
+    records = checkpoint(reachable(found))
+    if not records.where(~F.col("complete")).isEmpty():
+        records = records.where("complete").unionByName(_over_borders(spark, folder, records, splits))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
-    broken = F.raise_error(F.concat(F.lit("record runs past its split: "), F.col("file"))).cast("string")
     revisit = F.col("type") == "revisit"
     return records.select(
         F.expr("try_cast(regexp_extract(id, '^<urn:page:(-?[0-9]+)>$', 1) AS BIGINT)").alias("page_id"),
         F.when(revisit, F.col("claimed").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(~F.col("complete"), broken).when(revisit, F.regexp_extract("digest", "^sha1:(.*)$", 1)).otherwise(F.col("sha1")).alias("payload_digest"),
+        F.when(revisit, F.regexp_extract("digest", "^sha1:(.*)$", 1)).otherwise(F.col("sha1")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.when(revisit, number("refers").cast("long")).alias("refers_to"),
     )
@@ -250,6 +312,6 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write the pages as archives and read them back."""
     spark = pages.sparkSession
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     write_archives(pages, folder, least_bytes)
     return read_archives(spark, folder)
