@@ -5,19 +5,23 @@ exploded or shuffled.  Three-word windows are hashed, packed with their
 position, sorted as primitive longs, and neighbours with equal hash are
 compared word by word, so a hash collision can't count as a repeat.
 
-Each rule rejects a text whose rate (in hundredths) reaches a cutoff.  The
-cutoffs come from labelled holdouts: for a stratum (language) and rule the
-cutoffs are tried from the most lenient on, and a stricter one is taken as long
-as the exact binomial test rejects "more than ``alpha / rules`` of the good
-texts would be lost".  The trial order is fixed, so one rule needs no
-correction between its cutoffs; the level ``delta`` is split over all strata and
-rules (Bonferroni).  A rule without enough evidence stays off.  Together no
-more than ``alpha`` of a stratum's good texts are rejected by these rules, with
-confidence ``1 - delta``.  The driver gets the histogram of at most strata x
-rules x 101 counts, never rows.
+Each rule rejects a text whose rate (in hundredths) reaches a cutoff.  In each
+stratum (language) the rules become stricter in steps; a step lowers the cutoff of one rule.
+The steps go by how much more often labelled bad texts of the stratum reach
+the cutoff than texts without a label, at least ``LIFT`` times; so their order is
+fixed before any good text is looked at.  Then the good texts of the labelled holdout decide: a step is
+taken as long as the exact binomial test rejects "more than ``alpha`` of the good
+texts would be lost by all rules together".  Tests in a fixed order need no
+correction between them; the level ``delta`` is split over the strata by their
+numbers of good texts (weighted Bonferroni): each gets at least what its first
+test needs, as long as that is possible for all, and those with the fewest
+stay without rules; ``evidence`` names them.  Together no
+more than ``alpha`` of a stratum's good texts are rejected by the rules, in all
+strata at once with confidence ``1 - delta``.  The driver gets only counts of strata with
+enough evidence, a few times rules x 101 of each, never rows.
 
 Edge cases: a null text has no words and fails the base rule, as does an empty
-one; a null language is a stratum of its own; repeated rows give a row each;
+one; a null language is a stratum of its own, as is an empty one; repeated rows give a row each;
 of repeated labels the better one counts; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -33,6 +37,8 @@ from blockwright.llm._session import checkpoint
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: How much oftener bad texts must reach a cutoff than others.
+LIFT = 2.0
 #: Rate in hundredths, from the base statistics.
 RULES = {
     "symbols": "least(100, n_symbols * 100 div greatest(word_chars, 1))",
@@ -98,45 +104,103 @@ def rejects(lost: int, good: int, rate: float, level: float) -> bool:
     return peak + math.log(sum(math.exp(t - peak) for t in terms)) <= math.log(level)
 
 
-def choose_cutoffs(histogram: dict[tuple[str, str], dict[int, int]], alpha: float, delta: float) -> dict[tuple[str, str], int]:
-    """The strictest cutoff that passes for each (stratum, rule); 101 is off.
-
-    ``histogram``: good texts per hundredth."""
-    level = delta / max(1, len(histogram))
-    share = alpha / len(RULES)
-    chosen = {}
-    for key, bins in histogram.items():
-        good, lost, cutoff = sum(bins.values()), 0, 101
-        for at in range(100, -1, -1):
-            lost += bins.get(at, 0)
-            if lost > good * share or not rejects(lost, good, share, level):
-                break
-            cutoff = at
-        chosen[key] = cutoff
-    return chosen
-
-
-def calibrate(statistics: DataFrame, labels: DataFrame, alpha: float, delta: float) -> dict[tuple[str, str], int]:
-    """Cutoffs from the good texts of the labelled holdout."""
-    best = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good = statistics.join(best.where("quality = 1"), "doc_id").where(~F.col("base_failed") & F.col("holdout"))
-    rates = F.array(*(F.struct(F.lit(name).alias("rule"), F.expr(rate).cast("int").alias("rate")) for name, rate in RULES.items()))
-    counted = good.select("stratum", F.inline(rates)).groupBy("stratum", "rule", "rate").count()
-    histogram: dict[tuple[str, str], dict[int, int]] = {}
-    for stratum, rule, rate, n in counted.collect():
-        histogram.setdefault((stratum, rule), {})[rate] = n
-    return choose_cutoffs(histogram, alpha, delta)
+def least_evidence(alpha: float, level: float) -> int:
+    """Good texts without a loss that a test needs to pass."""
+    return math.ceil(math.log(level) / math.log1p(-alpha))
+
+
+def levels(good: list[tuple[str | None, int]], alpha: float, delta: float) -> dict[str | None, float]:
+    """The share of ``delta`` of each stratum that can get enough of it."""
+    least, total = {}, 0.0
+    for stratum, n in sorted(good, key=lambda x: (-x[1], x[0] is not None, x[0] or "")):
+        if total + (1 - alpha) ** n > delta:
+            break
+        least[stratum] = (1 - alpha) ** n
+        total += least[stratum]
+    return {stratum: own + (delta - total) / len(least) for stratum, own in least.items()}
+
+
+def strictest(lost_at: dict[int, int], steps: int, good: int, alpha: float, level: float) -> int:
+    """The last of the steps before the first that fails; ``lost_at``: good texts
+    that are first lost at each step."""
+    lost = 0
+    for step in range(1, steps + 1):
+        lost += lost_at.get(step, 0)
+        if lost > good * alpha or not rejects(lost, good, alpha, level):
+            return step - 1
+    return steps
+
+
+def path(bad: list[dict[int, int]], other: list[dict[int, int]]) -> list[tuple[int, int]]:
+    """The steps, as (rule, cutoff), by the texts per rate of each rule."""
+    found = []
+    for rule, (b, o) in enumerate(zip(bad, other, strict=True)):
+        n_bad, n_other, bad_reach, other_reach = sum(b.values()), sum(o.values()), 0, 0
+        for rate in range(100, -1, -1):
+            bad_reach += b.get(rate, 0)
+            other_reach += o.get(rate, 0)
+            if b.get(rate) and (lift := bad_reach * (n_other + 1) / (n_bad * (other_reach + 1))) >= LIFT:
+                found.append((-lift, rule, -rate))
+    return [(rule, -rate) for _, rule, rate in sorted(found)]
+
+
+def first_steps(steps: list[tuple[int, int]], rule: int) -> list[int]:
+    """For each rate the first step that rejects it by a rule."""
+    return [min((k for k, (own, cutoff) in enumerate(steps, 1) if own == rule and cutoff <= rate), default=len(steps) + 1) for rate in range(101)]
+
+
+class Calibration:
+    """Statistics of documents with the step from which on the rules reject each."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, alpha: float, delta: float):
+        spark = docs.sparkSession
+        statistics = base_statistics(docs, ["doc_id", F.col("lang").alias("stratum")])
+        held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1, F.lit(False))
+        rates = [F.expr(rate).cast("int").alias(name) for name, rate in RULES.items()]
+        self.statistics = checkpoint(statistics.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), held.alias("holdout"), *rates))
+        best = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        marked = self.statistics.where("NOT base_failed").join(best, "doc_id", "left").withColumn("tested", F.col("holdout") & F.col("quality").isNotNull())
+        good = marked.where("tested AND quality = 1")
+        self.counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+        #: Good texts of the strata with enough of them: at most one stratum for so many labels.
+        found = [(r["stratum"], r["n"]) for r in self.counts.where(F.col("n") >= least_evidence(alpha, delta)).collect()]
+        level = levels(found, alpha, delta)
+        self.good = [(stratum, n) for stratum, n in found if stratum in level]
+        enough = spark.createDataFrame([(s,) for s, _ in self.good], "stratum string")
+        pairs = F.inline(F.array(*(F.struct(F.lit(name).alias("rule"), F.col(name).alias("rate")) for name in RULES)))
+        pool = marked.where("NOT tested OR quality = 0").join(enough.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left_semi")
+        bins: dict = {}
+        for stratum, bad, rule, rate, n in pool.select("stratum", F.col("tested").alias("bad"), pairs).groupBy("stratum", "bad", "rule", "rate").count().collect():
+            bins.setdefault((stratum, bad, rule), {})[rate] = n
+        paths = {stratum: path(*([bins.get((stratum, bad, rule), {}) for rule in RULES] for bad in (True, False))) for stratum, _ in self.good}
+        steps = [(stratum, *(first_steps(own, k) for k in range(len(RULES)))) for stratum, own in paths.items()]
+        self.steps = spark.createDataFrame(steps, "_s string, " + ", ".join(f"_{name} array<int>" for name in RULES))
+        lost: dict = {}
+        for stratum, step, n in self.with_step(good).where("_step IS NOT NULL").groupBy("stratum", "_step").count().collect():
+            lost.setdefault(stratum, {})[step] = n
+        self.chosen = [(stratum, strictest(lost.get(stratum, {}), len(paths[stratum]), n, alpha, level[stratum])) for stratum, n in self.good]
+
+    def with_step(self, rows: DataFrame) -> DataFrame:
+        """Add ``_step``, the first step that rejects a row; null without rules."""
+        joined = rows.join(self.steps, F.col("stratum").eqNullSafe(F.col("_s")), "left")
+        first = F.least(*(F.get(F.col(f"_{name}"), F.col(name)) for name in RULES))
+        return joined.withColumn("_step", first).drop("_s", *(f"_{name}" for name in RULES))
+
+
+def evidence(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """Each language with labelled good texts: how many, whether they suffice, and
+    the step taken (0: no rules)."""
+    found = Calibration(docs, labels, alpha, delta)
+    chosen = docs.sparkSession.createDataFrame(found.chosen, "_s string, _chosen int")
+    joined = found.counts.join(chosen, F.col("stratum").eqNullSafe(F.col("_s")), "left")
+    return joined.select(F.col("stratum").alias("lang"), F.col("n").alias("n_good"), F.col("_chosen").isNotNull().alias("enough"), F.coalesce("_chosen", F.lit(0)).alias("step"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Statistics and verdict of each document."""
-    statistics = base_statistics(docs, ["doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("stratum")])
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
-    statistics = checkpoint(statistics.withColumns({"base_failed": base_failed(), "holdout": F.coalesce(held, F.lit(False))}))
-    cutoffs = calibrate(statistics, labels, alpha, delta)
-    refused = F.lit(False)
-    for (stratum, rule), cutoff in sorted(cutoffs.items()):
-        if cutoff <= 100:
-            refused = refused | ((F.col("stratum") == stratum) & (F.expr(RULES[rule]) >= cutoff))
+    found = Calibration(docs, labels, alpha, delta)
+    chosen = docs.sparkSession.createDataFrame(found.chosen, "_c string, _chosen int")
+    rows = found.with_step(found.statistics).join(chosen, F.col("stratum").eqNullSafe(F.col("_c")), "left")
+    refused = F.coalesce(F.col("_step") <= F.col("_chosen"), F.lit(False))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return statistics.select(*columns, (~F.col("base_failed") & ~refused).alias("kept"))
+    return rows.select(*columns, (~F.col("base_failed") & ~refused).alias("kept"))
