@@ -12,9 +12,9 @@ of the input, and every copy but the first is removed.
 3. *Range partition.*  The surviving suffixes, with the bytes of their windows,
    go to buckets by their leading bytes, cut at sampled splitters.  Before
    that a task keeps only the first of suffixes with equal context, so a
-   passage with any number of copies sends one suffix per task.
-4. *Local sort.*  A bucket sorts its suffixes by multikey quicksort, eight
-   bytes at a time, refining only groups that are still tied.  Of equal
+   passage with any number of copies sends one suffix per batch of texts.
+4. *Local sort.*  A task holds one bucket at a time and sorts its suffixes by
+   multikey quicksort, eight bytes at a time.  Of equal
    contexts all but the first occurrence are repeats.  Where an anchor has
    different contexts, the suffixes at every window start are sorted the same
    way, and all but the first of each group are repeats.  Equal leading bytes
@@ -47,6 +47,8 @@ from blockwright.llm._session import quoted, ship
 PIECE = 1 << 22
 GRAM = 36
 LEAD = 24
+#: Suffixes that are sorted without parting them first.
+DIRECT = 1024
 SAMPLE_TEXTS = 1500
 SAMPLE_KEYS = 20_000
 _POSITION = np.uint64((1 << 28) - 1)
@@ -123,34 +125,57 @@ def _block_anchors(texts: list[bytes], first: int, last: int, length: int) -> It
 
 
 def multikey_order(data: np.ndarray, starts: np.ndarray, size: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order by the first ``size`` bytes, within given groups.
+    """Suffix order by the first ``size`` bytes, within given groups, by multikey
+    quicksort: suffixes of more than ``DIRECT`` are parted by eight bytes into
+    lesser, equal and greater ones than a pivot, of which the equal go on
+    with the next eight; smaller parts are sorted directly, all of them at once.
 
     Returns the order and, along it, the number of the class of equal suffixes.
     ``data`` must reach 8 bytes past the last byte compared."""
     words = np.ndarray((data.size - 7,), dtype=">u8", buffer=data.tobytes(), strides=(1,))
     m = starts.size
-    if group is None:
-        order, label = np.arange(m), np.zeros(m, dtype=np.int64)
-    else:
+    if not m:
+        return np.arange(0), np.zeros(0, dtype=np.int64)
+    order, edge = np.arange(m), np.zeros(m, dtype=bool)
+    edge[0] = True
+    if group is not None:
         order = np.argsort(group, kind="stable")
-        label = np.concatenate(([0], np.cumsum(group[order][1:] != group[order][:-1]))) if m else np.zeros(0, dtype=np.int64)
-    for at in range(0, size, 8):
-        count = np.bincount(label, minlength=1)
-        tied = np.flatnonzero(count[label] > 1)
+        edge[1:] = group[order][1:] != group[order][:-1]
+
+    def digit(own: np.ndarray, at: np.ndarray | int) -> np.ndarray:
+        """Eight bytes of each suffix, fewer at the end."""
+        return words[starts[own] + at].astype(np.uint64) >> (8 * np.maximum(0, 8 - size + at)).astype(np.uint64)
+
+    done = np.zeros(m, dtype=np.int64)  # bytes by which a suffix is known to be in order
+    cuts = np.append(np.flatnonzero(edge), m)
+    parts = [(int(b), int(e), 0) for b, e in zip(cuts[:-1], cuts[1:], strict=True) if e - b > DIRECT]
+    while parts:
+        b, e, at = parts.pop()
+        if e - b <= DIRECT or at >= size:
+            done[b:e] = at
+            continue
+        own = order[b:e]
+        key = digit(own, np.int64(at))
+        pivot = np.sort(key[[0, key.size // 2, -1]])[1]
+        less, more = key < pivot, key > pivot
+        same = ~(less | more)
+        order[b:e] = np.concatenate((own[less], own[same], own[more]))
+        low, high = b + int(less.sum()), e - int(more.sum())
+        edge[low] = True
+        if high < e:
+            edge[high] = True
+        parts += [(x, y, z) for x, y, z in ((b, low, at), (low, high, at + 8), (high, e, at)) if y > x]
+    while True:
+        label = np.cumsum(edge) - 1
+        tied = np.flatnonzero((np.bincount(label)[label] > 1) & (done < size))
         if not tied.size:
-            break
+            return order, label
         own = order[tied]
-        key = words[starts[own] + at].astype(np.uint64)
-        if size - at < 8:
-            key >>= np.uint64(8 * (8 - size + at))
+        key = digit(own, done[tied])
         rank = np.lexsort((key, label[tied]))
-        order[tied] = own[rank]
-        new = np.zeros(m, dtype=bool)
-        key = key[rank]
-        new[tied[1:]] = (key[1:] != key[:-1]) & (label[tied[1:]] == label[tied[:-1]])
-        new[1:] |= label[1:] != label[:-1]
-        label = np.cumsum(new)
-    return order, label
+        order[tied], key = own[rank], key[rank]
+        edge[tied[1:]] |= (key[1:] != key[:-1]) & (label[tied[1:]] == label[tied[:-1]])
+        done[tied] += 8
 
 
 def runs(places: np.ndarray) -> np.ndarray:
@@ -235,14 +260,17 @@ def _repeated(parts: int):
     """Per text, the ordinals of its anchors whose hash occurs twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        current, held = None, []  # buckets arrive one after another
         for batch in batches:
             for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                held.setdefault(b, []).append(blobs)
-        for b in list(held):
-            found = _repeated_in(held.pop(b))
-            if found[2]:
-                yield parcels(*found, parts)
+                if held and b != current:
+                    if (found := _repeated_in(held))[2]:
+                        yield parcels(*found, parts)
+                    held = []
+                current = b
+                held.append(blobs)
+        if held and (found := _repeated_in(held))[2]:
+            yield parcels(*found, parts)
 
     return run
 
@@ -385,32 +413,40 @@ def _equal_contexts(buffer: np.ndarray, base: np.ndarray, size: np.ndarray) -> t
 
 
 def _sort_buckets(length: int, parts: int):
+    def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        traits, data = [], []
+        for packed in held:
+            blob = zlib.decompress(packed)
+            n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
+            traits.append(np.frombuffer(blob, dtype=np.int64, count=5 * n, offset=8).reshape(n, 5))
+            data.append(blob[8 + 40 * n :])
+        traits = np.concatenate(traits)
+        context, start = repeats_of(traits, b"".join(data), length)
+        if not context.size:
+            return
+        d, h, place = traits[context, 0], traits[context, 1], traits[context, 2] + start
+        order = np.lexsort((place, h, d))
+        d, h, place = d[order], h[order], place[order]
+        edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]), [True])))
+        packed = [runs(place[x:y]).tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        yield parcels(d[edge[:-1]], h[edge[:-1]], packed, parts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        current, held = None, []  # buckets arrive one after another
         for batch in batches:
             spans = batch.filter(pa.compute.is_valid(batch.column("spans")))
             if spans.num_rows:
                 yield parcels(spans.column("d").to_numpy(), spans.column("h").to_numpy(), spans.column("spans").to_pylist(), parts)
             for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                if packed is not None:
-                    held.setdefault(b, []).append(packed)
-        for b in list(held):
-            traits, data = [], []
-            for packed in held.pop(b):
-                blob = zlib.decompress(packed)
-                n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
-                traits.append(np.frombuffer(blob, dtype=np.int64, count=5 * n, offset=8).reshape(n, 5))
-                data.append(blob[8 + 40 * n :])
-            traits = np.concatenate(traits)
-            context, start = repeats_of(traits, b"".join(data), length)
-            if not context.size:
-                continue
-            d, h, place = traits[context, 0], traits[context, 1], traits[context, 2] + start
-            order = np.lexsort((place, h, d))
-            d, h, place = d[order], h[order], place[order]
-            edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]), [True])))
-            packed = [runs(place[x:y]).tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
-            yield parcels(d[edge[:-1]], h[edge[:-1]], packed, parts)
+                if packed is None:
+                    continue
+                if held and b != current:
+                    yield from close(held)
+                    held = []
+                current = b
+                held.append(packed)
+        if held:
+            yield from close(held)
 
     return run
 
@@ -467,13 +503,13 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     parts = int(ship(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     marked = docs.withColumns({"d": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "h": F.xxhash64("text")})
     narrow = marked.select("d", "h", "text")
-    buckets = max(8, parts // 4)
+    buckets = 2 * parts
     hashed = narrow.mapInArrow(_hash_anchors(length, buckets), "bucket int, ds binary, hs binary, counts binary, hashes binary, ordinals binary")
-    wanted = _by_text(hashed.repartition(buckets, "bucket").mapInArrow(_repeated(parts), _PARCELS), "ordinals", parts)
-    splitters = _splitters(narrow, length, parts)
+    wanted = _by_text(hashed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(parts), _PARCELS), "ordinals", parts)
+    splitters = _splitters(narrow, length, 2 * parts)
     # both joins take the same columns, so that Spark shuffles the texts once
     suffixes = marked.join(wanted, ["d", "h"]).mapInArrow(_send_suffixes(length, splitters), _SUFFIXES)
-    sorted_ = suffixes.repartition(parts, "bucket").mapInArrow(_sort_buckets(length, parts), _PARCELS)
+    sorted_ = suffixes.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(length, parts), _PARCELS)
     return marked.join(_by_text(sorted_, "spans", parts), ["d", "h"], "left")
 
 
