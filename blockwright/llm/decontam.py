@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.
 
 A text becomes a template: punctuation goes, words are lower-cased (ASCII), and
-numbers, names (capitalised inside a sentence) and units become typed
-placeholders.  Windows of ``width`` template tokens are hashed and looked up
+numbers, names (capitalised inside a sentence; several in a row are one) and units become typed
+placeholders.  A capitalised word that opens a sentence may be a name or not, so
+a text has two templates, one with such words as names and one without.  Windows of ``width`` template tokens are hashed and looked up
 among the windows of the benchmark items; an item of fewer tokens is one window
 as a whole.  A hit is then aligned: the words behind the placeholders must
 agree one to one (equal slots of the item are equal in the document, different
@@ -12,10 +13,11 @@ meeting of placeholders is not.  Template windows with fewer than
 templates all windows of all items are looked up by their bare words, which
 must agree one by one; so a copy is found however many numbers and names it
 holds, and whatever stands before it.  A pair of windows that meets both ways
-counts once.
+counts once: ``n_windows`` are the words of the
+document where a window of the item begins, ``n_verbatim`` those where one is equal word by word.
 
-The benchmark's windows are sent to the tasks in blocks of at most ``BLOCK``
-windows, each block against all documents, so a task's memory is bounded
+The benchmark's windows are sent to the tasks in blocks of about ``BLOCK``
+bytes of items, each block against all documents, so what is sent at once is bounded
 whatever the size of the benchmark; the usual benchmark is one block.
 
 Edge cases: a null or empty text, or one of punctuation alone, has no windows;
@@ -68,14 +70,16 @@ _UNIT_HASHES = np.unique(_word_hashes(" ".join(UNITS).encode()))
 
 class Templates:
     """The templates of a block of texts: ``token`` (hash or placeholder),
-    ``plain`` (hash of the bare word), ``word`` (its index) and ``first`` per text."""
+    ``plain`` (hash of the bare words), ``word`` and ``last`` (its first and last
+    word) and ``first`` per text.  ``bare_only``: every word as it is."""
 
     def __init__(self, texts: list[bytes | None]):
         self.words = w = _text.Words(texts, lower=True)
+        self.bare_only = self._view(None)
         n = w.starts.size
         if not n:
-            self.token, self.plain, self.word = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.first = np.zeros(len(texts) + 1, dtype=np.int64)
+            self.inside = self.opening = self.bare_only
+            self.opens = np.zeros(0, dtype=bool)
             return
         data = w.data
         # words without punctuation, and their letters alone, hashed from bare copies
@@ -92,14 +96,33 @@ class Templates:
         opens |= feeds[w.starts] > feeds[np.maximum(before, 0)]
         lead = w.starts + np.minimum(self._count_lead(data, w), w.ends - w.starts - 1)
         second = np.minimum(lead + 1, data.size - 1)
-        named = _UPPER[data[lead]] & ~_UPPER[data[second]] & ~opens & (sizes > 1) & (digits == 0)
-        token = np.where(named, NAME, plain)
-        token = np.where((digits == 0) & np.isin(plain, _UNIT_HASHES), UNIT, token)
+        capital = _UPPER[data[lead]] & ~_UPPER[data[second]] & (sizes > 1) & (digits == 0)
+        token = np.where((digits == 0) & np.isin(plain, _UNIT_HASHES), UNIT, plain)
         token = np.where((digits > 0) & (digits == sizes), NUMBER, token)
         token = np.where((digits > 0) & (digits < sizes) & np.isin(letters, _UNIT_HASHES), QUANTITY, token)
-        keep = np.flatnonzero(sizes > 0)
-        self.token, self.plain, self.word = token[keep], plain[keep], keep
-        self.first = np.searchsorted(keep, w.first)
+        self.kept = np.flatnonzero(sizes > 0)
+        # a name goes on in the next word if nothing stands between the two
+        self.apart = opens | _PUNCTUATION[data[w.starts]] | np.concatenate(([True], _PUNCTUATION[data[w.ends[:-1] - 1]]))
+        self.bare_only = self._view(plain)
+        self.inside = self._view(plain, np.where(capital & ~opens, NAME, token))
+        self.opening = self._view(plain, np.where(capital, NAME, token))
+        #: Words that only the second template takes for names.
+        self.opens = capital & opens
+
+    def _view(self, plain: np.ndarray | None, token: np.ndarray | None = None) -> View:
+        w = self.words
+        if plain is None:
+            none = np.zeros(0, np.int64)
+            return View(self, none.astype(np.uint64), none, none, np.zeros(w.first.size, np.int64))
+        keep = self.kept
+        if token is None:
+            return View(self, plain[keep], keep, keep, np.searchsorted(keep, w.first))
+        name = token[keep] == NAME
+        goes_on = np.zeros(keep.size, dtype=bool)
+        goes_on[1:] = name[1:] & name[:-1] & ~self.apart[keep[1:]] & (keep[1:] == keep[:-1] + 1)
+        head = np.flatnonzero(~goes_on)
+        tail = np.concatenate((head[1:], [keep.size])) - 1 if head.size else head
+        return View(self, token[keep[head]], keep[head], keep[tail], np.searchsorted(keep[head], w.first))
 
     @staticmethod
     def _count(mask: np.ndarray, w: _text.Words) -> np.ndarray:
@@ -124,16 +147,20 @@ class Templates:
         total = np.add.reduceat(terms, at)
         return np.where(sizes > 0, _text.mix(total), np.uint64(0))
 
-    def text(self, i: int) -> np.ndarray:
-        return self.token[self.first[i] : self.first[i + 1]]
+
+class View:
+    """One template of each text of a block."""
+
+    def __init__(self, of: Templates, token: np.ndarray, word: np.ndarray, last: np.ndarray, first: np.ndarray):
+        self.of, self.token, self.word, self.last, self.first = of, token, word, last, first
 
     def bare(self, j: int) -> bytes:
-        k = self.word[j]
-        word = self.words.data[self.words.starts[k] : self.words.ends[k]]
-        return _text.LOWER[word[~_PUNCTUATION[word]]].tobytes()
+        words = self.of.words
+        found = [words.data[words.starts[k] : words.ends[k]] for k in range(self.word[j], self.last[j] + 1)]
+        return b" ".join(_text.LOWER[x[~_PUNCTUATION[x]]].tobytes() for x in found)
 
     def slots(self, start: int, width: int) -> list[tuple[int, bytes]]:
-        """Placeholder type and bare word of each slot of a window."""
+        """Placeholder type and bare words of each slot of a window."""
         kinds = enumerate(self.token[start : start + width].tolist(), start)
         return [(kind, self.bare(j)) for j, kind in kinds if kind in (11, 22, 33, 44)]
 
@@ -141,6 +168,10 @@ class Templates:
         """The bare words of a window, parted by spaces."""
         return b" ".join(self.bare(j) for j in range(start, start + width))
 
+    def place(self, start: int, width: int) -> tuple[int, int]:
+        """The first and the last word of a window."""
+        return int(self.word[start]), int(self.last[start + width - 1])
+
 
 def consistent(item: list[tuple[int, bytes]], doc: list[tuple[int, bytes]]) -> bool:
     """Whether slots correspond one to one, within each type."""
@@ -165,14 +196,21 @@ class Index:
         self.exact: dict[int, dict[int, list]] = {}
         for item, text in items:
             template = Templates([text])
-            n = min(width, template.token.size)
-            if not n:
+            plain = template.bare_only
+            if not plain.token.size:
                 continue
-            hashes, enough = _windows(template.token, n, least_words)
-            for at in np.flatnonzero(enough).tolist():
-                self.found.setdefault(n, {}).setdefault(int(hashes[at]), []).append((item, at, template.slots(at, n)))
-            for at, key in enumerate(_text.rolled(template.plain, n).tolist()):
-                self.exact.setdefault(n, {}).setdefault(key, []).append((item, at, template.bare_words(at, n)))
+            seen = set()
+            for view in (template.inside, template.opening):
+                n = min(width, view.token.size)
+                hashes, enough = _windows(view.token, n, least_words)
+                for at in np.flatnonzero(enough).tolist():
+                    entry = (int(hashes[at]), view.place(at, n))
+                    if entry not in seen:
+                        seen.add(entry)
+                        self.found.setdefault(n, {}).setdefault(entry[0], []).append((item, entry[1], view.slots(at, n)))
+            n = min(width, plain.token.size)
+            for at, key in enumerate(_text.rolled(plain.token, n).tolist()):
+                self.exact.setdefault(n, {}).setdefault(key, []).append((item, plain.place(at, n), plain.bare_words(at, n)))
         self.keys = {n: self._sorted(found) for n, found in self.found.items()}
         self.exact_keys = {n: self._sorted(found) for n, found in self.exact.items()}
 
@@ -181,12 +219,13 @@ class Index:
         return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
 
     @staticmethod
-    def _hits(t: Templates, n: int, keys: np.ndarray, hashes: np.ndarray, usable: np.ndarray | bool) -> Iterator[tuple[int, int]]:
-        """(text, start) of the windows whose hash is a key."""
-        if not hashes.size:
+    def _hits(t: View, n: int, keys: np.ndarray, hashes: np.ndarray, usable: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, start) of the usable windows whose hash is a key."""
+        some = np.flatnonzero(usable)
+        if not some.size:
             return
-        at = np.minimum(np.searchsorted(keys, hashes), keys.size - 1)
-        for start in np.flatnonzero((keys[at] == hashes) & usable).tolist():
+        at = np.minimum(np.searchsorted(keys, hashes[some]), keys.size - 1)
+        for start in some[keys[at] == hashes[some]].tolist():
             text = int(np.searchsorted(t.first, start, side="right")) - 1
             if start + n <= t.first[text + 1]:  # else it reaches into the next text
                 yield text, start
@@ -195,32 +234,35 @@ class Index:
         """(text, item, windows, windows that are equal word by word)."""
         for first, last in _text.blocks(texts):
             t = Templates(texts[first:last])
-            counts: dict[tuple[int, int], list[int]] = {}
+            counts: dict[tuple[int, int], dict[int, bool]] = {}
 
-            def add(text: int, item: int, equal: bool, counts=counts) -> None:
-                count = counts.setdefault((text, item), [0, 0])
-                count[0] += 1
-                count[1] += equal
+            def add(text: int, item: int, start: int, equal: bool, counts=counts) -> None:
+                starts = counts.setdefault((text, item), {})
+                starts[start] = starts.get(start, False) or equal
 
+            plain, met = t.bare_only, set()
             for n, exact in self.exact.items():
-                met: set[tuple[int, int, int]] = set()
-                hashes = _text.rolled(t.plain, n)
-                for text, start in self._hits(t, n, self.exact_keys[n], hashes, True):
-                    words = t.bare_words(start, n)
-                    for item, at, own in exact[int(hashes[start])]:
+                hashes = _text.rolled(plain.token, n)
+                for text, start in self._hits(plain, n, self.exact_keys[n], hashes, np.ones(hashes.size, dtype=bool)):
+                    words = plain.bare_words(start, n)
+                    for item, place, own in exact[int(hashes[start])]:
                         if own == words:
-                            met.add((start, item, at))
-                            add(text, item, True)
-                if n not in self.found:
-                    continue
-                hashes, enough = _windows(t.token, n, self.least_words)
-                for text, start in self._hits(t, n, self.keys[n], hashes, enough):
-                    slots = t.slots(start, n)
-                    for item, at, own in self.found[n][int(hashes[start])]:
-                        if (start, item, at) not in met and consistent(own, slots):
-                            add(text, item, own == slots)
-            for (text, item), (n, equal) in sorted(counts.items()):
-                yield first + text, item, n, equal
+                            met.add((plain.place(start, n), item, place))
+                            add(text, item, plain.place(start, n)[0], True)
+            opened = np.concatenate(([0], np.cumsum(t.opens)))
+            for view in (t.inside, t.opening):
+                for n, found in self.found.items():
+                    hashes, enough = _windows(view.token, n, self.least_words)
+                    if view is t.opening and hashes.size:  # where no such word stands, it is the first template
+                        enough = enough & (opened[view.last[n - 1 :] + 1] > opened[view.word[: hashes.size]])
+                    for text, start in self._hits(view, n, self.keys[n], hashes, enough):
+                        slots, here = view.slots(start, n), view.place(start, n)
+                        for item, place, own in found[int(hashes[start])]:
+                            if (here, item, place) not in met and consistent(own, slots):
+                                met.add((here, item, place))
+                                add(text, item, here[0], own == slots)
+            for (text, item), starts in sorted(counts.items()):
+                yield first + text, item, len(starts), sum(starts.values())
 
 
 def indexes(benchmark: DataFrame, width: int, least_words: int) -> Iterator[bytes]:
