@@ -192,15 +192,19 @@ def test_long_texts_are_cut_into_pieces(monkeypatch):
             assert a[0] == b[0] and all((x == y).all() for x, y in zip(a[1:], b[1:], strict=True))
 
 
-def test_multikey_order():
+@pytest.mark.parametrize("direct", [1024, 1, 7])
+@pytest.mark.parametrize("size", [21, 8, 3, 40])
+def test_multikey_order(monkeypatch, direct, size):
+    monkeypatch.setattr(suffix_dedup, "DIRECT", direct)
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 400).astype(np.uint8)
     padded = np.concatenate((data, np.zeros(64, np.uint8)))
     starts = np.arange(350)
-    order, label = suffix_dedup.multikey_order(padded, starts, 21)
-    found = [padded[s : s + 21].tobytes() for s in starts[order]]
-    assert found == sorted(found)
-    assert all((a == b) == (x == y) for a, b, x, y in zip(found, found[1:], label, label[1:], strict=False))
+    for group in (None, rng.integers(0, 5, 350)):
+        order, label = suffix_dedup.multikey_order(padded, starts, size, group)
+        found = [(0 if group is None else group[k], padded[k : k + size].tobytes()) for k in order]
+        assert found == sorted(found) and sorted(order) == list(range(350))
+        assert all((a == b) == (x == y) for a, b, x, y in zip(found, found[1:], label, label[1:], strict=False))
 
 
 # 4 ----------------------------------------------------------------------------
@@ -442,6 +446,39 @@ def test_templates(text, found):
     assert bool(list(index.matches([None if text is None else ("Well then. " + text).encode()]))) == found
 
 
+@pytest.mark.parametrize("item,text,found", [
+    ("Tom has 3 apples and 5 pears.", "Ann has 4 apples and 7 pears.", True), ("Tom has 3 apples and 5 pears.", "So it is. Mary Ann has 4 apples and 7 pears. Good.", True),
+    ("Tom has 3 apples and 5 pears.", "Well then, Ann has 4 apples and 7 pears.", True), ("Tom has 3 apples and 5 pears.", "Ann has 4 plums and 7 pears.", False),
+    ("Mr Tom Berg meets Ann Lund by the old bridge.", "Mr Per Ole Dahl meets Eva by the old bridge.", True), ("Tom and Ann and Tom walk home today.", "Eva and Per and Per walk home today.", False),
+])
+def test_names_where_sentences_open(item, text, found):
+    index = decontam.Index([(1, item.encode())], 8, 4)
+    assert bool(list(index.matches([text.encode()]))) == found
+
+
+def test_recall_of_questions_with_new_numbers_names_and_units():
+    """At least nine in ten generated questions are found again after new values
+    were drawn for all slots, and none of another kind."""
+    r = random.Random(13)
+    names, units, words = ["Tom", "Ann", "Eva", "Per Dahl", "Ole", "Mary Lund"], ["kg", "miles", "hours", "meters"], [f"verb{i}" for i in range(400)]
+
+    def question(k):
+        own = random.Random(k)
+        shape = [own.choice(["NAME", "NUMBER", "NUMBER UNIT", "w", "w", "w", "w"]) for _ in range(own.randrange(12, 25))]
+        return [own.choice(words) if x == "w" else x for x in shape]
+
+    def filled(shape):
+        slots = {"NAME": lambda: r.choice(names), "NUMBER": lambda: str(r.randrange(2, 900)), "NUMBER UNIT": lambda: f"{r.randrange(2, 90)} {r.choice(units)}"}
+        text = " ".join(slots[x]() if x in slots else x for x in shape) + "?"
+        return text[0].upper() + text[1:]
+
+    shapes = [question(k) for k in range(300)]
+    index = decontam.Index([(k, filled(s).encode()) for k, s in enumerate(shapes)], decontam.WIDTH, decontam.LEAST_WORDS)
+    hits = {(i, item) for i, item, *_ in index.matches([filled(s).encode() for s in shapes])}
+    assert sum((k, k) in hits for k in range(300)) >= 270
+    assert not list(index.matches([filled(question(k)).encode() for k in range(1000, 1300)]))
+
+
 def test_slots_must_agree():
     item = "if Tom and Tom meet then both are glad"
     index = decontam.Index([(1, item.encode())], 9, 4)
