@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +50,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside lose their shuffle files as soon as an action on them has ended."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def checkpoint(frame: DataFrame) -> DataFrame:
     """Compute a frame once and cut its lineage, in the shared folder."""
     spark = frame.sparkSession
     folder = shared_folder(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint(eager=True)
+    with shuffles_go(spark):
+        return frame.select("*").checkpoint(eager=True)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -70,12 +87,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 def written(frame: DataFrame) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it again."""
     path = new_folder(frame.sparkSession, "blockwright")
-    frame.write.parquet(path)
+    with shuffles_go(frame.sparkSession):
+        frame.select("*").write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nobody holds any more;
-    it does so when the driver's heap is collected, which may take long."""
+    """Let Spark delete the checkpoints of frames that nobody holds any more, where
+    it is told to; it does so when the driver's heap is collected, which may take long."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()

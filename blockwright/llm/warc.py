@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockwright.llm._session import checkpoint, new_folder, ship
+from blockwright.llm._session import checkpoint, new_folder, ship, shuffles_go
 
 MAGIC = "WARC/1.1\r\n"
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -92,7 +92,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, compression: str = "none") -> None:
     """One archive per task that has rows."""
     records = plan_records(pages, least_bytes).mapInArrow(_records, "value string")
-    records.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(folder)
+    with shuffles_go(pages.sparkSession):
+        records.select("*").write.option("lineSep", "\r\n\r\n").option("compression", compression).text(folder)
 
 
 class _Open:
