@@ -20,7 +20,8 @@ WALK = 256
 def _walk(step, n: int, value: Column) -> Column:
     once = step(value)
     rest = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once, lambda x, _: F.when(x < n, x).otherwise(step(x)))
-    found = F.when(once < n, once).otherwise(rest)
+    lost = F.raise_error(F.lit(f"no id in range after {WALK} steps")).cast("long")
+    found = F.when(once < n, once).otherwise(F.when(rest < n, rest).otherwise(lost))
     ok = (value >= 0) & (value < n)
     return F.when(ok, found).when(value.isNotNull(), F.raise_error(F.lit("id outside the permutation")).cast("long"))
 
@@ -67,10 +68,12 @@ class Congruential:
 
 @dataclass(frozen=True)
 class Feistel:
-    """Four balanced Feistel rounds with keyed 64-bit hashes."""
+    """Four balanced Feistel rounds with keyed 64-bit hashes, or with another
+    round function ``mix`` of half a value and key."""
 
     n: int
     seed: int = 0
+    mix: object = None
 
     @property
     def half(self) -> int:
@@ -81,7 +84,7 @@ class Feistel:
         left, right = F.shiftright(value, half), value.bitwiseAND(F.lit(mask))
         keys = F.array(*(F.lit(self.seed * 4 + i).cast("long") for i in order))
         swap = F.struct(left.alias("a"), right.alias("b"))
-        mixed = F.aggregate(keys, swap, lambda s, key: F.struct(s["b"].alias("a"), s["a"].bitwiseXOR(F.xxhash64(s["b"], key).bitwiseAND(F.lit(mask))).alias("b")))
+        mixed = F.aggregate(keys, swap, lambda s, key: F.struct(s["b"].alias("a"), s["a"].bitwiseXOR((self.mix or F.xxhash64)(s["b"], key).bitwiseAND(F.lit(mask))).alias("b")))
         return F.shiftleft(mixed["b"], half).bitwiseOR(mixed["a"])
 
     def apply(self, value: Column) -> Column:

@@ -49,15 +49,20 @@ def combine_halves(left: Column, right: Column, bits: int) -> Column:
 
 
 def djb2(text: Column) -> Column:
-    """32-bit string hash (h = 33 h + byte from 5381), of ASCII text."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(letters, F.lit(5381).cast("long"), lambda h, c: (h * 33 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """32-bit string hash (h = 33 h + byte from 5381) of the UTF-8 bytes."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    size = F.length(digits)
+    places = F.when(size > 0, F.sequence(F.lit(1), size - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(5381).cast("long"), lambda h, i: (h * 33 + F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def human_bytes(size: Column) -> Column:
-    out = F.format_string("%.0f B", size.cast("double"))
+    """One decimal, rounded half up in whole numbers."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
     for power, name in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
-        out = F.when(size >= 1024**power, F.format_string(f"%.1f {name}", size / float(1024**power))).otherwise(out)
+        unit = 1024**power
+        tenths = div(size * 20 + unit, 2 * unit)
+        out = F.when(size >= unit, F.concat(div(tenths, 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit(f" {name}"))).otherwise(out)
     return out
 
 

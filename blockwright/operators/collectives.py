@@ -11,25 +11,38 @@ OPS = {
     "band": F.bit_and, "bor": F.bit_or,
 }
 IDENTITY = {"sum": 0, "prod": 1, "land": True, "lor": False, "band": -1, "bor": 0}
+#: Least and greatest value of a type: the identities of max and min.
+LIMITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 
 
-def reduce(op: str, value: Column) -> Column:
-    """A reduction with its identity on empty input, where there is one."""
+def identity(op: str, kind: str = "bigint") -> Column:
+    if op in IDENTITY:
+        return F.lit(IDENTITY[op])
+    if kind in ("float", "double"):
+        return F.lit(float("-inf" if op == "max" else "inf")).cast(kind)
+    if kind not in LIMITS:
+        return F.lit(None).cast(kind)
+    most = 1 << (LIMITS[kind] - 1)
+    return F.lit(-most if op == "max" else most - 1).cast(kind)
+
+
+def reduce(op: str, value: Column, kind: str = "bigint") -> Column:
+    """A reduction with its identity on empty input."""
     if op not in OPS:
         raise ValueError(f"no such reduction: {op}")
-    out = OPS[op](value)
-    return F.coalesce(out, F.lit(IDENTITY[op])) if op in IDENTITY else out
+    return F.coalesce(OPS[op](value), identity(op, kind))
 
 
 def allreduce(rows: DataFrame, **ops: tuple[str, str]) -> DataFrame:
     """One row; ``name=(op, column)``."""
-    return rows.agg(*(reduce(op, F.col(c)).alias(name) for name, (op, c) in ops.items()))
+    kinds = dict(rows.dtypes)
+    return rows.agg(*(reduce(op, F.col(c), kinds[c]).alias(name) for name, (op, c) in ops.items()))
 
 
 def allreduce_vector(rows: DataFrame, column: str, op: str = "sum") -> DataFrame:
     """Element-wise reduction of an array column: position, value."""
     parts = rows.select(F.posexplode(column).alias("position", "value"))
-    return parts.groupBy("position").agg(reduce(op, F.col("value")).alias("value"))
+    return parts.groupBy("position").agg(reduce(op, F.col("value"), dict(parts.dtypes)["value"]).alias("value"))
 
 
 def allgather(rows: DataFrame, rank: str, value: str) -> DataFrame:
@@ -43,7 +56,19 @@ def gatherv(rows: DataFrame, rank: str, position: str) -> DataFrame:
     return rows.orderBy(rank, position)
 
 
-def exclusive_scan(per_rank: DataFrame, rank: str, value: str, name: str = "scan") -> DataFrame:
-    """Sum over lesser ranks; takes one row per rank."""
+def exclusive_scan(per_rank: DataFrame, rank: str, value: str, name: str = "scan", op: str = "sum") -> DataFrame:
+    """Reduction over lesser ranks, its identity on the first; takes one row per rank."""
     before = Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-    return per_rank.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    return per_rank.withColumn(name, F.coalesce(OPS[op](F.col(value)).over(before), identity(op, dict(per_rank.dtypes)[value])))
+
+
+def broadcast_value(ranks: DataFrame, rank: str, value: str, root: int) -> DataFrame:
+    """Every rank with the value of ``root``, one row per rank."""
+    one = ranks.where(F.col(rank) == root).select(F.col(value).alias("received")).limit(1)
+    return ranks.select(rank).join(F.broadcast(one))
+
+
+def alltoallv(sent: DataFrame, source: str, dest: str, position: str) -> DataFrame:
+    """What each rank gets, in the order of source and position: ``at`` counts from 0."""
+    order = Window.partitionBy(dest).orderBy(source, position)
+    return sent.withColumn("at", F.row_number().over(order) - 1)

@@ -57,16 +57,14 @@ def failures_until_loss(spark: SparkSession, ranks: int, replicas: int, repetiti
 
 
 def expected_failures(ranks: int, replicas: int) -> float:
-    """Exact expectation, by inclusion and exclusion over the ranks / replicas
-    groups of ranks that hold the same ranges."""
+    """Exact expectation.  Let every rank die at a uniform time: none of the g = p / r
+    groups of ranks with the same ranges is lost by time u with probability
+    (1 - u^r)^g, and integrating over u weighs each number of failures
+    with 1 / (p + 1); the integral is a beta function."""
     if ranks % replicas:
         raise ValueError("replicas must divide ranks")
-    groups, total = ranks // replicas, 0.0
-    for failed in range(ranks):
-        ways = math.comb(ranks, failed)
-        bad = sum((-1) ** (j + 1) * math.comb(groups, j) * math.comb(ranks - j * replicas, failed - j * replicas) for j in range(1, min(groups, failed // replicas) + 1))
-        total += (ways - bad) / ways
-    return total
+    groups, share = ranks // replicas, 1 / replicas
+    return (ranks + 1) * math.exp(math.lgamma(1 + share) + math.lgamma(groups + 1) - math.lgamma(groups + 1 + share))
 
 
 def approximate_failures(ranks: Column, replicas: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,15 @@ def pick_centers(points: DataFrame, k: int, seed: int = 0) -> Centers:
     return [list(map(float, r[0])) for r in rows]
 
 
+def _matrix(column: pa.Array, width: int):
+    """An array column as a matrix, without a value ever becoming a Python object."""
+    import numpy as np
+
+    if column.null_count or (np.diff(column.offsets.to_numpy()) != width).any():
+        raise ValueError("points and centers differ in dimension")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), width)
+
+
 def assign(points: DataFrame, centers: Centers) -> DataFrame:
     """point_id, cid."""
     check(centers)
@@ -53,7 +63,7 @@ def assign(points: DataFrame, centers: Centers) -> DataFrame:
 
         c = np.array(centers)
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), dtype=np.float64).reshape(batch.num_rows, c.shape[1])
+            x = _matrix(batch.column("v"), c.shape[1])
             best = np.stack([((x - one) ** 2).sum(axis=1) for one in c]).argmin(axis=0) if len(x) else np.zeros(0)
             yield pa.record_batch([batch.column("point_id"), pa.array(best.astype(np.int32))], names=["point_id", "cid"])
 
@@ -71,7 +81,7 @@ def partial_sums(points: DataFrame, centers: Centers) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column("v").to_pylist(), dtype=np.float64).reshape(batch.num_rows, c.shape[1])
+            x = _matrix(batch.column("v"), c.shape[1])
             best = np.stack([((x - one) ** 2).sum(axis=1) for one in c]).argmin(axis=0)
             used = np.unique(best)
             sums = [x[best == k].sum(axis=0).tolist() for k in used]
@@ -91,34 +101,43 @@ def update(parts: DataFrame, centers: Centers) -> tuple[Centers, list[int]]:
 
 
 def iterate(points: DataFrame, centers: Centers, iterations: int) -> Centers:
-    """A fixed number of iterations."""
+    """A fixed number of iterations; points are kept in memory between them."""
+    kept = points.select("v").persist(StorageLevel.MEMORY_AND_DISK) if iterations > 1 else points
     for _ in range(iterations):
-        centers, _ = update(partial_sums(points, centers), centers)
+        centers, _ = update(partial_sums(kept, centers), centers)
+    if kept is not points:
+        kept.unpersist()
     return centers
 
 
 def iterate_with_failures(store, ownership, centers: Centers, iterations: int, failures: dict[int, list[int]]):
-    """Iterations over a block store whose blocks are points.
+    """Iterations over a block store whose blocks are points (block_id, v).
 
-    ``failures``: iteration -> ranks that die in it.  The iteration that meets a
-    failure is rolled back, the lost ranges are re-balanced over the survivors
-    and pulled from replicas, and it runs again.  Returns centers, store and
-    ownership; the centers equal those of a run without failures."""
+    Each rank works on its own points; the work set, not the store, is what an
+    iteration reads.  ``failures``: iteration -> ranks that die in it.  Their part of the
+    work set is gone for good: the iteration is rolled back, the lost ranges are re-balanced over the
+    survivors and pulled from replicas, the survivors keep them, and the iteration runs again.
+    Returns centers, store and ownership."""
     state: TwoPhase = TwoPhase(centers)
     state.commit()
+    spark, owner = store.blocks.sparkSession, F.col("owner")
+    work = store.blocks.select("block_id", "v", store.placement.range_of(F.col("block_id")).cast("int").alias("owner"))
+    held = [work := work.persist(StorageLevel.MEMORY_AND_DISK)]
     for i in range(iterations):
-        points = store.blocks.withColumnRenamed("block_id", "point_id")
         if dead := failures.get(i):
             state.rollback()
             store = store.fail(dead)
-            store.placement.check_no_loss(points.sparkSession, store.dead)
+            store.placement.check_no_loss(spark, store.dead)
             plan = ownership.plan(dead)
-            pulled = store.pull(plan.select("start", "len", "dest"))
-            kept = store.blocks.join(pulled.select("block_id"), "block_id", "left_anti")
-            points = kept.unionByName(pulled.select(*store.blocks.columns)).withColumnRenamed("block_id", "point_id")
+            pulled = store.pull(plan.select("start", "len", "dest")).select("block_id", "v", F.col("dest").cast("int").alias("owner"))
+            # what a survivor got stays in its memory; the rest is not read again from anywhere
+            held.append(pulled := pulled.persist(StorageLevel.MEMORY_AND_DISK))
+            work = work.where(~owner.isin([int(d) for d in dead])).unionByName(pulled)
             ownership = ownership.commit(dead)
-        state.active = update(partial_sums(points, state.active), state.active)[0]
+        state.active = update(partial_sums(work, state.active), state.active)[0]
         state.commit()
+    for frame in held:
+        frame.unpersist()
     return state.committed, store, ownership
 
 

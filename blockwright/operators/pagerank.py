@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockwright.operators.versioned import TwoPhase
 from blockwright.plans.session import checkpoint
 
 
@@ -13,6 +14,46 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def _weighted(edges: DataFrame) -> DataFrame:
+    """Parallel edges merged into one, with the share of the source's rank that it carries."""
+    merged = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    return checkpoint(merged.join(out_degree(edges), "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("w")))
+
+
+def _step(weighted: DataFrame, vertices: DataFrame, pr: DataFrame, n: int, damping: float) -> DataFrame:
+    sent = weighted.join(pr, weighted["src"] == pr["v"]).groupBy("dst").agg(F.sum(F.col("pr") * F.col("w")).alias("t"))
+    return vertices.join(sent, vertices["v"] == sent["dst"], "left").select("v", (F.lit((1 - damping) / n) + damping * F.coalesce("t", F.lit(0.0))).alias("pr"))
+
+
+def _divided(pr: DataFrame) -> DataFrame:
+    total = pr.agg(F.sum("pr").alias("total"))
+    return pr.crossJoin(F.broadcast(total)).select("v", (F.col("pr") / F.col("total")).alias("pr"))
+
+
+def pagerank_with_failures(store, ownership, vertices: DataFrame, iterations: int, failures: dict[int, list[int]], damping: float = 0.85) -> DataFrame:
+    """PageRank over a block store of edges (block_id, src, dst).
+
+    Each rank works on its own edges.  ``failures``: iteration -> ranks that die
+    in it; their edges are gone, the ranks of the last committed iteration come back, the
+    lost edges are re-balanced and pulled from replicas, and the iteration runs again."""
+    spark, n = vertices.sparkSession, vertices.count()
+    work = store.blocks.select("src", "dst", store.placement.range_of(F.col("block_id")).cast("int").alias("owner"))
+    weighted = _weighted(work)
+    state: TwoPhase = TwoPhase(vertices.select("v", F.lit(1.0 / n).alias("pr")))
+    for i in range(iterations):
+        if dead := failures.get(i):
+            state.rollback()
+            store = store.fail(dead)
+            store.placement.check_no_loss(spark, store.dead)
+            pulled = store.pull(ownership.plan(dead).select("start", "len", "dest")).select("src", "dst", F.col("dest").cast("int").alias("owner"))
+            work = checkpoint(work.where(~F.col("owner").isin([int(d) for d in dead])).unionByName(pulled))
+            ownership = ownership.commit(dead)
+            weighted = _weighted(work)
+        state.active = checkpoint(_step(weighted, vertices, state.active, n, damping))
+        state.commit()
+    return _divided(state.committed)
+
+
 def pagerank(edges: DataFrame, vertices: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 5) -> DataFrame:
     """v, pr for every vertex (column v).
 
@@ -21,16 +62,13 @@ def pagerank(edges: DataFrame, vertices: DataFrame, iterations: int = 100, dampi
     n = vertices.count()
     if n == 0:
         return vertices.select("v", F.lit(None).cast("double").alias("pr"))
-    merged = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    weighted = checkpoint(merged.join(out_degree(edges), "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("w")))
+    weighted = _weighted(edges)
     pr = vertices.select("v", F.lit(1.0 / n).alias("pr"))
     for i in range(1, iterations + 1):
-        sent = weighted.join(pr, weighted["src"] == pr["v"]).groupBy("dst").agg(F.sum(F.col("pr") * F.col("w")).alias("t"))
-        pr = vertices.join(sent, vertices["v"] == sent["dst"], "left").select("v", (F.lit((1 - damping) / n) + damping * F.coalesce("t", F.lit(0.0))).alias("pr"))
+        pr = _step(weighted, vertices, pr, n, damping)
         if i % every == 0 and i < iterations:
             pr = checkpoint(pr)
-    total = pr.agg(F.sum("pr").alias("total"))
-    return pr.crossJoin(F.broadcast(total)).select("v", (F.col("pr") / F.col("total")).alias("pr"))
+    return _divided(pr)
 
 
 def actual_pagerank(stored, teleport: float, damping: float):

@@ -5,7 +5,9 @@ a permutation of ids and the set of failed ranks.  Failing ranks gives a new
 store.  Replicas are rows (range, rank, block), produced by exploding the rank
 list after projection; a pull routes ranges, not blocks: requests are cut at
 run and range borders with ``sequence`` and met with the store by an equi-join
-on the range number, never by an interval comparison of blocks.
+on pieces of the id space, and the requested interval of ids is pushed to the
+scan.  ``stored`` writes the blocks once, by range and in id order, so that
+later pulls read what they ask for.
 """
 
 from __future__ import annotations
@@ -39,8 +41,16 @@ class BlockStore:
     def alive(self) -> list[int]:
         return [r for r in range(self.placement.ranks) if r not in self.dead]
 
+    def stored(self, path: str) -> BlockStore:
+        """The same store with its blocks written by range and in the order of ids."""
+        self.placed().repartition("range_id").sortWithinPartitions("range_id", "block_id").write.partitionBy("range_id").parquet(path)
+        schema = self.placed().schema
+        return replace(self, blocks=self.blocks.sparkSession.read.schema(schema).parquet(path))
+
     def placed(self) -> DataFrame:
         """Blocks with their internal id and range."""
+        if {"internal_id", "range_id"} <= set(self.blocks.columns):
+            return self.blocks
         inner = self.blocks.withColumn("internal_id", self.order.apply(F.col("block_id")))
         return inner.withColumn("range_id", self.placement.range_of(F.col("internal_id")))
 
@@ -84,10 +94,23 @@ class BlockStore:
         lost = F.raise_error(F.concat(F.lit("no alive replica of range "), F.col("range_id").cast("string"))).cast("int")
         return out.withColumn("serving", F.coalesce(F.when(own, F.col("dest").cast("int")), served, lost))
 
+    @property
+    def piece(self) -> int:
+        """Consecutive internal ids that are met together."""
+        order = self.order
+        return getattr(order, "effective", 4096 if isinstance(order, Identity) else 1)
+
     def pull(self, requests: DataFrame) -> DataFrame:
-        """Blocks for each request row: dest, serving and the block's columns."""
-        wanted = self.route(requests).select("dest", "serving", "range_id", F.explode(F.sequence("internal_start", F.col("internal_start") + F.col("len") - 1)).alias("internal_id"))
-        return wanted.join(self.placed(), ["range_id", "internal_id"])
+        """Blocks for each request row: dest, serving and the block's columns.
+        Requests are cut at pieces of the internal id space, never into ids."""
+        asked = requests.where("len > 0").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("len")).alias("high")).head()
+        size, low, high = self.piece, asked["low"], asked["high"]
+        routed = self.route(requests).select("dest", "serving", "internal_start", (F.col("internal_start") + F.col("len")).alias("internal_end"))
+        cut = F.sequence(div(F.col("internal_start"), size), div(F.col("internal_end") - 1, size))
+        wanted = routed.withColumn("_piece", F.explode(cut))
+        inside = self.placed().where(F.col("block_id").between(low, high - 1) if low is not None else F.lit(False))
+        met = inside.withColumn("_piece", div(F.col("internal_id"), size)).join(wanted, "_piece")
+        return met.where("internal_id >= internal_start AND internal_id < internal_end").drop("_piece", "internal_start", "internal_end")
 
     def push(self, addressed: DataFrame, original_ranks: bool = True) -> DataFrame:
         """Same plan as pull; with current ranks the targets are translated first."""
@@ -99,8 +122,12 @@ class BlockStore:
         return self.pull(addressed.join(F.broadcast(names), "dest").select("start", "len", F.col("original_rank").alias("dest")))
 
     def scan(self, start: int, length: int) -> DataFrame:
-        """Blocks of a range of ids in order; a missing id raises on read."""
-        return self.blocks.where(F.col("block_id").between(start, start + length - 1)).orderBy("block_id")
+        """Blocks of a range of ids in order; a missing id raises."""
+        found = self.blocks.where(F.col("block_id").between(start, start + length - 1))
+        seen = found.agg(F.countDistinct("block_id")).head()[0]
+        if seen != max(0, length):
+            raise LookupError(f"{max(0, length) - seen} of the ids {start} to {start + length - 1} are not stored")
+        return found.orderBy("block_id")
 
     def overwrite(self, newer: DataFrame) -> BlockStore:
         """Later writes of an id replace earlier ones."""

@@ -104,7 +104,7 @@ def clean_benchmark_log(lines: DataFrame, preamble: int, fields: int = 5, parts:
     rows, the first ``fields`` fields, the name split into columns."""
     c = F.split("value", ",")
     rows = lines.where(F.col("line_no") >= preamble).where(~F.split("value", ",")[0].rlike("_(mean|median|stddev)\"?$"))
-    out = rows.select("file", *(c[i].alias(f"f{i}") for i in range(fields)))
+    out = rows.select("file", *(F.get(c, F.lit(i)).alias(f"f{i}") for i in range(fields)))
     name = F.split(F.regexp_replace("f0", '"', ""), "/")
     for i, part in enumerate(parts or []):
         out = out.withColumn(part, F.get(name, F.lit(i)))
@@ -114,7 +114,7 @@ def clean_benchmark_log(lines: DataFrame, preamble: int, fields: int = 5, parts:
 def log_likelihoods(lines: DataFrame) -> DataFrame:
     """The number after ``Final LogLikelihood:``."""
     found = F.regexp_extract("value", r"Final LogLikelihood:\s*(-?[0-9.]+)", 1)
-    return lines.where(F.col("value").contains("Final LogLikelihood:")).withColumn("llh", found.cast("double"))
+    return lines.where(F.col("value").contains("Final LogLikelihood:")).withColumn("llh", F.when(found != "", found).cast("double"))
 
 
 def save_blocks(blocks: DataFrame, path: str) -> None:

@@ -205,5 +205,58 @@ def test_report_check(spark):
 
 
 def test_dense_ids(spark):
+    keys = [None, None, 7, 7, 7, 7, -5, 10**12, 3, None, *range(100, 300), *([55] * 500)]
+    many = with_block_ids(spark.createDataFrame([(k,) for k in keys], "k long"), ["k"], buckets=4).orderBy("block_id").collect()
+    assert [r["block_id"] for r in many] == list(range(len(keys))) and [r["k"] for r in many] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert with_block_ids(spark.createDataFrame([], "k long"), ["k"]).count() == 0
+
     rows = spark.createDataFrame([(k,) for k in (5, 5, 9, 1000, -3)], "k long")
     assert sorted((r["k"], r["block_id"]) for r in with_block_ids(rows, ["k"]).collect()) == [(-3, 0), (5, 1), (5, 2), (9, 3), (1000, 4)]
+
+
+def test_scan_of_a_hole_raises(spark):
+    blocks = spark.range(10).where("id <> 4").select(F.col("id").alias("block_id"))
+    s = BlockStore(blocks, Placement(10, 2, 1))
+    assert s.scan(5, 5).count() == 5 and s.scan(0, 0).count() == 0
+    with pytest.raises(LookupError):
+        s.scan(0, 10)
+
+
+def test_stored_blocks_are_pulled_by_what_is_asked(spark, tmp_path):
+    blocks = spark.range(3000).select(F.col("id").alias("block_id"), (F.col("id") * 7).alias("value"))
+    s = BlockStore(blocks, Placement(3000, 8, 3), Ranges(3000, 16)).stored(f"{tmp_path}/s").fail([1, 4])
+    request = spark.createDataFrame([(100, 40, 0), (130, 20, 2), (5, 0, 3)], "start long, len long, dest int")
+    got = s.pull(request)
+    assert sorted((r["dest"], r["block_id"], r["value"]) for r in got.collect()) == sorted([(0, i, 7 * i) for i in range(100, 140)] + [(2, i, 7 * i) for i in range(130, 150)])
+    assert "GreaterThanOrEqual(block_id,100)" in got._jdf.queryExecution().toString()
+    assert s.pull(request.where("len > 1000")).count() == 0
+
+
+def test_kmeans_lives_on_what_it_recovered(spark):
+    """The dead rank's points are gone: what the replicas hold decides the result."""
+    blocks = spark.range(80).select(F.col("id").alias("block_id"), F.array(F.col("id").cast("double")).alias("v"))
+    place = Placement(80, 8, 2)
+    own = balancer.Ownership.of(balancer.contiguous(spark, 80, 8), 8)
+    start = [[0.0], [79.0]]
+    want = kmeans.iterate(blocks.withColumnRenamed("block_id", "point_id"), start, 3)
+    got, store, after = kmeans.iterate_with_failures(BlockStore(blocks, place), own, start, 3, {1: [2], 2: [5]})
+    assert got == want and store.dead == {2, 5} and 2 not in after.alive
+
+    class Odd(BlockStore):
+        """Replicas that hold other values than the ranks worked on."""
+
+        def pull(self, requests):
+            return super().pull(requests).withColumn("v", F.transform("v", lambda x: x + 1000))
+
+        def fail(self, ranks):
+            return Odd(self.blocks, self.placement, self.permutation, self.dead | set(ranks))
+
+    assert kmeans.iterate_with_failures(Odd(blocks, place), own, start, 3, {1: [2]})[0] != want
+
+
+def test_walk_that_finds_no_id_raises(spark, monkeypatch):
+    from blockwright.functions import permutation
+
+    monkeypatch.setattr(permutation, "WALK", 2)
+    with pytest.raises(Exception, match="no id in range"):
+        spark.range(1).select(permutation._walk(lambda x: x * 0 + 9, 5, F.col("id"))).collect()
