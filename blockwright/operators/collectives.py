@@ -71,4 +71,4 @@ def broadcast_value(ranks: DataFrame, rank: str, value: str, root: int) -> DataF
 def alltoallv(sent: DataFrame, source: str, dest: str, position: str) -> DataFrame:
     """What each rank gets, in the order of source and position: ``at`` counts from 0."""
     order = Window.partitionBy(dest).orderBy(source, position)
-    return sent.withColumn("at", F.row_number().over(order) - 1)
+    return sent.withColumn("at", (F.row_number().over(order) - 1).cast("long"))
