@@ -288,7 +288,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_wor
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             lookup = pickle.loads(index.value)
-            for batch in batches:
+            for batch in _text.small(batches):
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[i], item, n, equal) for i, item, n, equal in lookup.matches(_text.utf8(batch.column("text")))]
                 yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], schema=schema)
@@ -309,7 +309,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDT
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             lookup = pickle.loads(index.value)
-            for batch in batches:
+            for batch in _text.small(batches):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for i, *_ in lookup.matches(_text.utf8(batch.column("text"))):
                     clean[i] = False

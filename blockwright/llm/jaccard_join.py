@@ -67,7 +67,7 @@ PIVOT_TOKENS = 2
 TABLE = 1 << 19
 LEAST = 16
 #: Shingles that a task counts together, and pairs that it adds up together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 #: Cost of a candidate, in prefix shingles shipped.
 CANDIDATE_COST = 8.0
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -183,7 +183,7 @@ def _describe(power: int, seed: int, key_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
-        for batch in batches:
+        for batch in _text.small(batches):
             texts = _text.utf8(batch.column("text"))
             keys, checks, sizes, bits = [], [], [], []
             for first, last in _text.blocks(texts):
@@ -449,10 +449,10 @@ def _across(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Record
         for x, y in zip(edge[:-1], edge[1:], strict=True):
             found.append(close(rows[x:y], bits[x:y]))
             size += len(found[-1])
-            if size >= TOGETHER // 8:
+            if size >= TOGETHER // 2:
                 found = [fewest()]
                 size = len(found[0])
-                if size >= TOGETHER // 16:
+                if size >= TOGETHER // 4:
                     yield flush(found[0])
                     found, size = [], 0
         last = int(edge[-1]) if edge.size else 0
@@ -475,7 +475,7 @@ def _squeeze(seed: int, key_bits: int):
     """Packed texts of the rows whose class is ``wanted`` (null: any class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.small(batches):
             texts, wanted = _text.utf8(batch.column("text")), batch.column("wanted").to_pylist()
             keys, packed = [], []
             for first, last in _text.blocks(texts):

@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives:
     chosen = chosen.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.small(batches):
             found = [t.tobytes() for t in terms(_text.utf8(batch.column("text")))]
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "terms"])
 
@@ -204,7 +204,7 @@ def score_documents(docs: DataFrame, machine: Machine, keep: list[str]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _loaded(model.value)
-        for batch in batches:
+        for batch in _text.small(batches):
             score = machine.score(_text.utf8(batch.column("text")))
             yield pa.record_batch([*(batch.column(k) for k in keep), pa.array(score, pa.float64())], names=[*keep, "score"])
 
