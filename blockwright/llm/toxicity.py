@@ -157,7 +157,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 40
         xv = x @ v
         margin = bias + x @ w + 0.5 * ((xv * xv).sum(axis=1) - x @ (v * v).sum(axis=1))
         error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) * balance
-        gradient = [error.sum(keepdims=True), x.T @ error + 1e-5 * w, x.T @ (error[:, None] * xv) - (x.T @ error)[:, None] * v + 1e-4 * v]
+        gradient = [error.sum(keepdims=True), x.T @ error + 1e-6 * w, x.T @ (error[:, None] * xv) - (x.T @ error)[:, None] * v + 1e-5 * v]
         for i, g in enumerate(gradient):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
