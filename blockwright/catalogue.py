@@ -550,12 +550,26 @@ def kmeans_3_iter(spark, sf):
     return _center_rows(spark, kmeans.iterate(_points(spark, sf), _first(spark, sf), 3))
 
 
+def _stored_points(spark, sf) -> BlockStore:
+    key = spark.sparkContext.applicationId, sf, "points"
+    if key not in _STORED:
+        blocks = with_block_ids(_points(spark, sf), ["point_id"]).select("block_id", "v")
+        p = placement(table(spark, sf, "embeddings"))
+        _STORED[key] = BlockStore(blocks, p, runs_of(p.blocks)).stored(new_folder(spark, "points"))
+    return _STORED[key]
+
+
+@query("stored_points", "SELECT count(*) AS n_blocks, round(sum(embedding[1]::DOUBLE), 4) AS total FROM embeddings")
+def stored_points(spark, sf):
+    """Submits the points that k-means with failures works on."""
+    return _stored_points(spark, sf).blocks.agg(F.count(F.lit(1)).alias("n_blocks"), F.round(F.sum(F.col("v")[0]), 4).alias("total"))
+
+
 @query("kmeans_with_failures", _center_sql(3))
 def kmeans_with_failures(spark, sf):
-    blocks = with_block_ids(_points(spark, sf), ["point_id"]).select("block_id", "v")
-    p = placement(table(spark, sf, "embeddings"))
-    own = balancer.Ownership.of(balancer.contiguous(spark, p.blocks, P), P)
-    centers, _, _ = kmeans.iterate_with_failures(BlockStore(blocks, p, runs_of(p.blocks)), own, _first(spark, sf), 3, {1: [1], 2: [4]})
+    s = _stored_points(spark, sf)
+    own = balancer.Ownership.of(balancer.contiguous(spark, s.placement.blocks, P), P).settled()
+    centers, _, _ = kmeans.iterate_with_failures(s, own, _first(spark, sf), 3, {1: [1], 2: [4]})
     return _center_rows(spark, centers)
 
 

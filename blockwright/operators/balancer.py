@@ -50,6 +50,17 @@ class Ownership:
         size = F.least(F.col("at") + F.col("len"), F.col("high")) - first
         return met.select((F.col("start") + first - F.col("at")).alias("start"), size.alias("len"), "dest", first.alias("at")).where("len > 0")
 
+    def settled(self) -> Ownership:
+        """The same with its table computed: a row per range and piece of one, so it
+        grows with ranks and failures, not with blocks."""
+        rows = self.table.collect()
+        return Ownership(self.table.sparkSession.createDataFrame(rows, self.table.schema), self.alive, self.round)
+
+    def settled_plan(self, dead: Iterable[int]) -> DataFrame:
+        """The plan, computed once: at most a piece per lost range and survivor."""
+        found = self.plan(dead)
+        return found.sparkSession.createDataFrame(found.collect(), found.schema)
+
     def plan_for(self, dead: Iterable[int], rank: int) -> DataFrame:
         return self.plan(dead).where(F.col("dest") == rank).select("start", "len")
 

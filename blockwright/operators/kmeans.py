@@ -128,12 +128,12 @@ def iterate_with_failures(store, ownership, centers: Centers, iterations: int, f
             state.rollback()
             store = store.fail(dead)
             store.placement.check_no_loss(spark, store.dead)
-            plan = ownership.plan(dead)
+            plan = ownership.settled_plan(dead)
             pulled = store.pull(plan.select("start", "len", "dest")).select("block_id", "v", F.col("dest").cast("int").alias("owner"))
             # what a survivor got stays in its memory; the rest is not read again from anywhere
             held.append(pulled := pulled.persist(StorageLevel.MEMORY_AND_DISK))
             work = work.where(~owner.isin([int(d) for d in dead])).unionByName(pulled)
-            ownership = ownership.commit(dead)
+            ownership = ownership.commit(dead).settled()
         state.active = update(partial_sums(work, state.active), state.active)[0]
         state.commit()
     for frame in held:

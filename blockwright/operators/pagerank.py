@@ -45,9 +45,9 @@ def pagerank_with_failures(store, ownership, vertices: DataFrame, iterations: in
             state.rollback()
             store = store.fail(dead)
             store.placement.check_no_loss(spark, store.dead)
-            pulled = store.pull(ownership.plan(dead).select("start", "len", "dest")).select("src", "dst", F.col("dest").cast("int").alias("owner"))
+            pulled = store.pull(ownership.settled_plan(dead).select("start", "len", "dest")).select("src", "dst", F.col("dest").cast("int").alias("owner"))
             work = checkpoint(work.where(~F.col("owner").isin([int(d) for d in dead])).unionByName(pulled))
-            ownership = ownership.commit(dead)
+            ownership = ownership.commit(dead).settled()
             weighted = _weighted(work)
         state.active = checkpoint(_step(weighted, vertices, state.active, n, damping))
         state.commit()
