@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockwright.llm import _text
 from blockwright.llm._session import checkpoint, ship
 
 #: Edges that one task may hold (16 bytes each).
@@ -77,7 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
     drawn order keeps pointer chains short, so rounds grow with the logarithm of
     the size, whatever the shape.  No node's neighbours are ever gathered."""
     ship(edges.sparkSession)
-    left = edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long")
+    left = edges.where("a <> b").select("a", "b").mapInArrow(_text.frees(_forest), "a long, b long")
     levels: list[DataFrame] = []
     while True:
         left = checkpoint(left)
@@ -92,7 +93,7 @@ def components(edges: DataFrame) -> DataFrame:
         xs = left.join(parent.withColumnRenamed("node", "a"), "a").select(F.col("label").alias("a"), "b")
         ys = xs.join(parent.withColumnRenamed("node", "b"), "b").select("a", F.col("label").alias("b"))
         left = ys.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    last = left.repartition(1).mapInArrow(_labels, "node long, label long")
+    last = left.repartition(1).mapInArrow(_text.frees(_labels), "node long, label long")
     if not levels:
         return checkpoint(last)
     out = levels[0]

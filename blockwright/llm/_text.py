@@ -6,7 +6,9 @@ about ``BLOCK_BYTES`` of them, or one text alone if it is longer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,26 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system, where it can be told so."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frees(run: Callable) -> Callable:
+    """The same task on Arrow batches; what it used does not stay with its worker,
+    which waits for other tasks beside the workers of later stages."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return freed
+
+
 def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
     """Index ranges of the texts that make up each block."""
     start = size = 0

@@ -293,7 +293,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_wor
                 rows = [(ids[i], item, n, equal) for i, item, n, equal in lookup.matches(_text.utf8(batch.column("text")))]
                 yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], schema=schema)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_windows long, n_verbatim long")
+        part = docs.select("doc_id", "text").mapInArrow(_text.frees(run), "doc_id long, item_id long, n_windows long, n_verbatim long")
         out = part if out is None else out.union(part)
     return out
 
@@ -315,7 +315,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDT
                     clean[i] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(_text.frees(run), schema)
     return out.select("row.*")
 
 

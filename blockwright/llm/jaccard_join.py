@@ -256,7 +256,7 @@ class Order:
 def frequent(described: DataFrame, power: int, partitions: int) -> Order:
     """The table of frequent shingles, of at most ``TABLE`` entries."""
     parts = described.where("bucket IS NOT NULL").select("bucket", "size", "low", "counts")
-    counted = checkpoint(parts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_tally, "code long, level int"))
+    counted = checkpoint(parts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_text.frees(_tally), "code long, level int"))
     least, total = 64, 0
     for level, n in sorted(map(tuple, counted.groupBy("level").count().collect()), reverse=True):  # a row per power of two
         if (total := total + n) > TABLE:
@@ -519,7 +519,7 @@ class Join:
         self.power = min(24, (4 * self.parts - 1).bit_length())
         self.seed = 0
         while True:
-            described = checkpoint(self.docs.mapInArrow(_describe(self.power, self.seed, key_bits), _INFO_DDL))
+            described = checkpoint(self.docs.mapInArrow(_text.frees(_describe(self.power, self.seed, key_bits)), _INFO_DDL))
             grouped = described.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bits").alias("bits"), (F.min("check") != F.max("check")).alias("torn"))
             self.classes = checkpoint(grouped)
             if self.classes.where("torn").isEmpty():
@@ -532,28 +532,28 @@ class Join:
         """Pair rows (a, b, shared, need) and rows of large groups (token, key, trait, place)."""
         buckets = 1 << self.power
         order = self.spark.sparkContext.broadcast(self.order)
-        packed = self.docs.mapInArrow(_pack(order, buckets, self.seed, self.key_bits, self.hottest), _PACKED)
-        return checkpoint(packed.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_join_buckets, small=self.small), _PAIRS))
+        packed = self.docs.mapInArrow(_text.frees(_pack(order, buckets, self.seed, self.key_bits, self.hottest)), _PACKED)
+        return checkpoint(packed.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_text.frees(functools.partial(_join_buckets, small=self.small)), _PAIRS))
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that the bitmaps permit to link."""
         side = lambda c: self.classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
-        return checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen, "a long, b long"))
+        return checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_text.frees(_screen), "a long, b long"))
 
     def texts_of(self, keys: DataFrame) -> DataFrame:
         """Packed texts of classes, one each: the only time that texts move."""
         reps = self.classes.select(F.col("key").alias("wanted"), F.col("rep").alias("doc_id")).join(keys.distinct().withColumnRenamed("key", "wanted"), "wanted", "left_semi")
-        known = self.docs.join(reps, "doc_id").select("text", "wanted").mapInArrow(_squeeze(self.seed, self.key_bits), "key long, packed binary")
+        known = self.docs.join(reps, "doc_id").select("text", "wanted").mapInArrow(_text.frees(_squeeze(self.seed, self.key_bits)), "key long, packed binary")
         # classes of which no row has an id are found by their texts
         nameless = reps.where("doc_id IS NULL").select(F.col("wanted").alias("key"))
-        lost = self.docs.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("wanted")).mapInArrow(_squeeze(self.seed, self.key_bits), "key long, packed binary")
+        lost = self.docs.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("wanted")).mapInArrow(_text.frees(_squeeze(self.seed, self.key_bits)), "key long, packed binary")
         return checkpoint(known.union(lost.join(nameless, "key", "left_semi")).dropDuplicates(["key"]))
 
     @staticmethod
     def verified(screened: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
         side = lambda c: texts.select(F.col("key").alias(c), F.col("packed").alias(f"packed_{c}"))
-        return checkpoint(screened.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long"))
+        return checkpoint(screened.join(side("a"), "a").join(side("b"), "b").mapInArrow(_text.frees(_verify), "a long, b long"))
 
     def links(self) -> DataFrame:
         """Links (a, b) between classes that give the true components: every
@@ -612,7 +612,7 @@ class Join:
         dealt = at.withColumn("own", own.cast("long")).select("*", F.explode(meets).alias("with"))
         columns = ["token", F.least("own", "with").cast("long").alias("low"), F.greatest("own", "with").cast("long").alias("high"), "own", "key", "trait", "place", "label", "bits"]
         dealt = dealt.select(*columns).repartition(self.parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
-        met = dealt.mapInArrow(functools.partial(_across, best=best), "x long, y long, bound long, a long, b long")
+        met = dealt.mapInArrow(_text.frees(functools.partial(_across, best=best)), "x long, y long, bound long, a long, b long")
         if not best:
             return met.select("a", "b").distinct()
         return met.groupBy("x", "y").agg(F.min(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b")

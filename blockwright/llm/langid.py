@@ -207,7 +207,7 @@ def predict(docs: DataFrame, texts_per_language: int = 400) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = _loaded(model.value)
-        for batch in batches:
+        for batch in _text.small(batches):
             texts = _text.utf8(batch.column("text"))
             if trees.languages:
                 best, share = choose(trees.bits(texts))
@@ -216,4 +216,4 @@ def predict(docs: DataFrame, texts_per_language: int = 400) -> DataFrame:
             score = [min(1.0, float(share[i])) if ok else 0.0 for i, ok in enumerate(known)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score, pa.float64())], schema=schema)
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_text.frees(run), "doc_id long, held_out boolean, lang_pred string, score double")

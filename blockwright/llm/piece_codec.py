@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
 
+from blockwright.llm import _text
 from blockwright.llm._session import quoted, ship
 
 CACHE = 500_000
@@ -254,7 +255,7 @@ def encode_digests(docs: DataFrame, model_path: str, with_ids: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
-        for batch in batches:
+        for batch in _text.small(batches):
             counts, ids, decoded, aligned, all_packed, all_spans = [], [], [], [], [], []
             for text in batch.column("text"):
                 packed, spans = codec.aligned(text.as_py() or "")
@@ -269,7 +270,7 @@ def encode_digests(docs: DataFrame, model_path: str, with_ids: bool = False) ->
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(c, pa.string()) for c in (ids, decoded, aligned))]
             yield pa.record_batch(columns + [pa.array(all_packed, pa.binary()), pa.array(all_spans, pa.binary())] * with_ids, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids binary, spans binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(_text.frees(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids binary, spans binary" * with_ids)
 
 
 def encode_documents(docs: DataFrame, model_path: str, keep: list[str], spans: bool = False) -> DataFrame:
@@ -283,7 +284,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep: list[str], spans: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         kind = pa.list_(pa.struct([("id", pa.int32()), ("first", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in _text.small(batches):
             texts = [t.as_py() or "" for t in batch.column("text")]
             columns = [batch.column(k) for k in keep] + [pa.array([codec.encode(t) for t in texts], pa.binary())]
             names = [*keep, "ids"]
@@ -292,7 +293,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep: list[str], spans: b
                 names.append("spans")
             yield pa.record_batch(columns, names=names)
 
-    return docs.select(carried).mapInArrow(run, schema)
+    return docs.select(carried).mapInArrow(_text.frees(run), schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
@@ -302,8 +303,8 @@ def decode_documents(encoded: DataFrame, model_path: str, keep: list[str]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
-        for batch in batches:
+        for batch in _text.small(batches):
             texts = [codec.decode(i.as_py() or b"") for i in batch.column("ids")]
             yield pa.record_batch([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return encoded.select(*map(quoted, keep), "ids").mapInArrow(run, schema)
+    return encoded.select(*map(quoted, keep), "ids").mapInArrow(_text.frees(run), schema)

@@ -223,7 +223,7 @@ def _unpack(name: str):
 
 
 def _by_text(packed: DataFrame, name: str, parts: int) -> DataFrame:
-    return packed.repartition(parts, "part").mapInArrow(_unpack(name), f"d long, h long, {name} binary")
+    return packed.repartition(parts, "part").mapInArrow(_text.frees(_unpack(name)), f"d long, h long, {name} binary")
 
 
 def _hash_anchors(length: int, buckets: int):
@@ -477,7 +477,7 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 def _sampled_leads(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.small(batches):
             texts = [t or b"" for t in _text.utf8(batch.column("text"))]
             leads = [texts[i][p : p + LEAD] for i, place, *_ in anchors(texts, length) for p in place[::4].tolist()]
             yield pa.record_batch([pa.array(leads, pa.binary())], names=["lead"])
@@ -490,7 +490,7 @@ def _splitters(docs: DataFrame, length: int, ranges: int) -> list[bytes]:
     total = max(1, docs.count())
     draw = F.pmod(F.xxhash64("d", "h", F.lit("splitters")), F.lit(1 << 30))
     some = docs.where(draw < int(min(1.0, SAMPLE_TEXTS / total) * (1 << 30)))
-    leads = some.select("text").mapInArrow(_sampled_leads(length), "lead binary")
+    leads = some.select("text").mapInArrow(_text.frees(_sampled_leads(length)), "lead binary")
     found = sorted(bytes(r[0]) for r in leads.orderBy(F.xxhash64("lead")).limit(SAMPLE_KEYS).collect())
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 
@@ -504,12 +504,12 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     marked = docs.withColumns({"d": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "h": F.xxhash64("text")})
     narrow = marked.select("d", "h", "text")
     buckets = 2 * parts
-    hashed = narrow.mapInArrow(_hash_anchors(length, buckets), "bucket int, ds binary, hs binary, counts binary, hashes binary, ordinals binary")
-    wanted = _by_text(hashed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(parts), _PARCELS), "ordinals", parts)
+    hashed = narrow.mapInArrow(_text.frees(_hash_anchors(length, buckets)), "bucket int, ds binary, hs binary, counts binary, hashes binary, ordinals binary")
+    wanted = _by_text(hashed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_text.frees(_repeated(parts)), _PARCELS), "ordinals", parts)
     splitters = _splitters(narrow, length, 2 * parts)
     # both joins take the same columns, so that Spark shuffles the texts once
-    suffixes = marked.join(wanted, ["d", "h"]).mapInArrow(_send_suffixes(length, splitters), _SUFFIXES)
-    sorted_ = suffixes.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(length, parts), _PARCELS)
+    suffixes = marked.join(wanted, ["d", "h"]).mapInArrow(_text.frees(_send_suffixes(length, splitters)), _SUFFIXES)
+    sorted_ = suffixes.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_text.frees(_sort_buckets(length, parts)), _PARCELS)
     return marked.join(_by_text(sorted_, "spans", parts), ["d", "h"], "left")
 
 
@@ -518,7 +518,7 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.small(batches):
             rows = []
             for doc, text, spans in zip(batch.column("doc_id").to_pylist(), _text.utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 ranges, text = covered(spans, length), text or b""
@@ -526,7 +526,7 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     found = repeated_spans(docs.select("doc_id", "text"), length)
-    return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "spans").mapInArrow(_text.frees(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -538,10 +538,10 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     schema = held.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.small(batches):
             texts = [None if t is None else cut(t, covered(s, length)).decode("utf-8", "ignore") for t, s in zip(_text.utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("_other")], names=["doc_id", "text", "_other"])
 
     found = repeated_spans(held, length).select("doc_id", "text", "_other", "spans")
-    out = found.mapInArrow(run, schema)
+    out = found.mapInArrow(_text.frees(run), schema)
     return out.select(*(c if c in ("doc_id", "text") else F.col("_other")[c].alias(c) for c in docs.columns))

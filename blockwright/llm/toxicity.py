@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives:
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "terms"])
 
     rows, toxic = [], []
-    for r in sorted(chosen.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms binary").toLocalIterator(), key=lambda r: (r["doc_id"], r["terms"])):
+    for r in sorted(chosen.select("doc_id", "toxic", "text").mapInArrow(_text.frees(run), "doc_id long, toxic int, terms binary").toLocalIterator(), key=lambda r: (r["doc_id"], r["terms"])):
         rows.append(np.frombuffer(bytes(r["terms"]), dtype=np.uint32))
         toxic.append(r["toxic"])
     if not n1 + n0:
@@ -208,7 +208,7 @@ def score_documents(docs: DataFrame, machine: Machine, keep: list[str]) -> DataF
             score = machine.score(_text.utf8(batch.column("text")))
             yield pa.record_batch([*(batch.column(k) for k in keep), pa.array(score, pa.float64())], names=[*keep, "score"])
 
-    return docs.select(carried).mapInArrow(run, schema)
+    return docs.select(carried).mapInArrow(_text.frees(run), schema)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockwright.llm import _text
 from blockwright.llm._session import ship
 
 TOP = "\U0010ffff"
@@ -122,4 +123,4 @@ def judge(pages: DataFrame, rules: DataFrame, ranges: int | None = None, default
     starts = opened.withColumn("_range", met).withColumns({"_kind": F.lit(0), "_sort": F.col("_key"), "page_id": F.lit(None).cast("long")}).select(columns)
     rows = keyed.withColumns({"_range": range_of("_sort"), "_kind": F.lit(1), "verdict": F.lit(None).cast("string")}).select(columns)
     dealt = starts.unionByName(rows).repartition(size, "_range").sortWithinPartitions("_range", "_sort", "_kind")
-    return dealt.mapInArrow(functools.partial(_sweep, default=default), "page_id long, host string, path string, rule string, verdict string")
+    return dealt.mapInArrow(_text.frees(functools.partial(_sweep, default=default)), "page_id long, host string, path string, rule string, verdict string")

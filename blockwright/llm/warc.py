@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blockwright.llm import _text
 from blockwright.llm._session import checkpoint, new_folder, ship, shuffles_go
 
 MAGIC = "WARC/1.1\r\n"
@@ -65,8 +66,8 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     the one with the largest id is the response and the others revisit it."""
     ship(pages.sparkSession)
     own = "page_id long, payload_bytes long, payload_digest string"
-    rows = pages.select("page_id", "url", "html").mapInArrow(functools.partial(_digests, packed=True), f"{own}, url string, packed binary")
-    narrow = pages.select("page_id", "html").mapInArrow(functools.partial(_digests, packed=False), own)
+    rows = pages.select("page_id", "url", "html").mapInArrow(_text.frees(functools.partial(_digests, packed=True)), f"{own}, url string, packed binary")
+    narrow = pages.select("page_id", "html").mapInArrow(_text.frees(functools.partial(_digests, packed=False)), own)
     groups = narrow.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
     joined = rows.join(groups.where("_n > 1").drop("_n"), ["payload_digest", "payload_bytes"], "left")
     return joined.withColumn("refers_to", F.when(F.col("_last") != F.col("page_id"), F.col("_last"))).drop("_last")
@@ -91,7 +92,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, compression: str = "none") -> None:
     """One archive per task that has rows."""
-    records = plan_records(pages, least_bytes).mapInArrow(_records, "value string")
+    records = plan_records(pages, least_bytes).mapInArrow(_text.frees(_records), "value string")
     with shuffles_go(pages.sparkSession):
         records.select("*").write.option("lineSep", "\r\n\r\n").option("compression", compression).text(folder)
 
@@ -236,7 +237,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 def candidates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Every place with the magic and a header, with absolute offsets; and the
     offset of the first line of each split."""
-    found = checkpoint(_lines(ship(spark), folder).mapInArrow(_scan, _DDL))
+    found = checkpoint(_lines(ship(spark), folder).mapInArrow(_text.frees(_scan), _DDL))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     covered = found.where("covered IS NOT NULL").select("file", "split", "covered", F.coalesce(F.sum("covered").over(before), F.lit(0)).alias("base"))
     rows = found.where("covered IS NULL").drop("covered").join(covered, ["file", "split"])
@@ -286,10 +287,10 @@ def _over_borders(spark: SparkSession, folder: str, records: DataFrame, splits:
     do not overlap, so a split has the lines of a few of them at most."""
     open_ = records.where(~F.col("complete")).select("file", "off", "block", "size")
     met = open_.join(splits, "file").where(f"base - {len(MAGIC)} < block + size AND base + covered > block")
-    lines = _lines(spark, folder).mapInArrow(_chunks, "file string, split long, at long, value binary")
+    lines = _lines(spark, folder).mapInArrow(_text.frees(_chunks), "file string, split long, at long, value binary")
     parts = lines.join(met, ["file", "split"]).withColumn("at", F.col("at") + F.col("base")).where("at < block + size AND at + length(value) > block")
     ordered = parts.select("file", "off", "block", "size", "at", "value").repartition("file", "off").sortWithinPartitions("file", "off", "at")
-    whole = ordered.mapInArrow(_joined, "file string, off long, payload_bytes long, sha1 string")
+    whole = ordered.mapInArrow(_text.frees(_joined), "file string, off long, payload_bytes long, sha1 string")
     return records.where(~F.col("complete")).drop("payload_bytes", "sha1").join(whole, ["file", "off"]).select(records.columns)
 
 
