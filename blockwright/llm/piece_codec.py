@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, St
 from blockwright.llm import _text
 from blockwright.llm._session import quoted, ship
 
-CACHE = 500_000
+CACHE = 100_000
 LONGEST = 64
 MARK = "▁"
 _SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
