@@ -56,10 +56,13 @@ def djb2(text: Column) -> Column:
     return F.aggregate(places, F.lit(5381).cast("long"), lambda h, i: (h * 33 + F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def human_bytes(size: Column) -> Column:
-    """One decimal, rounded half up in whole numbers."""
+BYTE_UNITS = ("KiB", "MiB", "GiB", "TiB")
+
+
+def human_bytes(size: Column, largest: str = "TiB") -> Column:
+    """One decimal, rounded half up in whole numbers; no unit above ``largest``."""
     out = F.concat(size.cast("string"), F.lit(" B"))
-    for power, name in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
+    for power, name in enumerate(BYTE_UNITS[: BYTE_UNITS.index(largest) + 1], 1):
         unit = 1024**power
         tenths = div(size * 20 + unit, 2 * unit)
         out = F.when(size >= unit, F.concat(div(tenths, 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit(f" {name}"))).otherwise(out)

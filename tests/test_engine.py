@@ -1,10 +1,12 @@
 """Golden values and properties of the engine's operators."""
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from blockwright import catalogue
 from blockwright.functions import scalars
 from blockwright.functions.permutation import Congruential, Feistel, Identity, Ranges
 from blockwright.operators import balancer, failuresim, kmeans, pagerank, report
@@ -173,6 +175,20 @@ def test_djb2(spark):
     assert spark.createDataFrame([("total",)], "s string").select(scalars.djb2(F.col("s"))).head()[0] == 275837705
 
 
+def test_human_bytes(spark):
+    sizes = spark.createDataFrame([(1023,), (1536,), (1 << 30,), (3 << 40,)], "b long")
+    assert [r[0] for r in sizes.select(scalars.human_bytes(F.col("b"))).collect()] == ["1023 B", "1.5 KiB", "1.0 GiB", "3.0 TiB"]
+    assert [r[0] for r in sizes.select(scalars.human_bytes(F.col("b"), "MiB")).collect()] == ["1023 B", "1.5 KiB", "1024.0 MiB", "3145728.0 MiB"]
+
+
+def test_report_human_bytes_of_large_keys(spark, tmp_path):
+    """The SQL of the query has no unit above MiB."""
+    keys = [0, 1, 3, 4, 3495, 3496, (1 << 30) // 300, (1 << 30) // 300 + 1, 1 << 33, 1 << 40]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: r["size"] for r in catalogue.QUERIES["report_human_bytes"](spark, str(tmp_path)).collect()}
+    assert got == dict(duckdb.sql(catalogue.ORACLE_SQL["report_human_bytes"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall())
+
+
 def test_graph_files(spark, tmp_path):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "src long, dst long")
     files.write_graph(edges, 3, f"{tmp_path}/g")
