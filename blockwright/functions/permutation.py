@@ -1,8 +1,9 @@
 """Bijections of 0..n-1 as column expressions, each with its inverse.
 
 A permutation works on the next power of two (or four) and walks its cycle until
-it is back in range.  The walk is written as a conditional whose rarely
-needed continuation is a bounded fold, so nearly all rows stay in codegen.
+it is back in range.  The first step is a plain expression; what is still
+outside goes on in folds of growing length, since a fold can't stop early: nearly
+all rows take none or the shortest.
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ WALK = 256
 
 
 def _walk(step, n: int, value: Column) -> Column:
-    once = step(value)
-    rest = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once, lambda x, _: F.when(x < n, x).otherwise(step(x)))
     lost = F.raise_error(F.lit(f"no id in range after {WALK} steps")).cast("long")
-    found = F.when(once < n, once).otherwise(F.when(rest < n, rest).otherwise(lost))
+
+    def fold(start: Column, done: int, steps: int) -> Column:
+        steps = min(steps, WALK - done)
+        go_on = lambda x: F.when(x < n, x).otherwise(fold(x, done + steps, 4 * steps) if done + steps < WALK else lost)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda x, _: F.when(x < n, x).otherwise(step(x)), go_on)
+
+    once = step(value)
+    found = F.when(once < n, once).otherwise(fold(once, 0, 3))
     ok = (value >= 0) & (value < n)
     return F.when(ok, found).when(value.isNotNull(), F.raise_error(F.lit("id outside the permutation")).cast("long"))
 

@@ -22,6 +22,9 @@ from blockwright.functions.permutation import Identity
 from blockwright.functions.scalars import div
 from blockwright.plans.placement import Placement
 
+#: Blocks of a range that one task writes.
+SLICE = 1 << 19
+
 
 @dataclass(frozen=True)
 class BlockStore:
@@ -42,8 +45,13 @@ class BlockStore:
         return [r for r in range(self.placement.ranks) if r not in self.dead]
 
     def stored(self, path: str) -> BlockStore:
-        """The same store with its blocks written by range and in the order of ids."""
-        self.placed().repartition("range_id").sortWithinPartitions("range_id", "block_id").write.partitionBy("range_id").parquet(path)
+        """The same store with its blocks written by range and in the order of ids; one
+        task writes a slice of a range, so tasks get more and not larger as the store grows."""
+        p, k = self.placement, F.col("range_id")
+        slices = -(-(p.per_range + 1) // SLICE)
+        seat = k * slices + div(F.col("internal_id") - p.start(k), SLICE)
+        cut = self.placed().repartitionById(p.ranks * slices, F.coalesce(seat, F.lit(0)).cast("int"))
+        cut.sortWithinPartitions("range_id", "block_id").write.partitionBy("range_id").parquet(path)
         schema = self.placed().schema
         return replace(self, blocks=self.blocks.sparkSession.read.schema(schema).parquet(path))
 

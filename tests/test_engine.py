@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from blockwright import catalogue
 from blockwright.functions import scalars
 from blockwright.functions.permutation import Congruential, Feistel, Identity, Ranges
-from blockwright.operators import balancer, failuresim, kmeans, pagerank, report
+from blockwright.operators import balancer, failuresim, kmeans, pagerank, report, store
 from blockwright.operators.dense import with_block_ids
 from blockwright.operators.ranks import Ranks
 from blockwright.operators.store import BlockStore
@@ -276,3 +276,42 @@ def test_walk_that_finds_no_id_raises(spark, monkeypatch):
     monkeypatch.setattr(permutation, "WALK", 2)
     with pytest.raises(Exception, match="no id in range"):
         spark.range(1).select(permutation._walk(lambda x: x * 0 + 9, 5, F.col("id"))).collect()
+
+
+def test_store_is_written_in_slices_of_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "SLICE", 100)
+    blocks = spark.range(3000).select(F.col("id").alias("block_id"), (F.col("id") * 7).alias("value"))
+    s = BlockStore(blocks, Placement(3000, 8, 3), Ranges(3000, 16)).stored(f"{tmp_path}/s")
+    per_file = s.blocks.groupBy("range_id", F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), (F.max("internal_id") - F.min("internal_id") + 1).alias("span")).collect()
+    assert len(per_file) == 8 * 4 and all(r["n"] == r["span"] <= 100 for r in per_file)
+    assert sorted((r["block_id"], r["value"]) for r in s.blocks.collect()) == [(i, 7 * i) for i in range(3000)]
+
+
+def test_walk_folds_little_at_first(monkeypatch):
+    plan = str(Congruential(33).apply(F.lit(1)))
+    assert "sequence(1, 3)" in plan and "sequence(1, 256)" not in plan
+
+
+@pytest.mark.parametrize("parts", [8, 2])
+def test_pagerank_writes_what_was_lost_and_lives_on_it(spark, monkeypatch, parts):
+    monkeypatch.setattr(pagerank, "PARTS", parts)
+    blocks = spark.range(400).select(F.col("id").alias("block_id"), (F.col("id") * F.col("id") % 19).alias("src"), (F.col("id") * 7 % 23).alias("dst"))
+    vertices, place = spark.range(25).withColumnRenamed("id", "v"), Placement(400, 8, 3)
+    own = balancer.Ownership.of(balancer.contiguous(spark, 400, 8), 8)
+    want = {r["v"]: r["pr"] for r in pagerank.pagerank(blocks, vertices, 4).collect()}
+    merged, plain = [], pagerank._merged
+    monkeypatch.setattr(pagerank, "_merged", lambda edges, *more: (merged.append(edges.count()), plain(edges, *more))[1])
+    got = {r["v"]: r["pr"] for r in pagerank.pagerank_with_failures(BlockStore(blocks, place), own, vertices, 4, {1: [1], 3: [4]}).collect()}
+    assert got == pytest.approx(want) and merged[:2] == [400, 50] and 50 <= merged[2] <= 58
+
+    class Odd(BlockStore):
+        """Replicas that hold other edges than the ranks worked on."""
+
+        def pull(self, requests):
+            return super().pull(requests).withColumn("dst", F.lit(24).cast("long"))
+
+        def fail(self, ranks):
+            return Odd(self.blocks, self.placement, self.permutation, self.dead | set(ranks))
+
+    odd = {r["v"]: r["pr"] for r in pagerank.pagerank_with_failures(Odd(blocks, place), own, vertices, 4, {1: [1]}).collect()}
+    assert odd[24] > want[24]
