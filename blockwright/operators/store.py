@@ -24,6 +24,8 @@ from blockwright.plans.placement import Placement
 
 #: Blocks of a range that one task writes.
 SLICE = 1 << 19
+#: Rows of a task that looks for runs, and bits of the ids of a stretch.
+RUN_ROWS, STRETCH = 1 << 18, 20
 
 
 @dataclass(frozen=True)
@@ -157,8 +159,30 @@ def expand_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.select("begin", F.posexplode("payloads").alias("offset", "payload")).select((F.col("begin") + F.col("offset")).alias("block_id"), "payload")
 
 
+def _joined(runs: DataFrame, group: str, *more: str) -> DataFrame:
+    """Runs that meet or overlap as one, per group: one sort, and each row sees its neighbours only."""
+    w = Window.partitionBy(group, *more).orderBy("first_id")
+    first, last = F.col("first_id"), F.col("last_id")
+
+    def apart(low: Column, high: Column) -> Column:
+        return F.when(high > low, high - 1 > low)  # no overflow at either end of the type
+
+    opens = F.lag(F.lit(1)).over(w).isNull() | apart(F.lag(last).over(w), first)
+    closes = F.lead(F.lit(1)).over(w).isNull() | apart(last, F.lead(first).over(w))
+    ends = runs.select("*", F.coalesce(opens, F.lit(False)).alias("_opens"), F.coalesce(closes, F.lit(False)).alias("_closes")).where("_opens OR _closes")
+    end = F.when(F.col("_closes"), last).otherwise(F.lead(last).over(w))
+    return ends.withColumn("_last", end).where("_opens").select(group, "first_id", F.col("_last").alias("last_id"))
+
+
 def id_runs(rows: DataFrame, group: str, id_: str = "block_id") -> DataFrame:
-    """Runs of consecutive ids per group: first and last."""
-    w = Window.partitionBy(group).orderBy(id_)
-    island = rows.withColumn("_island", F.col(id_) - F.row_number().over(w))
-    return island.groupBy(group, "_island").agg(F.min(id_).alias("first_id"), F.max(id_).alias("last_id")).drop("_island")
+    """Runs of consecutive ids per group: first and last.  Rows may repeat; a null id is a run of its own.
+
+    Rows are dealt by group and stretch of the id space to as many tasks as their number
+    asks for, so a task's share grows neither with the rows nor with the largest
+    group; only runs that touch the border of a stretch meet again."""
+    tasks = max(1, -(-rows.count() // RUN_ROWS))
+    ids = rows.select(group, F.col(id_).alias("first_id"), F.col(id_).alias("last_id"))
+    dealt = ids.withColumn("_stretch", F.shiftright("first_id", STRETCH)).repartition(tasks, group, "_stretch")
+    inside, mask = _joined(dealt, group, "_stretch"), F.lit((1 << STRETCH) - 1)
+    touches = F.coalesce((F.col("first_id").bitwiseAND(mask) == 0) | (F.col("last_id").bitwiseAND(mask) == mask), F.lit(False))
+    return inside.where(~touches).unionByName(_joined(inside.where(touches).repartition(tasks, group), group))

@@ -315,3 +315,31 @@ def test_pagerank_writes_what_was_lost_and_lives_on_it(spark, monkeypatch, parts
 
     odd = {r["v"]: r["pr"] for r in pagerank.pagerank_with_failures(Odd(blocks, place), own, vertices, 4, {1: [1]}).collect()}
     assert odd[24] > want[24]
+
+
+def test_id_runs(spark, monkeypatch):
+    monkeypatch.setattr(store, "STRETCH", 2)
+    monkeypatch.setattr(store, "RUN_ROWS", 20)
+    top = (1 << 63) - 1
+    ids = {"a": [*range(-9, 14), 15, 16, 16, 16, 20, 24, 25, 30], "b": [3, 4, 7, 8, 11, 12, 12, None, None], None: [0, 1, None, 4], "ends": [-top - 1, -top - 1, top, top, top - 1, 0]}
+    rows = spark.createDataFrame([(g, i) for g, found in ids.items() for i in found], "g string, block_id long")
+    want = []
+    for g, found in ids.items():
+        want += [(g, None, None)] if None in found else []
+        whole = sorted({i for i in found if i is not None})
+        firsts = [i for i in whole if i - 1 not in whole]
+        want += [(g, i, next(j for j in whole if j >= i and j + 1 not in whole)) for i in firsts]
+    found = store.id_runs(rows, "g")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert store.id_runs(rows.where("block_id > 100 AND g = 'a'"), "g").count() == 0
+
+
+def test_tasks_of_id_runs_grow_with_the_rows_and_not_with_a_group(spark, monkeypatch):
+    monkeypatch.setattr(store, "STRETCH", 6)
+    monkeypatch.setattr(store, "RUN_ROWS", 250)
+    rows = spark.range(8000).select((F.col("id") % 1).alias("g"), (F.col("id") + F.col("id").cast("int") % 2).alias("block_id"))
+    found = store.id_runs(rows, "g")
+    assert found.count() == 4001
+    assert found.rdd.getNumPartitions() >= 32
+    sizes = [len(x) for x in found.rdd.glom().collect()]
+    assert max(sizes) < 1000
